@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hingeworks.llm import mixing, simhash, tokenbin, urls, winnow
+from hingeworks.llm import mixing, simhash, tokenbin, toxicity, urls, winnow
 
-QUERIES = {f.__name__: f for f in (simhash.op3_simhash_dedup, winnow.op4_winnowing_fingerprints, mixing.op7_source_mixing, urls.op8_url_filter, tokenbin.op10_token_id_output)}
+QUERIES = {f.__name__: f for f in (simhash.op3_simhash_dedup, winnow.op4_winnowing_fingerprints, mixing.op7_source_mixing, urls.op8_url_filter, toxicity.op9_toxicity, tokenbin.op10_token_id_output)}
 ORACLES = {"op7_source_mixing": mixing.ORACLE}
