@@ -38,8 +38,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
+
+    narrow: rows of a few numbers each, written by four tasks a core at most rather than as a file a partition.
+    """
+    if narrow:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -98,7 +103,7 @@ def ranked(df: DataFrame, order: list, by: list[str], rank: str, name: str) -> t
     n = shuffle_width(spark)
     keys = [f"__g{i}" for i in range(len(by))]
     dealt = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
-    dealt = cut(dealt.withColumns({k: F.struct(F.col(c).alias("v")) for k, c in zip(keys, by)}), name)
+    dealt = cut(dealt.withColumns({k: F.struct(F.col(c).alias("v")) for k, c in zip(keys, by)}), name, narrow=True)
     counts = dealt.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__pid", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

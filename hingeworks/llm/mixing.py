@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     order = [F.col("source").isNull(), F.col("source"), F.col("source_size")]
     placed, _ = ranked(totals.withColumn("all", F.lit(0)), [F.col("all"), *order], ["all"], "place", "mix-sources")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
-    placed = cut(placed.select("source", "source_size", "n_docs", weight.alias("weight")), "mix-weights")
+    placed = cut(placed.select("source", "source_size", "n_docs", weight.alias("weight")), "mix-weights", narrow=True)
     row = placed.agg(F.sum("source_size"), F.sum("weight")).first()
     total, open_weight, stopped = share * (row[0] or 0), row[1] or 0, 0
     cap = F.col("source_size") * most
@@ -56,7 +56,7 @@ def systematic_copies(sized: DataFrame, weights: tuple = WEIGHTS, share: float =
     in (c_before + u, c + u]. No document is emitted more than `most` (rounded up) times, and reruns agree. Null
     sources form a source; sources of size 0 have target 0; an empty table gives no rows.
     """
-    own = cut(sized.select("id", "source", "size"), "mix-sizes")
+    own = cut(sized.select("id", "source", "size"), "mix-sizes", narrow=True)
     targets = source_targets(own.select("source", "size"), weights, share, most)
     order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("id")]
     rows, _ = ranked(own, order, ["source"], "rank", "mix-ranks")
