@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hingeworks.llm.common import WORD, cut, ranked
@@ -68,6 +68,24 @@ def systematic_copies(sized: DataFrame, weights: tuple = WEIGHTS, share: float =
     return joined.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, all columns kept, each as often as the mix takes it.
+
+    Repeated rows are told apart by counting them on both sides, which costs a shuffle only where an id repeats.
+    """
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__size": word_count(F.col("text"))})
+    mixed = systematic_copies(keyed.select(F.col("__id").alias("id"), "source", F.col("__size").alias("size")), **options)
+    mixed = cut(mixed.select("id", F.col("source").alias("__source"), "size", "copies"), "mix-copies", narrow=True)
+    same = keyed["__id"].eqNullSafe(mixed["id"])
+    if not mixed.groupBy("id").count().where("count > 1").isEmpty():
+        nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+        mixed = mixed.withColumn("__k", nth("id", "__source", "size"))
+        keyed = keyed.withColumn("__n", nth("__id", "source", "__size"))
+        same = keyed["__id"].eqNullSafe(mixed["id"]) & keyed["source"].eqNullSafe(mixed["__source"]) & (keyed["__size"] == mixed["size"]) & (keyed["__n"] == mixed["__k"])
+    taken = keyed.join(mixed.where("copies > 0"), same)
+    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+
+
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken over all `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
