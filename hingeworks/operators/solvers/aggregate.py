@@ -1,0 +1,108 @@
+"""Fits of tables too large for one task: Newton steps on a smoothed loss, one aggregation a step.
+
+Each pass sums, over all rows, the gradient and the (n + 1)^2 curvature of the loss smoothed over a width that shrinks
+from pass to pass; the driver then solves the bounded quadratic model exactly. Only sums of size (n + 1)^2 travel, so
+the driver's share doesn't depend on the number of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hingeworks.operators.solvers.ipm import RESIDUE, Spec, loss_pieces
+
+
+def _sums(df: DataFrame, w: np.ndarray, b: float, spec: Spec, width: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """(loss, gradient, curvature, exact loss) at (w, b), from columns features and label."""
+    a1, d1, a2, d2 = loss_pieces(spec.loss, spec.tau)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(w)
+        loss = exact = 0.0
+        grad, curve = np.zeros(n + 1), np.zeros((n + 1, n + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            m = y * (x @ w + b)
+            z = (a1 - d1 * m) - (a2 - d2 * m)  # the first piece over the second
+            root = np.sqrt(z * z + 4 * width * width)
+            loss += float(((a2 - d2 * m) + (z + root) / 2).sum())
+            exact += float(np.maximum(a1 - d1 * m, a2 - d2 * m).sum())
+            share = (1 + z / root) / 2
+            slope = -(share * d1 + (1 - share) * d2)
+            bend = 2 * width * width / root**3 * (d1 - d2) ** 2
+            rows = np.hstack([x, np.ones((len(x), 1))]) * y[:, None]
+            grad += rows.T @ slope
+            curve += (rows.T * bend) @ rows
+        yield pa.RecordBatch.from_arrays([pa.array([[loss, exact, *grad.tolist(), *curve.ravel().tolist()]], pa.list_(pa.float64()))], ["sums"])
+
+    parts = df.select("features", "label").mapInArrow(run, "sums array<double>")
+    flat = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    n = len(w) + 1
+    got = np.zeros(2 + n + n * n)
+    for r in flat.collect():  # one number a position
+        got[r.i] = r.v
+    return float(got[0]), got[2 : 2 + n], got[2 + n :].reshape(n, n), float(got[1])
+
+
+def fit_large(df: DataFrame, n: int, spec: Spec, widths: tuple = (1.0, 0.3, 0.1, 0.03, 0.01), each: int = 6) -> tuple[np.ndarray, float, float, int]:
+    """(w, b, objective, passes) for columns features (array of n) and label; cache or write df first.
+
+    Bounds follow spec as in the small solver. At most len(widths) * each passes over the data.
+    """
+    free = spec.domain == "free"
+    low, high = spec.box if spec.box else (-np.inf, np.inf)
+    lower = np.r_[np.full(n, low if free else 0.0), -np.inf if free else 0.0]
+    upper = np.r_[np.full(n, high), np.inf]
+    u, passes = np.zeros(n + 1), 0
+    best = (np.inf, u)
+    reg = lambda w: {"none": 0.0, "l1": float(np.abs(w).sum()), "l2": 0.5 * float(w @ w)}[spec.reg]
+    for width in widths:
+        for _ in range(each):
+            _, grad, curve, exact = _sums(df, u[:n], u[n], spec, width)
+            passes += 1
+            value = reg(u[:n]) + spec.c * exact
+            if value < best[0]:
+                best = (value, u.copy())
+            step = _model_step(u, spec.c * grad, spec.c * curve, spec, lower, upper)
+            move = step - u
+            size = np.abs(move).max()
+            u = u + move * min(1.0, 2.0 / max(size, 1e-12))
+            if size < 1e-4 * (1 + np.abs(u).max()):
+                break
+    _, _, _, exact = _sums(df, u[:n], u[n], spec, widths[-1])
+    value = reg(u[:n]) + spec.c * exact
+    if value < best[0]:
+        best = (value, u)
+    w = best[1][:n].copy()
+    w[np.abs(w) < RESIDUE] = 0.0
+    return w, float(best[1][n]), best[0], passes + 1
+
+
+def _model_step(u: np.ndarray, grad: np.ndarray, curve: np.ndarray, spec: Spec, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Minimise reg + grad.(v - u) + (v - u) curve (v - u) / 2 within bounds, by coordinate descent on the small model."""
+    d = len(u)
+    h = curve + np.diag(np.full(d, 1e-9 * (1 + np.trace(curve) / d)))
+    v = u.copy()
+    for _ in range(500):
+        top = 0.0
+        for j in range(d):
+            slope, bend = grad[j] + h[j] @ (v - u), h[j, j]
+            if j < d - 1 and spec.reg == "l2":
+                slope, bend = slope + v[j], bend + 1.0
+            target = v[j] - slope / bend
+            if j < d - 1 and spec.reg == "l1":
+                target = np.sign(target) * max(abs(target) - 1.0 / bend, 0.0)
+            new = min(max(target, lower[j]), upper[j])
+            top = max(top, abs(new - v[j]))
+            v[j] = new
+        if top < 1e-10:
+            break
+    return v
