@@ -37,8 +37,8 @@ PATTERNS = {
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d+(-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "card": r"(?<![\d+(-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![\d-])",
+    "phone": r"(?:(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?<![\d+])\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_U})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_M}|{_GIVEN_F}) {_NAME})(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -129,40 +129,29 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def _card(value: Column, digest: Column) -> Column:
-    """First digit and blanks kept; the last digit makes the number pass the Luhn test if the original did."""
-    body = F.concat(F.substring(value, 1, 1), _same_shape(F.substring(value, F.lit(2), F.length(value) - 2), digest))
-    valid = _luhn_sum(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0
-    check = lambda x: ((F.lit(10) - _luhn_sum(F.concat(F.regexp_replace(x, "[^0-9]", ""), F.lit("0"))) % 10) % 10).cast("string")
-    return let(body, lambda x: F.concat(x, F.when(valid, check(x)).otherwise((_byte(digest, 100) % 10).cast("string"))))
+def _check_digit(number: Column) -> Column:
+    """What appended to the digits of number makes them pass the Luhn test."""
+    return ((F.lit(10) - _luhn_sum(F.concat(F.regexp_replace(number, "[^0-9]", ""), F.lit("0"))) % 10) % 10).cast("string")
 
 
-def _phone(value: Column, digest: Column) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(value, r"^\+(?:1|7|\d{2})", 0)
-    return F.concat(code, _same_shape(F.substring(value, F.length(code) + 1, F.length(value)), digest))
+def _from(pool: Column, b: Column) -> Column:
+    return F.substring(pool, b % F.length(pool) + 1, F.lit(1))
 
 
-def _email(value: Column, digest: Column, domain_digest: Column) -> Column:
-    """The local part keeps its shape; a domain's surrogate depends on the domain alone and lies under a reserved name."""
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(domain_digest, 127) % 3 + 1)
-    host = F.regexp_extract(domain, r"^[^.]+", 0)
-    return F.concat(_same_shape(local, digest), F.lit("@"), _same_shape(host, domain_digest), F.lit(".example."), top)
-
+def _word_name(word: Column, gender: Column, digest: Column) -> Column:
+    """A made-up name in the word's script; gender m, f or s for a surname."""
 
-def _sound(script: str, digest: Column, ending: str) -> Column:
-    consonants, vowels, endings = _SOUNDS[script]
-    syllable = lambda i: F.concat(_pick(consonants, _byte(digest, 2 * i)), _pick(vowels, _byte(digest, 2 * i + 1)))
-    last = F.element_at(F.array(*[F.lit(e) for e in endings[ending]]), _byte(digest, 40) % len(endings[ending]) + 1)
-    long = F.when(_byte(digest, 41) % 2 == 0, syllable(3)).otherwise(F.lit(""))
-    return F.initcap(F.concat(syllable(0), syllable(1), syllable(2), long, last))
+    def of_script(at: int, kind: str | None = None) -> Column:
+        pick = lambda script: F.lit(_SOUNDS[script][at]) if kind is None else F.array(*[F.lit(e) for e in _SOUNDS[script][2][kind]])
+        return F.when(word.rlike(r"^\p{IsCyrillic}"), pick("cyrillic")).when(word.rlike(r"^\p{IsGreek}"), pick("greek")).otherwise(pick("latin"))
 
+    def spoken(c: Column, v: Column) -> Column:
+        count = F.lit(3) + _byte(digest, 41) % 2
+        syllables = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(_from(c, _byte(digest, 2 * i)), _from(v, _byte(digest, 2 * i + 1))))
+        endings = F.when(gender == "m", of_script(2, "m")).when(gender == "f", of_script(2, "f")).otherwise(of_script(2, "s"))
+        return F.initcap(F.concat(F.array_join(syllables, ""), let(endings, lambda e: F.element_at(e, _byte(digest, 40) % F.size(e) + 1))))
 
-def _word_name(word: Column, gender: Column, digest: Column) -> Column:
-    """A made-up name in the word's script; gender m, f or s for a surname."""
-    of = lambda script: reduce(lambda other, g: F.when(gender == g, _sound(script, digest, g)).otherwise(other), ("m", "f"), _sound(script, digest, "s"))
-    return F.when(word.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"^\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+    return let(of_script(0), lambda c: let(of_script(1), lambda v: spoken(c, v)))
 
 
 def _name(value: Column, key: Column, attempt: Column) -> Column:
@@ -179,48 +168,63 @@ def _name(value: Column, key: Column, attempt: Column) -> Column:
     )
     part = lambda w, g: let(_digest(key, F.lit("name-part"), g, F.lower(w), attempt), lambda d: _word_name(w, g, d))
     surname = F.element_at(named, -1)
-    first = F.when(given.isNotNull(), F.concat(let(gender, lambda g: part(given, g)), F.lit(" "))).otherwise(F.lit(""))
-    return F.concat(F.when(titled, F.concat(words[0], F.lit(" "))).otherwise(F.lit("")), first, part(surname, F.lit("s")))
+    pairs = F.filter(F.array(F.struct(given.alias("w"), gender.alias("g")), F.struct(surname.alias("w"), F.lit("s").alias("g"))), lambda x: x["w"].isNotNull())
+    new = F.array_join(F.transform(pairs, lambda x: part(x["w"], x["g"])), " ")
+    return F.concat(F.when(titled, F.concat(words[0], F.lit(" "))).otherwise(F.lit("")), new)
 
 
 def surrogate(value: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of a match; attempt 0 is the usual one, others serve after a collision."""
     k, tries = F.lit(key), attempt.cast("string")
+    octet = lambda digest, i: (_byte(digest, i) % 254 + 1).cast("string")
+
+    def shaped(kind: Column, digest: Column) -> Column:
+        """What stays in front, then the same shape; a card's last digit is set by the rest."""
+        code = F.regexp_extract(value, r"^\+(?:1|7|\d{2})", 0)
+        front = (
+            F.when(kind == "phone", code)
+            .when(kind.isin("card", "ssn"), F.substring(value, 1, 1))
+            .when(kind == "iban", F.substring(value, 1, 2))
+            .when(kind == "key", F.regexp_extract(value, r"^(?:AKIA|ghp_|sk-)", 0))
+            .otherwise("")
+        )
+        rest = F.substring(value, F.length(front) + 1, F.length(value))
+        body = F.when(kind == "email", F.substring_index(value, "@", 1)).when(kind == "card", F.substring(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+        valid = _luhn_sum(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0
+        last = lambda x: F.when(valid, _check_digit(x)).otherwise((_byte(digest, 100) % 10).cast("string"))
+        whole = F.concat(F.when(kind == "ssn", "9").otherwise(front), let(body, lambda t: _same_shape(t, digest)))
+        return let(whole, lambda x: F.when(kind == "card", F.concat(x, last(x))).otherwise(x))
+
+    def host(domain: Column) -> Column:
+        """A domain's surrogate depends on the domain alone and lies under a reserved name."""
+        top = lambda d: F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(d, 127) % 3 + 1)
+        label = F.regexp_extract(F.lower(domain), r"^[^.]+", 0)
+        return let(_digest(k, F.lit("domain"), F.lower(domain), F.lit("0")), lambda d: F.concat(F.lit("@"), F.array_join(F.transform(F.sequence(F.lit(0), F.length(label) - 1), lambda i: F.when(F.substring(label, i + 1, F.lit(1)).rlike("[0-9]"), (_byte(d, i) % 10).cast("string")).otherwise(_pick(_LOWER, _byte(d, i)))), ""), F.lit(".example."), top(d)))
 
     def of(kind: Column, digest: Column) -> Column:
-        domain = _digest(k, F.lit("domain"), F.lower(F.substring_index(value, "@", -1)), F.lit("0"))
-        octet = lambda i: (_byte(digest, i) % 254 + 1).cast("string")
-        reserved = F.concat((_byte(digest, 0) % 14 + 240).cast("string"), F.lit("."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))
-        after = lambda n: _same_shape(F.substring(value, n + 1, F.length(value)), digest)
-        led = lambda head: F.concat(head, after(F.length(head)))
+        reserved = F.concat((_byte(digest, 0) % 14 + 240).cast("string"), *[x for i in (1, 2, 3) for x in (F.lit("."), octet(digest, i))])
         return (
-            F.when(kind == "email", let(domain, lambda d: _email(value, digest, d)))
-            .when(kind == "phone", _phone(value, digest))
-            .when(kind == "card", _card(value, digest))
-            .when(kind == "ip", reserved)
-            .when(kind == "ssn", F.concat(F.lit("9"), after(F.lit(1))))
-            .when(kind == "iban", led(F.substring(value, 1, 2)))
-            .when(kind == "key", led(F.regexp_extract(value, r"^(?:AKIA|ghp_|sk-)", 0)))
+            F.when(kind == "ip", reserved)
             .when(kind == "name", _name(value, k, tries))
-            .otherwise(_same_shape(value, digest))
+            .otherwise(F.concat(shaped(kind, digest), F.when(kind == "email", host(F.substring_index(value, "@", -1))).otherwise("")))
         )
 
     return let(kind_of(value), lambda kind: let(_digest(k, kind, normal(kind, value), tries), lambda digest: of(kind, digest)))
 
 
-def collisions(values: DataFrame, key: str = KEY) -> DataFrame:
-    """(value, fixed): replacements for the entities (column value, distinct) that share a surrogate or get a real entity.
+def collisions(values: DataFrame, key: str = KEY) -> DataFrame | None:
+    """(value, fixed), or None without any: replacements for the entities (column value, distinct) that share a surrogate or get a real entity.
 
     Entities count as the same by type and normal form, surrogates likewise. Of those that share one the least keeps it,
     the others try again with the next attempt, against all surrogates so far, until none is left.
     """
     v = F.col("value")
-    own = values.select("value", kind_of(v).alias("kind")).withColumn("entity", normal(F.col("kind"), v))
+    own = cut(values.select("value", kind_of(v).alias("kind")).withColumn("entity", normal(F.col("kind"), v)), "pii-kinds", narrow=True)
     classes = own.groupBy("kind", "entity").agg(F.min("value").alias("value"))
     given = classes.withColumn("attempt", F.lit(0))
     for turn in range(ROUNDS):
         s = surrogate(F.col("value"), F.col("attempt"), key)
-        named = given.withColumn("to", normal(F.col("kind"), s))
+        named = cut(given.withColumn("to", normal(F.col("kind"), s)), "pii-surrogates", narrow=True)
         shared = named.groupBy("kind", "to").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "entity")).alias("keeper"))
         taken = classes.select("kind", F.col("entity").alias("to"), F.lit(True).alias("real"))
         judged = named.join(shared, ["kind", "to"]).join(taken, ["kind", "to"], "left")
@@ -231,6 +235,8 @@ def collisions(values: DataFrame, key: str = KEY) -> DataFrame:
     else:
         raise RuntimeError("surrogates still collide; use a longer format or another key")
     moved = given.where("attempt > 0").select("kind", "entity", "attempt")
+    if moved.isEmpty():
+        return None
     return own.join(moved, ["kind", "entity"]).select("value", surrogate(v, F.col("attempt"), key).alias("fixed"))
 
 
@@ -244,10 +250,11 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     text = F.col(f"`{text_col}`")
     found = docs.select(F.explode(F.array_distinct(entities(text))).alias("value"))
     values = cut(found.distinct(), "pii-entities", narrow=True)
-    fixed = cut(collisions(values, key), "pii-fixed", narrow=True)
-    if fixed.isEmpty():
+    fixed = collisions(values, key)
+    if fixed is None:
         own = docs.withColumn("__fixed", F.create_map().cast("map<string,string>"))
     else:
+        fixed = cut(fixed, "pii-fixed", narrow=True)
         where = docs.select(F.col(f"`{id_col}`").alias("__id"), F.explode(F.array_distinct(entities(text))).alias("value")).join(fixed, "value")
         maps = where.groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct("value", "fixed"))).alias("__fixed"))
         own = docs.join(maps, docs[id_col].eqNullSafe(maps["__id"]), "left").drop("__id")
