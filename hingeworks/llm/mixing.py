@@ -75,15 +75,15 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__size": word_count(F.col("text"))})
     mixed = systematic_copies(keyed.select(F.col("__id").alias("id"), "source", F.col("__size").alias("size")), **options)
-    mixed = cut(mixed.select("id", F.col("source").alias("__source"), "size", "copies"), "mix-copies", narrow=True)
+    mixed = cut(mixed.select("id", F.col("source").alias("__source"), "size", F.col("copies").cast("int").alias("__copies")), "mix-copies", narrow=True)
     same = keyed["__id"].eqNullSafe(mixed["id"])
     if not mixed.groupBy("id").count().where("count > 1").isEmpty():
         nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
         mixed = mixed.withColumn("__k", nth("id", "__source", "size"))
         keyed = keyed.withColumn("__n", nth("__id", "source", "__size"))
         same = keyed["__id"].eqNullSafe(mixed["id"]) & keyed["source"].eqNullSafe(mixed["__source"]) & (keyed["__size"] == mixed["size"]) & (keyed["__n"] == mixed["__k"])
-    taken = keyed.join(mixed.where("copies > 0"), same)
-    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    taken = keyed.join(mixed.where("__copies > 0").hint("merge"), same)
+    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
