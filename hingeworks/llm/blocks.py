@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import NO_ID, block_bounds, shuffle_width
+from hingeworks.llm.common import NO_ID, block_bounds, shuffle_width, text_batches
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, id, text): key orders null ids first; a null text becomes empty."""
+    text_batches(docs.sparkSession)
     i = F.col(id_col).cast("long")
     return docs.select(F.coalesce(i, F.lit(NO_ID)).alias("key"), i.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a text: maximal runs of anything but space and the control characters 9 to 13.
@@ -15,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(1 << 63)
 #: Code points that one vectorised step works on at most (one longer text is a step of its own).
 STEP_CHARS = 1_500_000
+#: Ids that a filter broadcasts at most.
+BROADCAST_IDS = 2_000_000
+#: Texts that go to Python at a time.
+TEXT_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +45,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
 
-    narrow: rows of a few numbers each, written by four tasks a core at most rather than as a file a partition.
+    narrow: rows of a few numbers each, written by a task a core at most rather than as a file a partition.
     """
     if narrow:
-        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,6 +64,23 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of 1,000, so that a worker and its executor hold a few MB of them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
+def by_ids(docs: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the keys in the written one-column table ids.
+
+    Up to BROADCAST_IDS ids are broadcast, at 8 bytes each, and no text moves; more are merged by a shuffle.
+    """
+    name = ids.columns[0]
+    ids = ids.select(F.col(name).alias("__only"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(ids, key == F.col("__only"), how)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -118,7 +139,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star steps; each step is a grouped minimum and an equi-join, each round is
     written to the shared folder, and only two numbers a round reach the driver. Self-loops are ignored.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, narrow=True)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -127,7 +148,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         kept = large.join(low, "a")
         small = kept.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
+        after = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name, narrow=True)
         drop_cut(now)
         now = after
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import STEP_CHARS, steps
+from hingeworks.llm.common import STEP_CHARS, steps, text_batches
 
 #: Labelled texts a language that teach at most, in expectation; beyond that an even sample by hash of the id is taken.
 MAX_TRAIN = 4_000
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, most / sizes[k]) * (1 << 30)))]) if langs else None
     if not langs:
         return Model([], np.zeros((SLOTS, 0)), np.zeros((len(SCRIPTS), 0), bool))
+    text_batches(docs.sparkSession)
     taught = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +226,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             spans = [[{"start": a, "end": b, "lang": k} for a, b, k in s] for _, _, s in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span)], ["id", "lang_pred", "score", "spans"])
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import steps
+from hingeworks.llm.common import steps, text_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs that a worker remembers at most; beyond that it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 600_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 450_000, 1_000_000
 #: Characters in one lattice at most (one longer word is a lattice of its own).
 LATTICE_CHARS = 400_000
 BASE = 0x9E3779B97F4A7C15
@@ -275,6 +275,7 @@ def encoded(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id
                     ["id", "ids", "n_pieces", "ids_crc32", "round_trip"],
                 )
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import components, cut
+from hingeworks.llm.common import components, cut, text_batches
 
 SEED = 42
 LOW63 = (1 << 63) - 1
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
                 out[i] = seen[text]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fp"])
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id long, fp long")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut
+from hingeworks.llm.common import cut, text_batches
 
 #: Labelled texts that teach at most, in expectation; beyond that an even sample by hash of the id is taken.
 MAX_TRAIN = 24_000
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
     Without toxic or without other labelled texts the model has an empty lexicon and gives every text the same score.
     """
+    text_batches(docs.sparkSession)
     taught = sample(docs, labels, most).cache()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +228,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             spans = [[{"score": s, "start": a, "end": b} for s, a, b in f] for _, f in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in found], pa.float64()), pa.array(spans, passage)], ["id", "score", "passages"])
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id long, score double, passages array<struct<score:double,start:int,end:int>>")
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns kept, whose text scores below the threshold."""
+    text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
