@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,25 @@ def steps(sizes: Iterable[int], most: int = STEP_CHARS) -> Iterator[tuple[int, i
         yield start, end
 
 
+def coded_words(split: pa.ListArray) -> tuple[list[str], Callable[[list[bytes]], list[bytes]]]:
+    """The distinct words of some texts, told apart in Arrow, and what joins their codes back to texts.
+
+    Given a code for each distinct word, the second part returns the joined codes of each text.
+    """
+    coded = split.flatten().dictionary_encode()
+
+    def joined(codes: list[bytes]) -> list[bytes]:
+        if not len(split):
+            return []
+        flat = pa.array(codes, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset)
+        data = memoryview(flat.buffers()[2] or b"")
+        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    return coded.dictionary.to_pylist(), joined
+
+
 def block_bounds(keys: DataFrame, blocks: int) -> list[int]:
     """Distinct values of the one long column that start about equal blocks, ascending; the first is the minimum.
 

@@ -11,6 +11,7 @@ low-bit width, and the lengths in bytes of low bits, high bits and samples, and
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,17 +19,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hingeworks.llm.blocks import block_of, bounds_of, keyed
-from hingeworks.llm.common import NO_ID, fresh_path, steps
+from hingeworks.llm.common import NO_ID, coded_words, fresh_path, steps
 
 MAGIC = b"HWEFIDS1"
 SAMPLE = 256
 #: Cached words a worker holds at most; beyond that the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class EliasFano:
@@ -158,43 +160,108 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def letter_tokenizer(path: str):
+    """The same model for letter-only words already spelled in its byte alphabet: split at line feeds, nothing else."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    tok.pre_tokenizer = pre_tokenizers.Split(BYTES[10], "isolated")
+    return tok
+
+
+def _byte_alphabet() -> list[str]:
+    """A byte-level vocabulary's character for each byte: itself where it prints, else the next from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
+
+
+BYTES = _byte_alphabet()
+_SPELL = dict(enumerate(BYTES))
+
+
 class WordCachedEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, meeting each distinct word once.
 
-    The library's byte-level splitter starts a new piece at every blank that a non-blank follows, and no merge crosses
-    pieces; so a text without double blanks or special-token strings is the concatenation of its blank-led words, each
-    encoded on its own. Other texts go to the library whole.
+    The library's byte-level splitter ends a piece before any blank or line feed that isn't part of a run of three white
+    spaces or of two at the end, and no merge crosses pieces. So a text without such runs and without special-token
+    strings is the concatenation of its words (with the blank before them) and line feeds, each encoded on its own.
+    Other texts go to the library whole. Words are told apart in Arrow, new ones go to the library many at a time.
+
+    Keys: a word stands for itself after a blank, the empty word for a blank alone; START leads a word without a blank.
     """
 
+    START = "\x01"
+    #: White space of either library's definition, three in a row or two at the end; or the mark itself.
+    WHOLE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{3}|[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}\z|\x01"
+    #: Letters, then the marks that may follow them; the splitter always cuts between.
+    LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    #: Words in one text for the library.
+    LINE = 500
+
     def __init__(self, path: str, end_id: int | None):
-        self.tok = tokenizer(path)
+        self.tok, self.letters = tokenizer(path), letter_tokenizer(path)
         wide = max(self.tok.get_vocab_size(), (end_id or 0) + 1) > 1 << 16
         self.width, self.kind = (4, "<u4") if wide else (2, "<u2")
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.kind).tobytes()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letter_words(self, words: list[str]) -> dict[str, bytes]:
+        """Letter-only words, with or without their blank, encoded between line feeds."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(words), 100 * self.LINE):
+            lines = [words[j : j + self.LINE] for j in range(i, min(i + 100 * self.LINE, len(words)), self.LINE)]
+            spelled = ["\n".join(x).encode().decode("latin-1").translate(_SPELL) for x in lines]
+            for own, e in zip(lines, self.letters.encode_batch_fast(spelled, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=self.kind)
+                stops = (np.flatnonzero(ids == self.feed) * self.width).tolist()
+                data = ids.tobytes()
+                out.update(zip(own, (data[a:b] for a, b in zip([0, *(x + self.width for x in stops)], [*stops, len(data)]))))
+        return out
+
+    def _learn(self, keys: list[str]) -> None:
+        words, cut, odd, new = self.words, [], [], set()
+        for k in keys:
+            w = k[1:] if k[:1] == self.START else k if k == "\n" else " " + k
+            if m := self.LETTERS.fullmatch(w):
+                core, marks = m.groups()
+                cut.append((k, core, marks))
+                new.add(core)
+            else:
+                odd.append((k, w))
+        words.update(zip((k for k, _ in odd), (i.tobytes() for i in self._ids([w for _, w in odd]))))
+        cores = {c: words.get(c[1:] if c[0] == " " else self.START + c) for c in new}
+        cores |= self._letter_words([c for c, v in cores.items() if v is None])
+        fresh = list({m for _, _, m in cut if m not in self.marks})
+        self.marks.update(zip(fresh, (i.tobytes() for i in self._ids(fresh))))
+        words.update((k, cores[c] + self.marks[m]) for k, c, m in cut)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of whole texts as bytes."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        split: list[list[str] | None] = []
-        for t in texts:
-            if not t or "  " in t or any(s in t for s in self.special):
-                split.append(None)
-            else:
-                head, *rest = t.split(" ")
-                split.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
-        words = self.words
-        new = list({w for s in split if s for w in s if w not in words})
-        for i in range(0, len(new), 50_000):
-            words.update(zip(new[i : i + 50_000], self._bytes(new[i : i + 50_000])))
-        whole = iter(self._bytes([t for t, s in zip(texts, split) if s is None]))
-        get = words.__getitem__
-        return [(next(whole) if s is None else b"".join(map(get, s))) + self.end for s in split]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        alone = [i.tobytes() for i in self._ids(texts.filter(whole).to_pylist())]
+        rest = texts.filter(pc.invert(whole))
+        marked = pc.binary_join_element_wise(self.START, pc.replace_substring(rest, "\n", f" \n {self.START}"), "")
+        keys, joined = coded_words(pc.split_pattern(marked, " "))
+        found = list(map(self.words.get, keys))
+        if None in found:
+            self._learn([k for k, v in zip(keys, found) if v is None])
+            found = list(map(self.words.__getitem__, keys))
+        parts = iter(joined(found))
+        single = iter(alone)
+        return [(next(single) if w else next(parts)) + self.end for w in whole.to_pylist()]
 
 
 def write_shards(docs: DataFrame, out: str, encoder: Callable[[], WordCachedEncoder], width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +276,10 @@ def write_shards(docs: DataFrame, out: str, encoder: Callable[[], WordCachedEnco
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for batch in batches:
-            keys, ids, texts = batch.column("key"), batch.column("id"), batch.column("text").to_pylist()
-            for a, b in steps(map(len, texts)):
+            keys, ids, texts = batch.column("key"), batch.column("id"), batch.column("text")
+            for a, b in steps(pc.binary_length(texts).to_pylist(), 4_000_000):
                 pid = pa.array(block_of(bounds, keys.slice(a, b - a).to_pylist()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pid, keys.slice(a, b - a), ids.slice(a, b - a), pa.array(enc.encode(texts[a:b]), pa.binary())], ["pid", "key", "id", "data"])
+                yield pa.RecordBatch.from_arrays([pid, keys.slice(a, b - a), ids.slice(a, b - a), pa.array(enc.encode(texts.slice(a, b - a)), pa.binary())], ["pid", "key", "id", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, shard, done = None, None, []
