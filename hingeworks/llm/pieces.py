@@ -20,15 +20,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import steps, text_batches
+from hingeworks.llm.common import coded_words, steps, text_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs that a worker remembers at most; beyond that it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 450_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 600_000, 1_000_000
 #: Characters in one lattice at most (one longer word is a lattice of its own).
 LATTICE_CHARS = 400_000
 BASE = 0x9E3779B97F4A7C15
@@ -216,24 +217,38 @@ class Pieces:
         return [x for t in parts if t for x in ([self.pieces[t][0]] if t in self.pieces else self._spelled(t))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, little-endian, `width` bytes each; an empty text has none."""
+        """Ids of whole texts, little-endian, `width` bytes each; an empty text has none.
+
+        Texts with single blanks between words only have their words told apart in Arrow, and the cache is asked once
+        for each distinct one; others are cut by a pattern.
+        """
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        words, split = self.words, []
-        for t in texts:
-            if "  " in t or MARK in t or t[:1] == " " or t[-1:] == " ":
-                split.append(WORDS.findall(MARK + t.replace(" ", MARK)))
-            else:
-                split.append([MARK + w for w in t.split(" ")] if t else [])
-        new = list({w for s in split for w in s if w not in words})
+        odd = [not t or "  " in t or MARK in t or t[0] == " " or t[-1] == " " for t in texts]
+        plain = pa.array([t for t, o in zip(texts, odd) if not o], pa.string())
+        keys, joined = coded_words(pc.split_pattern(plain, " "))
+        cut = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t, o in zip(texts, odd) if o]
+        words = self.words
+        found = list(map(words.get, keys))
+        new = {MARK + k for k, v in zip(keys, found) if v is None} | {w for s in cut for w in s if self._key(w) not in words}
+        if new:
+            self._learn(list(new))
+            found = list(map(words.__getitem__, keys))
+        parts, rest = iter(joined(found)), iter([b"".join(words[self._key(w)] for w in s) for s in cut])
+        return [next(rest) if o else next(parts) for o in odd]
+
+    @staticmethod
+    def _key(word: str) -> str:
+        """A word with the one mark that most have left off; any other stands for itself behind a mark of its own."""
+        return word[1:] if word[:1] == MARK and word[1:2] != MARK and len(word) > 1 else MARK + word
+
+    def _learn(self, new: list[str]) -> None:
         ties = {w for w in new if MARK * 2 in w} if self.kind == "bpe" else set()  # runs of marks have equal scores: by definition
         for w in ties:
-            words[w] = np.array(self.merged(w), dtype=self.type).tobytes()
-        new = [w for w in new if w not in ties]
-        for a, b in steps(map(len, new), LATTICE_CHARS):
-            words.update(zip(new[a:b], self.encode_words(new[a:b])))
-        get = words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            self.words[self._key(w)] = np.array(self.merged(w), dtype=self.type).tobytes()
+        rest = [w for w in new if w not in ties]
+        for a, b in steps(map(len, rest), LATTICE_CHARS):
+            self.words.update(zip(map(self._key, rest[a:b]), self.encode_words(rest[a:b])))
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.type)
@@ -261,7 +276,7 @@ def encoded(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id
         codec = load(path, kind)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in steps(map(len, texts)):
+            for a, b in steps(map(len, texts), 4_000_000):
                 data = codec.encode(texts[a:b])
                 ids = [codec.ids(d) for d in data]
                 yield pa.RecordBatch.from_arrays(
