@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut
+from hingeworks.llm.common import cut, shuffle_width
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -105,11 +105,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     Without URLs of both verdicts the threshold is 0. Null, empty and malformed URLs have empty host and path and are
     judged by the method; repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    u = F.col("url")
+    spark, u = pages.sparkSession, F.col("url")
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     own = own.select("id", host_of(u).alias("host"), path_of(u).alias("path"))
     urls = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    urls = cut(urls, "urls").repartition("host", "path")
+    urls = cut(urls, "urls").repartition(shuffle_width(spark), "host", "path")  # a row becomes some fifty
     good = F.when(F.col("fit.verdict") == "allow", F.col("n")).otherwise(F.lit(0))
     marks = urls.select("host", "path", "fit", "n", good.alias("good"), F.explode(indexes(_codes(F.concat("host", "path")))).alias("idx"))
     counts = marks.where(F.col("fit").isNotNull()).groupBy("idx").agg(F.sum("good").alias("good"), F.sum(F.col("n") - F.col("good")).alias("bad"))
@@ -130,7 +130,7 @@ def _calibrated(known: DataFrame) -> float:
     counts = known.groupBy(bin_.alias("bin")).agg(F.sum("good").alias("good"), F.sum(F.col("n") - F.col("good")).alias("bad"))
     row = counts.sparkSession.sql(
         """
-        SELECT min_by(bin, (error, bin)) AS bin, max(goods) AS goods, max(bads) AS bads FROM (
+        SELECT min_by(bin, (round(error, 12), bin)) AS bin, max(goods) AS goods, max(bads) AS bads FROM (
           SELECT bin, sum(good) OVER () AS goods, sum(bad) OVER () AS bads,
                  coalesce(sum(good) OVER w, 0) / greatest(1, sum(good) OVER ()) + 1 - coalesce(sum(bad) OVER w, 0) / greatest(1, sum(bad) OVER ()) AS error
           FROM {bins} WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -142,4 +142,42 @@ def _calibrated(known: DataFrame) -> float:
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict over every url of `pages`."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+    judged = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def _sql_model(k: str) -> str:
+    """Witten-Bell probability of a triple for the counts in column k, as SQL."""
+    p1 = f"CASE WHEN {k}_nb + {k}_tb > 0 THEN ({k}_bc + {k}_tb * (({k}_c + 1) / ({k}_all + {A}))) / ({k}_nb + {k}_tb) ELSE ({k}_c + 1) / ({k}_all + {A}) END"
+    return f"CASE WHEN {k}_nab + {k}_tab > 0 THEN ({k} + {k}_tab * ({p1})) / ({k}_nab + {k}_tab) ELSE {p1} END"
+
+
+def _sql_sums(over: str, by: str, names: str) -> str:
+    return ", ".join(f"sum({k}{over})::DOUBLE AS {k}_n{names}, sum(({k}{over} > 0)::INT)::DOUBLE AS {k}_t{names}" for k in ("good", "bad")) + f" FROM {by}"
+
+
+ORACLE = f"""
+WITH rules(v, rh, rp) AS (VALUES {", ".join(str(r) for r in RULES)}),
+u AS (SELECT page_id, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+d AS (SELECT host, path, count(*) AS n FROM h GROUP BY host, path),
+f AS (SELECT host, path, any_value(n) AS n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS rv
+      FROM d LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+s AS (SELECT host, path, n, rv, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM f),
+c AS (SELECT host, path, n, rv, [0, 0] || list_transform(range(1, length(t) + 1), lambda i: CASE WHEN instr('{ALPHABET}', substr(t, i, 1)) > 0 THEN instr('{ALPHABET}', substr(t, i, 1)) ELSE {A - 1} END) || [0] AS s FROM s),
+m AS (SELECT host, path, n, rv, s, unnest(range(1, len(s) - 1)) AS i FROM c),
+t AS (SELECT host, path, n, rv, s[i] * {A * A} + s[i + 1] * {A} + s[i + 2] AS idx FROM m),
+k AS (SELECT idx, coalesce(sum(n) FILTER (rv = 'allow'), 0) AS good, coalesce(sum(n) FILTER (rv = 'block'), 0) AS bad FROM t WHERE rv IS NOT NULL GROUP BY idx),
+a AS (SELECT r.i AS idx, r.i // {A} AS ab, r.i % {A * A} AS bc, r.i // {A} % {A} AS b, r.i % {A} AS c, coalesce(good, 0)::DOUBLE AS good, coalesce(bad, 0)::DOUBLE AS bad FROM range({A**3}) r(i) LEFT JOIN k ON k.idx = r.i),
+two AS (SELECT bc, any_value(b) AS b, any_value(c) AS c, sum(good) AS good_bc, sum(bad) AS bad_bc FROM a GROUP BY bc),
+oab AS (SELECT ab, {_sql_sums("", "a", "ab")} GROUP BY ab), ob AS (SELECT b, {_sql_sums("_bc", "two", "b")} GROUP BY b),
+oc AS (SELECT c, sum(good_bc) AS good_c, sum(bad_bc) AS bad_c FROM two GROUP BY c), oall AS (SELECT sum(good_c) AS good_all, sum(bad_c) AS bad_all FROM oc),
+l AS (SELECT idx, ln({_sql_model("good")}) - ln({_sql_model("bad")}) AS d FROM a JOIN two USING (bc) JOIN oab USING (ab) JOIN ob ON ob.b = a.b JOIN oc ON oc.c = a.c, oall),
+e AS (SELECT host, path, sum(d) / count(*) AS score FROM t JOIN l USING (idx) GROUP BY host, path),
+g AS (SELECT floor(least(greatest(score, -{FAR}), {FAR}) * {BINS}) AS bin, sum(n) FILTER (rv = 'allow') AS good, sum(n) FILTER (rv = 'block') AS bad FROM e JOIN f USING (host, path) WHERE rv IS NOT NULL GROUP BY 1),
+w AS (SELECT bin, sum(good) OVER () AS goods, sum(bad) OVER () AS bads, coalesce(sum(good) OVER p, 0) / greatest(1, coalesce(sum(good) OVER (), 0)) + 1 - coalesce(sum(bad) OVER p, 0) / greatest(1, coalesce(sum(bad) OVER (), 0)) AS error
+      FROM g WINDOW p AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT CASE WHEN max(goods) > 0 AND max(bads) > 0 THEN arg_min(bin, (round(error, 12), bin)) / {BINS}.0 ELSE 0 END AS least_score FROM w)
+SELECT page_id, host, path, rule, CASE WHEN rv IS NOT NULL THEN rv WHEN score >= coalesce(least_score, 0) THEN 'allow' ELSE 'block' END AS verdict, round(score, 6) AS score
+FROM h JOIN f USING (host, path) JOIN e USING (host, path), z
+"""
