@@ -31,6 +31,8 @@ MAGIC = b"HWEFIDS1"
 SAMPLE = 256
 #: Cached words a worker holds at most; beyond that the cache starts anew.
 CACHE_WORDS = 800_000
+#: Bytes of texts encoded at a time, and one text more.
+BATCH_BYTES = 12_000_000
 
 
 class EliasFano:
@@ -196,7 +198,7 @@ class WordCachedEncoder:
     #: White space of either library's definition, three in a row or two at the end; or the mark itself.
     WHOLE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{3}|[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}\z|\x01"
     #: Letters, then the marks that may follow them; the splitter always cuts between.
-    LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
     #: Words in one text for the library.
     LINE = 500
 
@@ -208,40 +210,54 @@ class WordCachedEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letter_words(self, words: list[str]) -> dict[str, bytes]:
-        """Letter-only words, with or without their blank, encoded between line feeds."""
-        out: dict[str, bytes] = {}
+    def _between_feeds(self, tok, words: list[str], lead: str = "", spell: bool = False) -> Iterator[tuple[str, bytes]]:
+        """(word, ids of lead + word) for words without white space inside, many to a text with line feeds between."""
+        glue = "\n" + lead
         for i in range(0, len(words), 100 * self.LINE):
             lines = [words[j : j + self.LINE] for j in range(i, min(i + 100 * self.LINE, len(words)), self.LINE)]
-            spelled = ["\n".join(x).encode().decode("latin-1").translate(_SPELL) for x in lines]
-            for own, e in zip(lines, self.letters.encode_batch_fast(spelled, add_special_tokens=False)):
+            texts = [lead + glue.join(x) for x in lines]
+            if spell:
+                texts = [t.encode().decode("latin-1").translate(_SPELL) for t in texts]
+            for own, e in zip(lines, tok.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype=self.kind)
                 stops = (np.flatnonzero(ids == self.feed) * self.width).tolist()
-                data = ids.tobytes()
-                out.update(zip(own, (data[a:b] for a, b in zip([0, *(x + self.width for x in stops)], [*stops, len(data)]))))
-        return out
+                data, width = ids.tobytes(), self.width
+                yield from zip(own, [data[a:b] for a, b in zip([0, *[x + width for x in stops]], [*stops, len(data)])])
 
     def _learn(self, keys: list[str]) -> None:
-        words, cut, odd, new = self.words, [], [], set()
-        for k in keys:
-            w = k[1:] if k[:1] == self.START else k if k == "\n" else " " + k
-            if m := self.LETTERS.fullmatch(w):
+        """Letter-only words first, then words with marks behind letters, whose letters are then known, then the rest."""
+        words, match, start = self.words, self.LETTERS.fullmatch, self.START
+        rest = [k for k in keys if not (k.isascii() and k.isalpha())]
+        plain, marked, odd = [k for k in keys if k.isascii() and k.isalpha()], [], []
+        for k in rest:
+            if m := match(k[1:] if k[:1] == start else k):
                 core, marks = m.groups()
-                cut.append((k, core, marks))
-                new.add(core)
+                head = start + core if k[:1] == start else core
+                if marks:
+                    marked.append((k, head, marks))
+                else:
+                    plain.append(k)
             else:
-                odd.append((k, w))
-        words.update(zip((k for k, _ in odd), (i.tobytes() for i in self._ids([w for _, w in odd]))))
-        cores = {c: words.get(c[1:] if c[0] == " " else self.START + c) for c in new}
-        cores |= self._letter_words([c for c, v in cores.items() if v is None])
-        fresh = list({m for _, _, m in cut if m not in self.marks})
-        self.marks.update(zip(fresh, (i.tobytes() for i in self._ids(fresh))))
-        words.update((k, cores[c] + self.marks[m]) for k, c, m in cut)
+                odd.append(k)
+        known = set(plain)
+        extra = {h for _, h, _ in marked if h not in words and h not in known}
+        led = [k for k in plain if k[0] != start] + [h for h in extra if h[0] != start]
+        bare = [k[1:] for k in plain if k[0] == start] + [h[1:] for h in extra if h[0] == start]
+        words.update(self._between_feeds(self.letters, led, " ", spell=True))
+        words.update((start + w, v) for w, v in self._between_feeds(self.letters, bare, spell=True))
+        fresh = list({m for _, _, m in marked if m not in self.marks})
+        self.marks.update(self._between_feeds(self.tok, fresh))
+        words.update([(k, words[h] + self.marks[m]) for k, h, m in marked])
+        solid = [k for k in odd if k[:1] != start and k.split() == [k]]
+        words.update(self._between_feeds(self.tok, solid, " "))
+        last = [k for k in odd if k[:1] == start or k.split() != [k]]
+        texts = [k[1:] if k[:1] == start else k if k == "\n" else " " + k for k in last]
+        words.update(zip(last, (i.tobytes() for i in self._ids(texts))))
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Ids of whole texts as bytes."""
@@ -275,11 +291,23 @@ def write_shards(docs: DataFrame, out: str, encoder: Callable[[], WordCachedEnco
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
+
+        def coded(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            keys, ids, texts = (pa.concat_arrays([r.column(c) for r in rows]) for c in ("key", "id", "text"))
+            pid = pa.array(block_of(bounds, keys.to_pylist()), pa.int32())
+            return pa.RecordBatch.from_arrays([pid, keys, ids, pa.array(enc.encode(texts), pa.binary())], ["pid", "key", "id", "data"])
+
+        held, size = [], 0  # words are told apart over some 12 MB of texts at a time
         for batch in batches:
-            keys, ids, texts = batch.column("key"), batch.column("id"), batch.column("text")
-            for a, b in steps(pc.binary_length(texts).to_pylist(), 4_000_000):
-                pid = pa.array(block_of(bounds, keys.slice(a, b - a).to_pylist()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pid, keys.slice(a, b - a), ids.slice(a, b - a), pa.array(enc.encode(texts.slice(a, b - a)), pa.binary())], ["pid", "key", "id", "data"])
+            for a, b in steps(pc.binary_length(batch.column("text")).to_pylist(), BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py()
+                if size >= BATCH_BYTES:
+                    yield coded(held)
+                    held, size = [], 0
+        if held:
+            yield coded(held)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, shard, done = None, None, []
