@@ -212,6 +212,31 @@ def test_one_of_each(spark, docs, texts, messy, empty):
     assert dedup.one_of_each(empty).count() == 0
 
 
+def kept_by_all_pairs(rows):
+    s = {i: frozenset(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(s, 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    return set(union(links, s).values())
+
+
+def prose(rng, n):
+    return [f"w{x}" for x in rng.zipf(1.3, n) % 5000]
+
+
+def test_one_of_each_finds_cut_and_extended_copies(spark):
+    """Copies cut to 84 % or extended by 18 %, just above 0.8."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        t, other = prose(rng, 60 + 4 * i), prose(rng, 400)
+        n = len(t)
+        rows += [(3 * i, t), (3 * i + 1, t[: int(0.84 * n)]), (3 * i + 2, t + other[: int(0.18 * n)])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = kept_by_all_pairs(rows)
+    assert len(want) < 70
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in dedup.one_of_each(df).collect()} == want
+
+
 # ---- 4 winnowing
 
 
