@@ -237,6 +237,31 @@ def test_one_of_each_finds_cut_and_extended_copies(spark):
     assert {r.doc_id for r in dedup.one_of_each(df).collect()} == want
 
 
+def test_one_of_each_compares_all_members(spark):
+    """Table-like texts share their commonest word, and most of their bits; the least of them is like no other."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(40):
+        cells = [f"c{x}" for x in rng.integers(0, 10_000, 60)]
+        rows.append((2 * i, " | ".join(cells)))
+        if i:
+            cells[int(rng.integers(0, 60))] = "new"
+            rows.append((2 * i + 1, " | ".join(cells)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in dedup.one_of_each(df).collect()} == kept_by_all_pairs(rows) == {2 * i for i in range(40)}
+
+
+def test_rest_tries_what_the_least_left_open(spark):
+    """A group whose least member is like no other: its other members are tried with each other, however it is cut."""
+    groups = spark.createDataFrame([([(k, 100) for k in range(9)],), ([(2, 100), (20, 40), (21, 41)],)], "members array<struct<key: long, n: int>>")
+    first = {(r.a, r.b) for r in dedup.with_least(groups, 0.8).collect()}
+    assert first == {(k, 0) for k in range(1, 9)}
+    roots = spark.createDataFrame([(7, 5), (5, 5)], "node long, root long")
+    for block in (2, 3, 100):
+        got = {(r.a, r.b) for r in dedup.rest(groups, roots, 0.8, block).collect()}
+        assert got == {(a, b) for a in range(1, 9) for b in range(1, a)} - {(7, 5)} | {(21, 20)}
+
+
 # ---- 4 winnowing
 
 
