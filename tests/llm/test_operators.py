@@ -262,6 +262,30 @@ def test_rest_tries_what_the_least_left_open(spark):
         assert got == {(a, b) for a in range(1, 9) for b in range(1, a)} - {(7, 5)} | {(21, 20)}
 
 
+def test_one_of_each_counts_repeats_once(spark):
+    """Copies whose last words are repeated many times: like sets, unlike counts."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(40):
+        t = prose(rng, 300)
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t + t[-12:] * 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in dedup.one_of_each(df).collect()} == kept_by_all_pairs(rows) == {2 * i for i in range(40)}
+
+
+def test_parity_sketch_never_rejects_a_near_pair():
+    rng = np.random.default_rng(14)
+    for n in (1, 5, 9, 60, 500, 4000):
+        for keep in (0.8, 0.85, 0.95, 1.0):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            y = np.concatenate([x[: int(np.ceil(n * keep))], rng.integers(0, 1 << 63, int(n * 0.05)).astype(np.uint64)])
+            common, total = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            bound = dedup.least_difference(dedup.sketch(np.unique(x)), dedup.sketch(np.unique(y)))
+            assert bound <= total - common
+    far = [dedup.sketch(np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))) for _ in range(2)]
+    assert dedup.least_difference(*far) > 0.2 / 1.8 * 1000
+
+
 # ---- 4 winnowing
 
 
