@@ -31,8 +31,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Types and their patterns, the first that fits wins. \p classes are Java's.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
-    "secret": r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\x22']?)[^\s\x22',;]{6,256}",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\x22']?)[^\s\x22',;]{6,}+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -45,6 +45,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with any entity must contain; most texts are passed over by this one cheap scan.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{{0,3}}[=:]|(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_U}|{_GIVEN_M}|{_GIVEN_F})\b"
 
+#: What a surrogate replaces.
+LETTER = r"[\p{L}\p{Nd}]"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR_L, _CYR_U = "абвгдежзиклмнопрстуфхцчш", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШ"
 _GRK_L, _GRK_U = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
@@ -97,13 +99,11 @@ def _pick(pool: str, b: Column) -> Column:
 def _same_shape(value: Column, digest: Column) -> Column:
     """Each letter or digit replaced by one of its case and script; the k-th of them takes the k-th byte of the digest."""
     hexes = value.rlike(r"^[0-9a-f]*[0-9][0-9a-f]*$") & value.rlike("[a-f]")
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
 
     def new(c: Column, k: Column, b: Column, hexed: Column) -> Column:
         within = lambda a, z: (c >= F.lit(a)) & (c <= F.lit(z))
         return (
-            F.when(~c.rlike(r"[\p{L}\p{Nd}]"), c)
-            .when(hexed, _pick("0123456789abcdef", b))
+            F.when(hexed, _pick("0123456789abcdef", b))
             .when(within("0", "9"), F.when(k == 0, b % 8 + 2).otherwise(b % 10).cast("string"))
             .when(within("a", "z"), _pick(_LOWER, b))
             .when(within("A", "Z"), _pick(_UPPER, b))
@@ -114,12 +114,11 @@ def _same_shape(value: Column, digest: Column) -> Column:
             .otherwise(c)
         )
 
-    def put(state: Column, c: Column, hexed: Column) -> Column:
-        step = F.when(c.rlike(r"[\p{L}\p{Nd}]"), 1).otherwise(0)
-        return F.struct(F.concat(state["out"], let(_byte(digest, state["k"]), lambda b: new(c, state["k"], b, hexed))).alias("out"), (state["k"] + step).alias("k"))
+    def filled(hexed: Column) -> Column:
+        fresh = F.transform(F.call_function("regexp_extract_all", value, F.lit(LETTER), F.lit(0)), lambda c, k: let(_byte(digest, k), lambda b: new(c, k, b, hexed)))
+        return F.array_join(F.zip_with(F.split(value, LETTER, -1), fresh, lambda rest, c: F.concat(rest, F.coalesce(c, F.lit("")))), "")
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
-    return let(hexes, lambda hexed: F.aggregate(chars, start, lambda state, c: put(state, c, hexed))["out"])
+    return let(hexes, filled)
 
 
 def _luhn_sum(digits: Column) -> Column:

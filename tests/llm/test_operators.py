@@ -128,6 +128,16 @@ def test_surrogates(spark, messy, empty):
     assert pii.replaced(empty).count() == 0
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    rng = np.random.default_rng(15)
+    long = "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789"), 70_000))
+    t = [f"token: {long[:900]}.{long[900:1500]} end", f"sk-{long[:200]} end", f"password={long} end"]
+    rows = pii.replaced(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["__entities"] for r in rows] == [1, 1, 1] and [len(r.text) for r in rows] == [len(x) for x in t]
+    for r, x in zip(rows, t):
+        assert r.text.endswith(" end") and not any(x[i : i + 20] in r.text for i in range(10, len(x) - 30, 7))
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     """With surrogates of one digit all collide; all get distinct ones that are no input."""
     real = pii.surrogate
