@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut
+from hingeworks.llm.common import cut, ranked
 
 KEY = "change-this-key"
-#: Rounds of the collision check at most; each leaves a tiny share of the collisions of the one before.
+#: Rounds of the collision check at most; each leaves a tiny share of the collisions of the one before, the rest is numbered.
 ROUNDS = 12
 
 _TITLE_M = r"Mr|Mister|Sir|Herr|Señor|Sr|Don|Monsieur|Господин|г-н|Κύριος"
@@ -97,7 +97,10 @@ def _pick(pool: str, b: Column) -> Column:
 
 
 def _same_shape(value: Column, digest: Column) -> Column:
-    """Each letter or digit replaced by one of its case and script; the k-th of them takes the k-th byte of the digest."""
+    """Each letter or digit replaced by one of its case and script; the k-th of them takes the k-th byte of the digest.
+
+    Letters of other scripts are replaced by Latin ones, and so is every sign of a value without letters or digits.
+    """
     hexes = value.rlike(r"^[0-9a-f]*[0-9][0-9a-f]*$") & value.rlike("[a-f]")
 
     def new(c: Column, k: Column, b: Column, hexed: Column) -> Column:
@@ -111,12 +114,14 @@ def _same_shape(value: Column, digest: Column) -> Column:
             .when(within("А", "Я"), _pick(_CYR_U, b))
             .when(within("α", "ω"), _pick(_GRK_L, b))
             .when(within("Α", "Ω"), _pick(_GRK_U, b))
-            .otherwise(c)
+            .otherwise(_pick(_LOWER, b))
         )
 
+    part = F.when(value.rlike(LETTER), LETTER).otherwise("(?s).")
+
     def filled(hexed: Column) -> Column:
-        fresh = F.transform(F.call_function("regexp_extract_all", value, F.lit(LETTER), F.lit(0)), lambda c, k: let(_byte(digest, k), lambda b: new(c, k, b, hexed)))
-        return F.array_join(F.zip_with(F.split(value, LETTER, -1), fresh, lambda rest, c: F.concat(rest, F.coalesce(c, F.lit("")))), "")
+        fresh = F.transform(F.call_function("regexp_extract_all", value, part, F.lit(0)), lambda c, k: let(_byte(digest, k), lambda b: new(c, k, b, hexed)))
+        return F.array_join(F.zip_with(F.split(value, part, -1), fresh, lambda rest, c: F.concat(rest, F.coalesce(c, F.lit("")))), "")
 
     return let(hexes, filled)
 
@@ -215,7 +220,8 @@ def collisions(values: DataFrame, key: str = KEY) -> DataFrame | None:
     """(value, fixed), or None without any: replacements for the entities (column value, distinct) that share a surrogate or get a real entity.
 
     Entities count as the same by type and normal form, surrogates likewise. Of those that share one the least keeps it,
-    the others try again with the next attempt, against all surrogates so far, until none is left.
+    the others try again with the next attempt, against all surrogates so far, until none is left. Formats too small for
+    all their entities leave some after ROUNDS; these are numbered, beyond any number in use.
     """
     v = F.col("value")
     own = cut(values.select("value", kind_of(v).alias("kind")).withColumn("entity", normal(F.col("kind"), v)), "pii-kinds", narrow=True)
@@ -231,12 +237,23 @@ def collisions(values: DataFrame, key: str = KEY) -> DataFrame | None:
         given = cut(judged.select("kind", "entity", "value", F.when(again, F.lit(turn + 1)).otherwise(F.col("attempt")).alias("attempt")), "pii-attempts", narrow=True)
         if given.where(F.col("attempt") == turn + 1).isEmpty():
             break
-    else:
-        raise RuntimeError("surrogates still collide; use a longer format or another key")
     moved = given.where("attempt > 0").select("kind", "entity", "attempt")
     if moved.isEmpty():
         return None
-    return own.join(moved, ["kind", "entity"]).select("value", surrogate(v, F.col("attempt"), key).alias("fixed"))
+    left = moved.where(F.col("attempt") == ROUNDS)
+    numbers = left.select("kind", "entity", F.lit(None).cast("string").alias("number")) if left.isEmpty() else numbered(left, own, named)
+    fixed = own.join(moved, ["kind", "entity"]).join(numbers, ["kind", "entity"], "left")
+    return fixed.select("value", F.coalesce("number", surrogate(v, F.col("attempt"), key)).alias("fixed"))
+
+
+def numbered(left: DataFrame, own: DataFrame, named: DataFrame) -> DataFrame:
+    """(kind, entity, number): the kind and a number for each entity left, none of them an entity or surrogate of the kind."""
+    used = own.select("kind", F.col("entity").alias("x")).unionByName(named.select("kind", F.col("to").alias("x")))
+    digits = F.regexp_extract("x", "-#([0-9]{1,17})$", 1)
+    most = used.select("kind", digits.alias("d")).where("d <> ''").groupBy("kind").agg(F.max(F.col("d").cast("long")).alias("most"))
+    nth, _ = ranked(left.select("kind", "entity"), ["kind", "entity"], ["kind"], "nth", "pii-left")
+    number = F.concat(F.col("kind"), F.lit("-#"), (F.coalesce("most", F.lit(0)) + F.col("nth")).cast("string"))
+    return nth.join(most, "kind", "left").select("kind", "entity", number.alias("number"))
 
 
 def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

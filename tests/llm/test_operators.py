@@ -155,6 +155,15 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(new)) == len(text) and not set(new) & {t for _, t in text}
 
 
+def test_masked_and_foreign_secrets(spark):
+    """Values that keep their shape under any surrogate, and a format that has fewer surrogates than entities."""
+    secrets = ["********", "------", "密码是春天的花", "пароль密码", *(f"*****{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "secret-#7"]
+    df = spark.createDataFrame([(i, f"password: {x} end") for i, x in enumerate(secrets)], "doc_id long, text string")
+    new = [re.fullmatch(r"password: (\S+) end", r.text)[1] for r in pii.replaced(df).orderBy("doc_id").collect()]
+    assert len(set(new)) == len(secrets) and not set(new) & set(secrets)
+    assert not any("密" in x or "花" in x for x in new) and "secret-#8" in new
+
+
 # ---- 3 near duplicates
 
 
