@@ -28,7 +28,7 @@ _GIVEN_M = r"James|John|Robert|Michael|William|David|Thomas|Charles|Peter|Paul|G
 _GIVEN_F = r"Mary|Anna|Maria|María|Elizabeth|Sarah|Susan|Karen|Emma|Julia|Laura|Helen|Ursula|Monika|Claire|Sophie|Carmen|Lucía|Ольга|Мария|Ирина"
 _NAME = r"\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Types and their patterns, the first that fits wins. \p classes are Java's.
+#: Types and their patterns, the first that fits wins; so do a card's usual groupings before digits with any blanks. \p classes are Java's.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
@@ -37,8 +37,8 @@ PATTERNS = {
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d+(-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![\d-])",
-    "phone": r"(?:(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?<![\d+])\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "card": r"(?<![\d+(-])(?:\d{13,19}(?![\d-])|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3}(?![\d/-]|[.,]\d))?(?![\d-])|\d{4}[ -]\d{6}[ -]\d{4,5}(?![\d-])|\d(?:[ -]?\d){12,18}(?![\d-]))",
+    "phone": r"(?:(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+[01]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?<![\d+])\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_U})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_M}|{_GIVEN_F}) {_NAME})(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())

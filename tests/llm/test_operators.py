@@ -164,6 +164,15 @@ def test_masked_and_foreign_secrets(spark):
     assert not any("密" in x or "花" in x for x in new) and "secret-#8" in new
 
 
+def test_card_and_phone_groupings(spark):
+    t = ["3056 930902 5904", "3056-930902-5904", "6304 9850 2809 0561 515", "4041 8949-7460 8795", "4041894974608795", "3782 822463 10005", "12 34567 8901-23456", "+1 5551234", "+1 (988) 555-2485", "+44 20 7946 0958"]
+    rows = pii.replaced(spark.createDataFrame([(i, f"see {x}, then") for i, x in enumerate(t)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for x, r in zip(t, rows):
+        new = r.text.removeprefix("see ").removesuffix(", then")
+        assert r["__entities"] == 1 and new != x and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", x)
+    assert not rows[2].text.endswith(" 515, then")
+
+
 # ---- 3 near duplicates
 
 
