@@ -72,6 +72,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that no column has, case aside."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def by_ids(docs: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the keys in the written one-column table ids.
 
