@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -51,19 +53,48 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """
     if narrow:
         df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
 
 
+#: Cuts that still have files, in the order of their making.
+_cuts: dict[str, tuple] = {}
+
+
+def _drop(path: str) -> None:
+    jvm, conf = _cuts.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """What results that were never written still read goes with the driver's process."""
+    for path in list(_cuts):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _drop(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut that nothing reads any more."""
-    if path := getattr(df, "_cut_path", None):
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if (path := getattr(df, "_cut_path", None)) in _cuts:
+        _drop(path)
+
+
+def cuts_so_far() -> set[str]:
+    return set(_cuts)
+
+
+def drop_cuts_since(before: set[str], *kept: DataFrame) -> None:
+    """Remove the files of all cuts made since `before` but those of `kept`, when nothing else reads them any more."""
+    keep = {getattr(df, "_cut_path", None) for df in kept}
+    for path in [p for p in _cuts if p not in before and p not in keep]:
+        _drop(path)
 
 
 def text_batches(spark: SparkSession) -> None:
