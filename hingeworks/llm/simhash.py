@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import components, cut, text_batches
+from hingeworks.llm.common import components, cut, cuts_so_far, drop_cuts_since, shuffle_width, text_batches
 
 SEED = 42
 LOW63 = (1 << 63) - 1
@@ -112,7 +112,8 @@ def links(distinct: DataFrame, threshold: int) -> DataFrame:
                 edges += forest(values[a:b], threshold)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    spread = distinct.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    wide = distinct.select("fp").repartition(shuffle_width(distinct.sparkSession), "fp")  # a row becomes 32
+    spread = wide.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
     groups = spread.groupBy("anchor").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
     return groups.mapInArrow(compare, "a long, b long")
 
@@ -125,6 +126,7 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int, id_col: str = "
     repeated. A null id counts as the least of all and makes its component's id null. An empty table gives no rows.
     Other columns of docs are ignored, so that none can clash.
     """
+    before = cuts_so_far()
     own = cut(fingerprints(docs, width, id_col, text_col), "simhash")
     distinct = own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), F.col("id").alias("v"))).alias("first"), F.count(F.lit(1)).alias("n_same"))
     distinct = cut(distinct, "simhash-distinct")
@@ -132,7 +134,9 @@ def near_duplicates(docs: DataFrame, width: int, threshold: int, id_col: str = "
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     classes = rooted.join(least, "root").select("fp", F.col("least.v").alias("component_id"), "n_same")
-    return own.join(cut(classes, "simhash-classes"), "fp").select("id", "fp", "component_id", "n_same")
+    classes = cut(classes, "simhash-classes")
+    drop_cuts_since(before, own, classes)
+    return own.join(classes, "fp").select("id", "fp", "component_id", "n_same")
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
