@@ -1,12 +1,13 @@
 """Token ids as binary shards with Elias-Fano document boundaries.
 
-A shard holds, for a block of documents of ascending id: the concatenated ids, then the document ids, then the
-documents' end offsets as an Elias-Fano sequence, then a footer. Offsets cost about 2 + log2(ids a document) bits
-each instead of 64, and `select` returns any of them from the samples without decoding the rest.
-
-Layout, little-endian: ids (2 bytes each where the vocabulary allows, else 4) | doc ids (int64) | null flags (1 byte
-each) | low bits | high bits | samples (int64) | footer: 8-byte magic, then 8 int64: ids, documents, id width,
-low-bit width, and the lengths in bytes of low bits, high bits and samples, and zero.
+A shard holds, for a block of documents of ascending id: the concatenated ids, then the documents' end offsets and then
+the document ids, both as Elias-Fano sequences, then a footer. An offset costs about 2 + log2(ids a document) bits
+instead of 64, and `select` returns any of them from the samples without decoding the rest. Null document ids come first
+and are only counted; the others are stored as differences from the least.
+
+Layout, little-endian: ids (2 bytes each where the vocabulary allows, else 4) | low bits, high bits and samples of the
+offsets | the same of the document ids | footer: 8-byte magic, then 14 int64: ids, documents, id width, null document
+ids, least document id, zero, and for either sequence its low-bit width and the lengths of its three parts in bytes.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hingeworks.llm.blocks import block_of, bounds_of, keyed
-from hingeworks.llm.common import NO_ID, coded_words, fresh_path, steps
+from hingeworks.llm.common import coded_words, fresh_path, steps
 
-MAGIC = b"HWEFIDS1"
+MAGIC = b"HWEFIDS2"
 SAMPLE = 256
 #: Cached words a worker holds at most; beyond that the cache starts anew.
 CACHE_WORDS = 800_000
@@ -43,17 +44,29 @@ class EliasFano:
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, dtype=np.int64)
+        v = np.asarray(values, dtype=np.uint64)
         n = len(v)
         top = int(v[-1]) + 1 if n else 1
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = (v[:, None] >> np.arange(width)) & 1
+        bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        at = (v >> width) + np.arange(n)
+        at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         marks = np.zeros(int(at[-1]) + 1 if n else 0, dtype=np.uint8)
         marks[at] = 1
         return cls(n, width, low, np.packbits(marks, bitorder="little").tobytes(), at[::SAMPLE].copy())
 
+    def parts(self) -> list[bytes]:
+        """Low bits, high bits, samples: the place of every SAMPLE-th set bit, in as few bytes as the last one needs."""
+        return [self.low, self.high, self.samples.astype(self.sample_type(len(self.high))).tobytes()]
+
+    @staticmethod
+    def sample_type(high: int) -> str:
+        return "<u2" if 8 * high < 1 << 16 else "<u4" if 8 * high < 1 << 32 else "<u8"
+
+    @classmethod
+    def from_parts(cls, n: int, low_width: int, low: bytes, high: bytes, samples: bytes) -> EliasFano:
+        return cls(n, low_width, low, high, np.frombuffer(samples, cls.sample_type(len(high))))
+
     def select(self, i: int) -> int:
         """The i-th value: the i-th set bit of the high part, found from the nearest sample, and its low bits."""
         if not 0 <= i < self.n:
@@ -72,16 +85,6 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.low_width + 7) // 8], "little")
         return (at - i << self.low_width) | (chunk >> first % 8 & (1 << self.low_width) - 1)
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        marks = np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")
-        high = np.flatnonzero(marks) - np.arange(self.n)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_width]
-        low = (bits.reshape(self.n, self.low_width).astype(np.int64) << np.arange(self.low_width)).sum(axis=1)
-        return (high << self.low_width) | low
-
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -105,23 +108,24 @@ class ShardWriter:
 
     def close(self) -> tuple[int, int]:
         ends = np.cumsum(np.array(self.sizes, dtype=np.int64))
-        ef = EliasFano.encode(ends)
-        samples = ef.samples.astype("<i8").tobytes()
-        self.out.write(np.array([NO_ID if d is None else d for d in self.ids], dtype="<i8").tobytes())
-        self.out.write(np.array([d is None for d in self.ids], dtype=np.uint8).tobytes())
-        for part in (ef.low, ef.high, samples, MAGIC):
-            self.out.write(part)
-        total = int(ends[-1]) if len(ends) else 0
-        self.out.write(np.array([total, ef.n, self.width, ef.low_width, len(ef.low), len(ef.high), len(samples), 0], dtype="<i8").tobytes())
+        known = [d for d in self.ids if d is not None]
+        least = known[0] if known else 0
+        total, foot = int(ends[-1]) if len(ends) else 0, []
+        for ef in (EliasFano.encode(ends), EliasFano.encode(np.array([d - least for d in known], dtype=np.uint64))):
+            parts = ef.parts()
+            foot += [ef.low_width, *map(len, parts)]
+            for part in parts:
+                self.out.write(part)
+        self.out.write(MAGIC + np.array([total, len(ends), self.width, len(self.ids) - len(known), least, 0, *foot], dtype="<i8").tobytes())
         self.out.close()
         self.fs.move(self.own, self.path)
-        return ef.n, total
+        return len(ends), total
 
 
 class ShardReader:
-    """Opens a shard; holds its boundaries, reads ids on demand."""
+    """Opens a shard; holds its two sequences, reads ids on demand."""
 
-    FOOT = 8 + 8 * 8
+    FOOT = 8 + 14 * 8
 
     def __init__(self, uri: str):
         fs, path = file_system(uri)
@@ -130,13 +134,15 @@ class ShardReader:
         foot = self._at(size - self.FOOT, self.FOOT)
         if foot[:8] != MAGIC:
             raise ValueError(f"{uri} is no shard of token ids")
-        self.n_ids, self.n_docs, self.width, low_width, low, high, samples, _ = np.frombuffer(foot[8:], "<i8").tolist()
-        at = self.n_ids * self.width
-        ids = np.frombuffer(self._at(at, 8 * self.n_docs), "<i8").tolist()
-        null = self._at(at := at + 8 * self.n_docs, self.n_docs)
-        self.doc_ids = [None if z else d for d, z in zip(ids, null)]
-        parts = [self._at(at := at + self.n_docs, low), self._at(at := at + low, high), self._at(at + high, samples)]
-        self.ends = EliasFano(self.n_docs, low_width, parts[0], parts[1], np.frombuffer(parts[2], "<i8"))
+        self.n_ids, self.n_docs, self.width, self.nulls, self.least, _, *rest = np.frombuffer(foot[8:], "<i8").tolist()
+        at, found = self.n_ids * self.width, []
+        for n, (low_width, *sizes) in ((self.n_docs, rest[:4]), (self.n_docs - self.nulls, rest[4:])):
+            parts = []
+            for s in sizes:
+                parts.append(self._at(at, s))
+                at += s
+            found.append(EliasFano.from_parts(n, low_width, *parts))
+        self.ends, self.docs = found
 
     def _at(self, start: int, size: int) -> bytes:
         return self.file.read_at(size, start)
@@ -145,6 +151,9 @@ class ShardReader:
         """Start and end of the i-th document in this shard's ids."""
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.docs.select(i - self.nulls)
+
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self._at(start * self.width, (end - start) * self.width), f"<u{self.width}")
 
@@ -208,7 +217,10 @@ class WordCachedEncoder:
         self.width, self.kind = (4, "<u4") if wide else (2, "<u2")
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.kind).tobytes()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        if len(feed) != 1 or self.tok.decode(self.tok.encode(" a\n b", add_special_tokens=False).ids) != " a\n b":
+            raise ValueError(f"{path} is no byte-level vocabulary: it doesn't keep line feeds and blanks")
+        self.feed = feed[0]
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -338,17 +350,18 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
                 shard = ShardReader(path)
-                ends = shard.ends.decode()
-                sizes = np.diff(ends, prepend=0)
-                for a, b in steps(sizes.tolist(), 4_000_000):
-                    base = int(ends[a] - sizes[a])
-                    ids = shard.ids(base, int(ends[b - 1])).astype("<u4")
-                    cuts = (ends[a:b] - base).tolist()
-                    sums = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip([0, *cuts], cuts)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(ends[a:b] - sizes[a:b] + first, pa.int64()), pa.array(sizes[a:b], pa.int64()), pa.array(sums, pa.int64())],
-                        ["id", "start", "n_tokens", "ids_crc32"],
-                    )
+                for block in range(0, shard.n_docs, 100_000):
+                    every = range(block, min(block + 100_000, shard.n_docs))
+                    ends = [shard.bounds(block)[0], *map(shard.ends.select, every)]
+                    sizes = [b - a for a, b in zip(ends, ends[1:])]
+                    for a, b in steps(sizes, 4_000_000):
+                        base = ends[a]
+                        ids = shard.ids(base, ends[b]).astype("<u4")
+                        sums = [zlib.crc32(ids[x - base : y - base].tobytes()) for x, y in zip(ends[a:b], ends[a + 1 : b + 1])]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([shard.doc_id(block + i) for i in range(a, b)], pa.int64()), pa.array([x + first for x in ends[a:b]], pa.int64()), pa.array(sizes[a:b], pa.int64()), pa.array(sums, pa.int64())],
+                            ["id", "start", "n_tokens", "ids_crc32"],
+                        )
                 shard.close()
 
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
