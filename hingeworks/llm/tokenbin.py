@@ -31,7 +31,7 @@ from hingeworks.llm.common import coded_words, fresh_path, steps
 MAGIC = b"HWEFIDS2"
 SAMPLE = 256
 #: Cached words a worker holds at most; beyond that the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Bytes of texts encoded at a time, and one text more.
 BATCH_BYTES = 12_000_000
 
@@ -192,6 +192,12 @@ BYTES = _byte_alphabet()
 _SPELL = dict(enumerate(BYTES))
 
 
+@cache
+def shared_encoder(path: str, end_id: int | None) -> WordCachedEncoder:
+    """One a worker, so that its tasks share the words met so far."""
+    return WordCachedEncoder(path, end_id)
+
+
 class WordCachedEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, meeting each distinct word once.
 
@@ -375,7 +381,7 @@ def op10_token_id_output(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.jso
     import public_tokenizers
 
     path = public_tokenizers.path(vocabulary)
-    width = WordCachedEncoder(path, end_id).width
+    width = shared_encoder(path, end_id).width
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_shards(docs, fresh_path(spark, "token-ids"), lambda: WordCachedEncoder(path, end_id), width)
+    manifest = write_shards(docs, fresh_path(spark, "token-ids"), lambda: shared_encoder(path, end_id), width)
     return read_shards(manifest).withColumnRenamed("id", "doc_id")
