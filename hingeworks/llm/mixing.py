@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import WORD, cut, ranked
+from hingeworks.llm.common import WORD, cut, cuts_so_far, drop_cuts_since, ranked, shuffle_width, unused
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
 
@@ -56,7 +56,8 @@ def systematic_copies(sized: DataFrame, weights: tuple = WEIGHTS, share: float =
     in (c_before + u, c + u]. No document is emitted more than `most` (rounded up) times, and reruns agree. Null
     sources form a source; sources of size 0 have target 0; an empty table gives no rows.
     """
-    own = cut(sized.select("id", "source", "size"), "mix-sizes", narrow=True)
+    own = sized.select("id", "source", "size").repartition(shuffle_width(sized.sparkSession))  # the scan keeps its tasks, the rows are few numbers
+    own = cut(own, "mix-sizes", narrow=True)
     targets = source_targets(own.select("source", "size"), weights, share, most)
     order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("id")]
     rows, _ = ranked(own, order, ["source"], "rank", "mix-ranks")
@@ -69,21 +70,24 @@ def systematic_copies(sized: DataFrame, weights: tuple = WEIGHTS, share: float =
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns kept, each as often as the mix takes it.
+    """The rows of docs, all columns kept whatever their names, each as often as the mix takes it.
 
     Repeated rows are told apart by counting them on both sides, which costs a shuffle only where an id repeats.
     """
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__size": word_count(F.col("text"))})
-    mixed = systematic_copies(keyed.select(F.col("__id").alias("id"), "source", F.col("__size").alias("size")), **options)
+    before = cuts_so_far()
+    key, words, nth_row, copy = (unused(docs.columns, x) for x in ("key", "words", "nth", "copy"))
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"), words: word_count(F.col("text"))})
+    mixed = systematic_copies(keyed.select(F.col(key).alias("id"), "source", F.col(words).alias("size")), **options)
     mixed = cut(mixed.select("id", F.col("source").alias("__source"), "size", F.col("copies").cast("int").alias("__copies")), "mix-copies", narrow=True)
-    same = keyed["__id"].eqNullSafe(mixed["id"])
+    drop_cuts_since(before, mixed)
+    same = keyed[key].eqNullSafe(mixed["id"])
     if not mixed.groupBy("id").count().where("count > 1").isEmpty():
         nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
         mixed = mixed.withColumn("__k", nth("id", "__source", "size"))
-        keyed = keyed.withColumn("__n", nth("__id", "source", "__size"))
-        same = keyed["__id"].eqNullSafe(mixed["id"]) & keyed["source"].eqNullSafe(mixed["__source"]) & (keyed["__size"] == mixed["size"]) & (keyed["__n"] == mixed["__k"])
+        keyed = keyed.withColumn(nth_row, nth(key, "source", words))
+        same = keyed[key].eqNullSafe(mixed["id"]) & keyed["source"].eqNullSafe(mixed["__source"]) & (keyed[words] == mixed["size"]) & (keyed[nth_row] == mixed["__k"])
     taken = keyed.join(mixed.where("__copies > 0").hint("merge"), same)
-    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), mixed["__copies"])).alias(copy)).drop(copy)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

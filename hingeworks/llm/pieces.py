@@ -67,14 +67,21 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
 
     @classmethod
-    def from_model(cls, path: str, kind: str = "bpe") -> Pieces:
+    def from_model(cls, path: str, kind: str | None = None) -> Pieces:
+        """A model of the library. Its kind shows in the scores: byte-pair models number their merges.
+
+        Models that change texts before they cut them (other than blanks) or join blanks are refused.
+        """
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if (changed := sp.normalize("Ａﬁ e\u0301  x")) != f"{MARK}Ａﬁ{MARK}e\u0301{MARK}{MARK}x":
+            raise ValueError(f"{path} changes texts before it cuts them: {changed!r}")
         ids = range(sp.get_piece_size())
         bytes_ = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        return cls(pieces, bytes_, kind, sp.unk_id())
+        whole = all(s == round(s) for _, s in pieces.values())
+        return cls(pieces, bytes_, kind or ("bpe" if whole else "unigram"), sp.unk_id())
 
     @staticmethod
     def _codes(texts: list[str]) -> np.ndarray:
@@ -260,11 +267,11 @@ class Pieces:
 
 
 @cache
-def load(path: str, kind: str) -> Pieces:
+def load(path: str, kind: str | None) -> Pieces:
     return Pieces.from_model(path, kind)
 
 
-def encoded(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, kind: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids array<int>, n_pieces, ids_crc32, round_trip) of whole texts.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers; round_trip says that decoding gives the text

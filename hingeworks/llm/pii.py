@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut, ranked, unused
+from hingeworks.llm.common import cut, cuts_so_far, drop_cuts_since, ranked, unused
 
 #: The setting that holds the key. Without it an application draws a random one, so that nobody can compute the surrogates.
 KEY_SETTING = "spark.hingeworks.pii.key"
@@ -407,7 +407,7 @@ def replaced(docs: DataFrame, key: str | None = None, text_col: str = "text") ->
     the collision check names; if it names none, no text is moved at all.
     """
     key = key or key_of(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
+    text, before, maps = F.col(f"`{text_col}`"), cuts_so_far(), []
     found = docs.select(F.xxhash64(text).alias("th"), F.array_distinct(matches(text)).alias("values")).where(F.size("values") > 0)
     found = cut(found, "pii-found")
     moved = collisions(found.select(F.explode("values").alias("value")).distinct(), key)
@@ -420,8 +420,9 @@ def replaced(docs: DataFrame, key: str | None = None, text_col: str = "text") ->
         v = F.col("value")
         parts = found.select("th", F.explode("values").alias("value")).withColumn("k", kind_of(v)).where("k is not null").select("th", F.inline(parts_of(F.col("k"), v))).where("kind is not null")
         where = parts.select("th", part_key(F.col("kind"), v).alias("part")).distinct().join(moved, "part")
-        maps = cut(where.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias(attempts)).withColumnRenamed("th", th), "pii-maps", narrow=True)
-        own = docs.join(maps, F.xxhash64(text) == F.col(th), "left").drop(th).withColumn(attempts, F.coalesce(F.col(attempts), none))
+        maps = [cut(where.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias(attempts)).withColumnRenamed("th", th), "pii-maps", narrow=True)]
+        own = docs.join(maps[0], F.xxhash64(text) == F.col(th), "left").drop(th).withColumn(attempts, F.coalesce(F.col(attempts), none))
+    drop_cuts_since(before, *maps)
     done = unused(docs.columns, "done")
     own = own.withColumn(done, rewritten(text, F.col(attempts), key))
     own = own.withColumn(text_col, F.when(F.col(done)["n"] > 0, F.col(done)["text"]).otherwise(text))

@@ -7,8 +7,8 @@ significant log-odds (by the likelihood-ratio test) form the lexicon. A token sc
 how often the text has used it so far, and DRIFT below zero without one, so that the expected
 score is negative and all maximal-scoring segments are found in one linear scan. Segment scores are put on the scale
 of extreme-value theory, S' = lambda S - ln(K n), with lambda and K fitted on non-toxic texts; a text's evidence, the
-log of its summed exp(S'), becomes a probability by a logistic curve. Both fits use texts that did not teach the lexicon
-they are scored with; the final lexicon is then learned from all sampled texts.
+log of its summed exp(S'), becomes a probability by a logistic curve. Both are fitted with the lexicon in use, on the
+texts that did not teach it, one in CALIBRATE of the sampled ones.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut, text_batches
+from hingeworks.llm.common import text_batches
 
 #: Labelled texts that teach at most, in expectation; beyond that an even sample by hash of the id is taken.
 MAX_TRAIN = 24_000
+CALIBRATE = 10
 #: Units in the lexicon at most, the most significant first.
 MAX_UNITS = 20_000
 #: Prior weight in texts; a lexicon unit's least number of toxic texts, least z-score and least log-odds.
@@ -52,27 +53,29 @@ def units(token: str) -> list[str]:
 def segments(scores: list[tuple[int, float]], n: int, drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, start, end) of n tokens that score -drift but for the given (place, score).
 
-    One pass, each candidate is merged at most once: a candidate keeps the sum before it (left) and through it (right);
-    it merges back to the nearest earlier candidate of lower left sum if that one's right sum is lower than its own.
+    One pass in linear time. A candidate keeps the sum before it (left), the sum through it (right) and a link to the
+    nearest earlier candidate of lower left sum; a new one follows these links to find its own, so that what a link has
+    passed over is never looked at again. If that earlier one's right sum is lower than the new one's, all from it on
+    become one candidate, else the new one is added.
     """
-    stack: list[list[float]] = []  # left sum, right sum, start, end
+    stack: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, start, end, link
     total, last = 0.0, -1
     for at, score in scores:
         left = total - drift * (at - last - 1)
         total, last = left + score, at
         if score <= 0:
             continue
-        now = [left, total, at, at + 1]
+        start, j = at, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= now[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= now[1]:
-                stack.append(now)
+            while j >= 0 and stack[j][0] >= left:
+                j = stack[j][4]
+            if j < 0 or stack[j][1] >= total:
+                stack.append((left, total, start, at + 1, j))
                 break
-            now = [stack[j][0], now[1], stack[j][2], now[3]]
+            left, _, start, _, link = stack[j]
             del stack[j:]
-    return [(r - l, int(a), int(b)) for l, r, a, b in stack]
+            j = link
+    return [(r - l, a, b) for l, r, a, b, _ in stack]
 
 
 @dataclass
@@ -130,7 +133,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     kept = own.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     joined = texts.join(F.broadcast(kept), "id")  # most ids and labels, a bounded sample
-    return joined.groupBy("text").agg(F.max("toxic").alias("toxic"), (F.min(F.crc32(F.col("id").cast("string"))) % 4 == 3).cast("int").alias("part"))
+    return joined.groupBy("text").agg(F.max("toxic").alias("toxic"), (F.min(F.pmod(F.xxhash64("id"), F.lit(CALIBRATE))) == 3).cast("int").alias("part"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
@@ -142,38 +145,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     taught = sample(docs, labels, most).cache()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[str], ...] = (Counter(), Counter(), Counter(), Counter())  # 2 * part + toxic
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())  # by label
         for batch in batches:
-            for text, bad, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part"))):
-                seen[2 * part + (bad == 1)].update({u for w in set(tokens(text)) for u in units(w)})
+            for text, bad in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic"))):
+                seen[bad == 1].update({u for w in set(tokens(text)) for u in units(w)})
         names = list(set().union(*seen))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in seen)], ["unit", "z0", "y0", "z1", "y1"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in seen)], ["unit", "z", "y"])
 
     size = {(r.part, r.toxic == 1): r.n for r in taught.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sums = [F.sum(k).alias(k) for k in ("z0", "y0", "z1", "y1")]
-    both = cut(taught.mapInArrow(count, "unit string, z0 long, y0 long, z1 long, y1 long").groupBy("unit").agg(*sums).where(F.col("y0") + F.col("y1") >= LEAST_TEXTS), "toxic-units")
-
-    def learn(model: Model, y: Column, z: Column, bad: float, good: float) -> None:
-        if not bad or not good:
-            return
+    counts = taught.where("part = 0").mapInArrow(count, "unit string, z long, y long").groupBy("unit").agg(F.sum("z").alias("z"), F.sum("y").alias("y"))
+    model, bad, good = Model(), float(size.get((0, True), 0)), float(size.get((0, False), 0))
+    if bad and good:
+        y, z = F.col("y"), F.col("z")
         prior = F.lit(PRIOR) * (y + z + 1) / F.lit(bad + good + 2)
         odds = lambda k, n: F.log((k + prior) / (F.lit(n + PRIOR) - k - prior + 1e-9))
         part = lambda k, n: F.when(k > 0, k * F.log(k / ((y + z) * (n / (bad + good))))).otherwise(F.lit(0.0))
-        rated = both.where(y >= LEAST_TEXTS).select("unit", (odds(y, bad) - odds(z, good)).alias("odds"), F.sqrt(F.greatest(F.lit(0.0), 2 * (part(y, bad) + part(z, good)))).alias("rank"))
+        rated = counts.where(y >= LEAST_TEXTS).select("unit", (odds(y, bad) - odds(z, good)).alias("odds"), F.sqrt(F.greatest(F.lit(0.0), 2 * (part(y, bad) + part(z, good)))).alias("rank"))
         best = rated.where((F.col("rank") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("rank"), "unit").limit(MAX_UNITS).collect()
         model.lexicon = {r.unit: min(r.odds, MOST) for r in best}
-
-    n = lambda bad, *parts: float(sum(size.get((p, bad), 0) for p in parts))
-    model = Model()
-    learn(model, F.col("y0"), F.col("z0"), n(True, 0), n(False, 0))
     _calibrate(model, taught.where("part = 1").select("text", "toxic"))
-    learn(model, F.col("y0") + F.col("y1"), F.col("z0") + F.col("z1"), n(True, 0, 1), n(False, 0, 1))
     taught.unpersist()
     return model
 
 
 def _calibrate(model: Model, texts: DataFrame) -> None:
-    """Fit lambda and K on non-toxic texts, then the logistic curve; a row of three numbers a sampled text reaches the driver."""
+    """Fit lambda and K on non-toxic texts, then the logistic curve.
+
+    The segment scores of the sampled texts reach the driver, those of one in CALIBRATE of MAX_TRAIN at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

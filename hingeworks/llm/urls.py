@@ -3,6 +3,7 @@
 Two variable-order Markov models of characters are counted from URLs that the rules accept and reject. Orders 2, 1 and
 0 are interpolated by Witten-Bell weights, so a context that is rare leans on the shorter one. With 42 symbols there
 are 42^3 context-symbol triples, so both models are one table of 74,088 log-likelihood differences, whatever the input.
+One in CALIBRATE of the URLs with a rule, by a hash, teaches neither model; the threshold is calibrated on these.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import cut, shuffle_width
+from hingeworks.llm.common import cut, cuts_so_far, drop_cuts_since, shuffle_width
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -26,6 +27,9 @@ ALPHABET = LOWER + "0123456789/.-_"
 A = len(ALPHABET) + 2
 #: Calibration bins a unit of score, and the score beyond which all scores share a bin.
 BINS, FAR = 200, 20
+CALIBRATE = 5
+#: A URL that more than one row in so many has is hot; there are fewer such URLs than this, so they can be broadcast.
+HOT = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -101,27 +105,33 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """Rows (id, host, path, rule, verdict, score): the rule's verdict, else the method's.
 
     score is the log-likelihood difference of host and path a symbol; a URL without a rule is allowed if its score
-    reaches the threshold that errs least, classes weighed alike, on the URLs with a rule (lowest such on ties).
-    Without URLs of both verdicts the threshold is 0. Null, empty and malformed URLs have empty host and path and are
+    reaches the threshold that errs least, classes weighed alike, on the URLs with a rule that didn't teach the models
+    (lowest such on ties). Without such URLs of both verdicts the threshold is 0. Null, empty and malformed URLs have empty host and path and are
     judged by the method; repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    spark, u = pages.sparkSession, F.col("url")
+    spark, u, before = pages.sparkSession, F.col("url"), cuts_so_far()
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     own = own.select("id", host_of(u).alias("host"), path_of(u).alias("path"))
     urls = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    urls = urls.withColumn("apart", F.conv(F.substring(F.md5(F.concat("host", "path")), 1, 8), 16, 10).cast("long") % CALIBRATE == 0)
     urls = cut(urls, "urls").repartition(shuffle_width(spark), "host", "path")  # a row becomes some fifty
     good = F.when(F.col("fit.verdict") == "allow", F.col("n")).otherwise(F.lit(0))
-    marks = urls.select("host", "path", "fit", "n", good.alias("good"), F.explode(indexes(_codes(F.concat("host", "path")))).alias("idx"))
-    counts = marks.where(F.col("fit").isNotNull()).groupBy("idx").agg(F.sum("good").alias("good"), F.sum(F.col("n") - F.col("good")).alias("bad"))
+    marks = urls.select("host", "path", "fit", "n", "apart", good.alias("good"), F.explode(indexes(_codes(F.concat("host", "path")))).alias("idx"))
+    counts = marks.where(F.col("fit").isNotNull() & ~F.col("apart")).groupBy("idx").agg(F.sum("good").alias("good"), F.sum(F.col("n") - F.col("good")).alias("bad"))
     ratios = cut(ratio_table(counts), "url-ratios")
     scores = marks.join(F.broadcast(ratios), "idx").groupBy("host", "path").agg(
-        (F.sum("d") / F.count(F.lit(1))).alias("score"), F.first("fit").alias("fit"), F.first("good").alias("good"), F.first("n").alias("n")
+        (F.sum("d") / F.count(F.lit(1))).alias("score"), F.first("fit").alias("fit"), F.first("good").alias("good"), F.first("n").alias("n"), F.first("apart").alias("apart")
     )
     scores = cut(scores, "url-scores")
-    least = _calibrated(scores.where(F.col("fit").isNotNull()))
+    drop_cuts_since(before, scores)
+    least = _calibrated(scores.where(F.col("fit").isNotNull() & F.col("apart")))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= F.lit(least), "allow").otherwise("block"))
-    judged = scores.select("host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
-    return own.join(judged, ["host", "path"]).select("id", "host", "path", "rule", "verdict", "score")
+    judged = scores.select("host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score", "n")
+    rows, by = scores.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ["host", "path"]
+    hot = F.col("n") * HOT > F.lit(rows)
+    often = F.broadcast(judged.where(hot).drop("n"))  # under HOT rows
+    out = own.join(often, by).unionByName(own.join(often.select(*by), by, "left_anti").join(judged.where(~hot).drop("n"), by))
+    return out.select("id", "host", "path", "rule", "verdict", "score")
 
 
 def _calibrated(known: DataFrame) -> float:
@@ -161,20 +171,20 @@ WITH rules(v, rh, rp) AS (VALUES {", ".join(str(r) for r in RULES)}),
 u AS (SELECT page_id, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 d AS (SELECT host, path, count(*) AS n FROM h GROUP BY host, path),
-f AS (SELECT host, path, any_value(n) AS n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS rv
+f AS (SELECT host, path, ('0x' || substr(md5(host || path), 1, 8))::BIGINT % {CALIBRATE} = 0 AS apart, any_value(n) AS n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS rv
       FROM d LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
-s AS (SELECT host, path, n, rv, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM f),
-c AS (SELECT host, path, n, rv, [0, 0] || list_transform(range(1, length(t) + 1), lambda i: CASE WHEN instr('{ALPHABET}', substr(t, i, 1)) > 0 THEN instr('{ALPHABET}', substr(t, i, 1)) ELSE {A - 1} END) || [0] AS s FROM s),
-m AS (SELECT host, path, n, rv, s, unnest(range(1, len(s) - 1)) AS i FROM c),
-t AS (SELECT host, path, n, rv, s[i] * {A * A} + s[i + 1] * {A} + s[i + 2] AS idx FROM m),
-k AS (SELECT idx, coalesce(sum(n) FILTER (rv = 'allow'), 0) AS good, coalesce(sum(n) FILTER (rv = 'block'), 0) AS bad FROM t WHERE rv IS NOT NULL GROUP BY idx),
+s AS (SELECT host, path, n, rv, apart, translate(host || path, '{UPPER}', '{LOWER}') AS t FROM f),
+c AS (SELECT host, path, n, rv, apart, [0, 0] || list_transform(range(1, length(t) + 1), lambda i: CASE WHEN instr('{ALPHABET}', substr(t, i, 1)) > 0 THEN instr('{ALPHABET}', substr(t, i, 1)) ELSE {A - 1} END) || [0] AS s FROM s),
+m AS (SELECT host, path, n, rv, apart, s, unnest(range(1, len(s) - 1)) AS i FROM c),
+t AS (SELECT host, path, n, rv, apart, s[i] * {A * A} + s[i + 1] * {A} + s[i + 2] AS idx FROM m),
+k AS (SELECT idx, coalesce(sum(n) FILTER (rv = 'allow'), 0) AS good, coalesce(sum(n) FILTER (rv = 'block'), 0) AS bad FROM t WHERE rv IS NOT NULL AND NOT apart GROUP BY idx),
 a AS (SELECT r.i AS idx, r.i // {A} AS ab, r.i % {A * A} AS bc, r.i // {A} % {A} AS b, r.i % {A} AS c, coalesce(good, 0)::DOUBLE AS good, coalesce(bad, 0)::DOUBLE AS bad FROM range({A**3}) r(i) LEFT JOIN k ON k.idx = r.i),
 two AS (SELECT bc, any_value(b) AS b, any_value(c) AS c, sum(good) AS good_bc, sum(bad) AS bad_bc FROM a GROUP BY bc),
 oab AS (SELECT ab, {_sql_sums("", "a", "ab")} GROUP BY ab), ob AS (SELECT b, {_sql_sums("_bc", "two", "b")} GROUP BY b),
 oc AS (SELECT c, sum(good_bc) AS good_c, sum(bad_bc) AS bad_c FROM two GROUP BY c), oall AS (SELECT sum(good_c) AS good_all, sum(bad_c) AS bad_all FROM oc),
 l AS (SELECT idx, ln({_sql_model("good")}) - ln({_sql_model("bad")}) AS d FROM a JOIN two USING (bc) JOIN oab USING (ab) JOIN ob ON ob.b = a.b JOIN oc ON oc.c = a.c, oall),
 e AS (SELECT host, path, sum(d) / count(*) AS score FROM t JOIN l USING (idx) GROUP BY host, path),
-g AS (SELECT floor(least(greatest(score, -{FAR}), {FAR}) * {BINS}) AS bin, sum(n) FILTER (rv = 'allow') AS good, sum(n) FILTER (rv = 'block') AS bad FROM e JOIN f USING (host, path) WHERE rv IS NOT NULL GROUP BY 1),
+g AS (SELECT floor(least(greatest(score, -{FAR}), {FAR}) * {BINS}) AS bin, sum(n) FILTER (rv = 'allow') AS good, sum(n) FILTER (rv = 'block') AS bad FROM e JOIN f USING (host, path) WHERE rv IS NOT NULL AND apart GROUP BY 1),
 w AS (SELECT bin, sum(good) OVER () AS goods, sum(bad) OVER () AS bads, coalesce(sum(good) OVER p, 0) / greatest(1, coalesce(sum(good) OVER (), 0)) + 1 - coalesce(sum(bad) OVER p, 0) / greatest(1, coalesce(sum(bad) OVER (), 0)) AS error
       FROM g WINDOW p AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 z AS (SELECT CASE WHEN max(goods) > 0 AND max(bads) > 0 THEN arg_min(bin, (round(error, 12), bin)) / {BINS}.0 ELSE 0 END AS least_score FROM w)

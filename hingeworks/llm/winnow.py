@@ -115,12 +115,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes int"
+OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes int, positions array<int>, edited_positions array<int>"
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Fingerprint each text, its edited text and its successor by ascending id (after the last: the first).
 
+    positions tells where each hash of the fingerprint stands (the first code point of its k-gram), so that a shared
+    hash leads to the shared passage; edited_positions does so for the edited text.
+
     A null text counts as empty, a null id comes first, rows of equal ids follow each other by text, a table of one row
     succeeds itself, an empty table gives no rows. Other columns of docs are ignored.
     """
@@ -130,8 +133,9 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mine = [i for i in range(len(rows) - 1) if rows[i][0]]
         texts = [r[2] for r in rows]
         changed = [edited(texts[i], texts[i + 1]) for i in mine]
-        prints = [h for h, _ in winnow(texts, k, w)]
-        new = [h for h, _ in winnow(changed, k, w)]
+        found, fresh = winnow(texts, k, w), winnow(changed, k, w)
+        prints, new = [h for h, _ in found], [h for h, _ in fresh]
+        places = lambda every: pa.array([p.astype(np.int32) for p in every], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][1] for i in mine], pa.int64()),
@@ -142,8 +146,10 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array([likeness(prints[i], h) for i, h in zip(mine, new)], pa.float64()),
                 pa.array([likeness(prints[i], prints[i + 1]) for i in mine], pa.float64()),
                 pa.array([len(prints[i]) for i in mine], pa.int32()),
+                places(found[i][1] for i in mine),
+                places(p for _, p in fresh),
             ],
-            ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes"],
+            ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes", "positions", "edited_positions"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -443,6 +443,9 @@ def test_edit_probe(spark, docs, texts, messy, empty):
         e = a[: len(a) - q] + texts[n][:q]
         assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_chars == len(a)
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        for text, prints, at in ((a, got[i].fingerprint, got[i].positions), (e, got[i].edited_fingerprint, got[i].edited_positions)):
+            assert len(at) * 8 == len(prints) and at == sorted(at)
+            assert all(winnow.text_of(winnow.winnow([text[p : p + winnow.GRAM]])[0][0]) == prints[8 * k : 8 * k + 8] for k, p in list(enumerate(at))[:5])
     rows = winnow.edit_probe(messy[0]).collect()
     assert len(rows) == len(messy[1])
     prints = {}
@@ -486,6 +489,39 @@ def test_neighbours_recall_and_scores(spark, sf):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_joint_keys_are_the_greatest_sums():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(5, 8))
+    for bits in (1, 3, 6, 9):
+        got = neighbours.keys_of(x, bits, 10)
+        columns = np.ascontiguousarray(neighbours.padded(x).T)
+        for t in range(neighbours.TABLES):
+            faces = neighbours.corners(columns, t, neighbours.polytopes(8, bits))
+            for i in range(5):
+                every = {}
+                for at in itertools.product(*(range(len(f)) for f in faces)):
+                    key = 0
+                    for f, a in zip(faces, at):
+                        key = key * len(f) + a
+                    every[key] = sum(f[a, i] for f, a in zip(faces, at))
+                assert len(every) == 1 << bits and len(set(got[i, t])) == got.shape[2] == min(10, 1 << bits)
+                want = sorted(every.values(), reverse=True)[: got.shape[2]]
+                assert np.allclose([every[k] for k in got[i, t]], want)
+        assert (neighbours.keys_of(x, bits, 1)[:, :, 0] == got[:, :, 0]).all()
+
+
+def test_neighbours_of_few_rows_are_all_found(spark):
+    rng = np.random.default_rng(22)
+    for n in (1, 2, 3, 6, 9):
+        vecs = [(50 * i, rng.normal(size=16).tolist()) for i in range(n)]
+        df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.search(df, lambda i: i % 50 == 0, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 12), r.id))
+        assert {q: len(v) for q, v in got.items()} == ({i: min(5, n - 1) for i, _ in vecs} if n > 1 else {})
+        assert all(v == plain_nearest(vecs, q, 5) for q, v in got.items() if n < 7)
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(0, 40)] + [(50, [1.0, 2.0, 3.0, 4.0]), (60, None), (61, []), (62, [0.0] * 4), (63, [1.0, None, 0.0, 1.0]), (64, [nan, 1.0, 1.0, 1.0]), (65, [inf, 0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (100, [1.0, 0.0]), (101, [0.5, 0.5]), (150, [-1.0, -2.0, -3.0, -4.0])]
@@ -606,7 +642,8 @@ def test_url_rules_and_model(spark, sf):
     for u in (r.url for r in df.collect()):
         host, path = plain_url(u)
         verdict = plain_rule(host, path)[1]
-        if verdict:
+        apart = int(hashlib.md5((host + path).encode()).hexdigest()[:8], 16) % urls.CALIBRATE == 0
+        if verdict and not apart:
             seen[verdict].update(grams(host + path))
 
     def p(counts, a, b, c):
@@ -652,6 +689,31 @@ def test_segments_match_the_definition():
             assert got == sorted((round(s, 9), a, b) for s, a, b in plain_segments(full))
 
 
+def test_segments_are_linear():
+    """Sparse hits that stay apart: the steps of the search grow with their number."""
+    import sys
+
+    def lines(n):
+        count = 0
+
+        def trace(frame, event, arg):
+            nonlocal count
+            count += event == "line"
+            return trace
+
+        hits = [(i * 50, 0.5 + (i * 7919 % 97) / 40) for i in range(n)]
+        old = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            toxicity.segments(hits, 50 * n, 0.15)
+        finally:
+            sys.settrace(old)
+        return count / n
+
+    small, large = lines(500), lines(8_000)
+    assert large < 1.3 * small
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(8)
@@ -697,9 +759,10 @@ def test_toxicity_awkward(spark, labelled, messy, empty):
 
 def test_elias_fano():
     rng = np.random.default_rng(9)
-    for v in ([], [0], [5], [0, 0, 0], [7] * 600, sorted(rng.integers(0, 10**9, 3000).tolist()), list(range(1000)), [0, 10**12]):
-        ef = tokenbin.EliasFano.encode(np.array(v, dtype=np.int64))
-        assert ef.decode().tolist() == v and [ef.select(i) for i in range(0, len(v), 7)] == v[::7]
+    for v in ([], [0], [5], [0, 0, 0], [7] * 600, sorted(rng.integers(0, 10**9, 3000).tolist()), list(range(1000)), [0, 10**12], [0, 5, (1 << 64) - 1]):
+        ef = tokenbin.EliasFano.encode(np.array(v, dtype=np.uint64))
+        again = tokenbin.EliasFano.from_parts(ef.n, ef.low_width, *ef.parts())
+        assert [again.select(i) for i in range(len(v))] == v
         with pytest.raises(IndexError):
             ef.select(len(v))
     many = np.cumsum(rng.integers(1, 2000, 50_000))
@@ -724,10 +787,21 @@ def test_token_files(spark, docs, texts, messy, empty):
         assert got == want
         shard = tokenbin.ShardReader(manifest.orderBy("pid").first().path)
         ids = shard.document(shard.n_docs - 1).tolist()
-        assert ids[-1] == 2 and lib.decode(ids[:-1], skip_special_tokens=False) == dict(rows)[shard.doc_ids[-1]]
+        assert ids[-1] == 2 and lib.decode(ids[:-1], skip_special_tokens=False) == dict(rows)[shard.doc_id(shard.n_docs - 1)]
     assert tokenbin.read_shards(tokenbin.write_shards(empty, common.fresh_path(spark, "ids"), coder, 2)).count() == 0
 
 
+def test_token_files_with_odd_ids_and_vocabularies(spark):
+    """Null, negative and repeated ids, the least and the greatest; a vocabulary that drops line feeds is refused."""
+    ids = [None, None, -(1 << 63) + 1, -5, -5, 0, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, "a b" if k % 2 else "") for k, i in enumerate(ids)], "doc_id long, text string")
+    coder = lambda: tokenbin.WordCachedEncoder(BPE, 2)
+    got = sorted((r.start, r.id, r.n_tokens) for r in tokenbin.read_shards(tokenbin.write_shards(df, common.fresh_path(spark, "ids"), coder, 2)).collect())
+    assert [i for _, i, _ in got] == ids and [s for s, _, _ in got] == [0, *np.cumsum([n for _, _, n in got])[:-1]]
+    with pytest.raises(ValueError, match="byte-level"):
+        tokenbin.WordCachedEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def test_special_strings_go_to_the_library():
     enc = tokenbin.WordCachedEncoder(BPE, None)
     for t in ("a <|endoftext|> b", "  two", "tail ", "it's  x", "\n\n a\n b", "a\u3000b c"):
