@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hingeworks import exact
 from hingeworks.functions import linear, metrics
 from hingeworks.operators import folds, ranking, scaling, selection
 from hingeworks.operators.models import MODELS
 from hingeworks.operators.solvers.aggregate import fit_large
 from hingeworks.operators.solvers.ipm import Spec
-from hingeworks.plans import search
+from hingeworks.plans import experiment, search
 from hingeworks.sources import datasets, sinks
 from hingeworks.sources.datasets import FEATURES, lineitem_problem
 
@@ -261,20 +261,29 @@ def jaccard_stability(spark, d):
     return _round(selection.stability(_sets(spark, d), ["model"]), ["stability"])
 
 
-@query("SELECT l_suppkey % 5 AS model, 1::INT AS n, '2' AS nonzero FROM lineitem GROUP BY 1")
+_WEIGHTS = "m AS (SELECT l_suppkey % 5 AS model, j, (count(*) FILTER (l_linenumber = j) % 3 - 1)::DOUBLE AS w FROM lineitem, (SELECT unnest(range(1, 8)) AS j) GROUP BY 1, 2)"
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    """Seven weights of -1, 0 or 1 a model, from counts."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    w = F.array(*[(F.count_if(F.col("l_linenumber") == j) % 3 - 1).cast("double") for j in range(1, 8)])
+    return li.groupBy((F.col("l_suppkey") % 5).alias("model")).agg(w.alias("w"))
+
+
+@query(f"WITH {_WEIGHTS} SELECT model, count(*) FILTER (w <> 0)::INT AS n, coalesce(string_agg(j::VARCHAR, ', ' ORDER BY j) FILTER (w <> 0), '') AS nonzero FROM m GROUP BY model")
 def nonzero_features(spark, d):
     """Positions of weights beyond 1e-6."""
-    models = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("model")).distinct()
-    at = linear.nonzero(F.array(F.lit(1e-9), F.lit(-0.5), F.lit(0.0)), 1e-6)
-    return models.select("model", F.size(at).alias("n"), F.array_join(at.cast("array<string>"), ", ").alias("nonzero"))
+    at = linear.nonzero(F.col("w"), 1e-6)
+    return _weights(spark, d).select("model", F.size(at).alias("n"), F.array_join(at.cast("array<string>"), ", ").alias("nonzero"))
 
 
-@query("SELECT l_suppkey % 5 AS model, 0.0::DOUBLE AS w1, 0.25::DOUBLE AS w2, 0.0::DOUBLE AS w3, (l_suppkey % 5)::DOUBLE AS w4 FROM lineitem GROUP BY 1")
+@query(f"WITH {_WEIGHTS} SELECT model, " + ", ".join(f"max(w) FILTER (j = {j}) AS w{j}" for j in range(1, 8)) + " FROM m GROUP BY model")
 def scatter_weights(spark, d):
-    """Weights of features 2 and 4 back among four."""
-    models = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 5).alias("model")).distinct()
-    w = linear.scatter(F.array(F.lit(2), F.lit(4)), F.array(F.lit(0.25), F.col("model").cast("double")), 4)
-    return models.withColumn("w", w).select("model", *[F.col("w")[j].alias(f"w{j + 1}") for j in range(4)])
+    """The weights that are not 0 back in place among seven."""
+    picked = _weights(spark, d).withColumn("at", linear.nonzero(F.col("w"), 1e-6))
+    w = linear.scatter(F.col("at"), linear.gather(F.col("w"), F.col("at")), 7)
+    return picked.select("model", w.alias("w")).select("model", *[F.col("w")[j].alias(f"w{j + 1}") for j in range(7)])
 
 
 @query(f"WITH {BASE}, {_LONG}, c AS (SELECT j, feature, power(corr(x, label), 2) AS sq FROM l GROUP BY j, feature) SELECT j, feature FROM c QUALIFY row_number() OVER (ORDER BY sq, j) > 1")
@@ -379,54 +388,253 @@ def variant_stats(spark, d):
     return _round(out, ["mean_f1", "sd_f1"])
 
 
-def _fit_rows(spark: SparkSession, d: str, name: str, params: dict) -> DataFrame:
-    """One fit on the whole embeddings table, scaled, in a task of its own after a check of the size."""
+def _signs(df: DataFrame) -> DataFrame:
+    """The embeddings labelled by the sign of a sum of three components."""
+    return df.withColumn("label", F.when(sum((F.col(f"e{j}") for j in exact.SOME[1:]), F.col(f"e{exact.ONE}")) > 0, 1).otherwise(-1))
+
+
+def _scaled_columns(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings and labels as numpy arrays, scaled, after a check of the size."""
     df, names = _embeddings(spark, d)
     if df.count() * len(names) > search.MOST_NUMBERS:
-        raise ValueError("too large for one task; use fit_large")
+        raise ValueError("too large for the driver; use search.fit_any")
+    t = df.select("vec_id", "label", *names).toArrow().sort_by("vec_id")
+    x = np.column_stack([t[c].to_numpy() for c in names])
+    return search.scaled(x, x)[0], t["label"].to_numpy().astype(float)
+
 
-    def run(tables):
-        parts = [b for b in tables]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).sort_by("vec_id")
-        x = np.column_stack([t[c].to_numpy() for c in names])
-        y = t["label"].to_numpy().astype(float)
-        x, _ = search.scaled(x, x)
-        f = MODELS[name](**params).fit(x, y).fitted
-        yield pa.RecordBatch.from_pylist([{"model": name, "status": f.status, "objective": f.objective, "num_features": len(f.selected), "selected": f.selected, "w": f.w.tolist(), "b": f.b}], pa.schema([("model", pa.string()), ("status", pa.string()), ("objective", pa.float64()), ("num_features", pa.int32()), ("selected", pa.list_(pa.int32())), ("w", pa.list_(pa.float64())), ("b", pa.float64())]))
+FIT = "model string, status string, objective double, num_features int, selected array<int>, w array<double>, b double"
 
-    return df.coalesce(1).mapInArrow(run, "model string, status string, objective double, num_features int, selected array<int>, w array<double>, b double")
+
+def _fit_rows(spark: SparkSession, d: str, name: str, params: dict, features: tuple[int, ...] | None = None) -> DataFrame:
+    """One fit on the whole embeddings table, scaled: in a task of its own, or for budgets in many; beyond their size by aggregation."""
+    df, names = _embeddings(spark, d)
+    if features:
+        names, df = [f"e{j}" for j in features], _signs(df)
+    data = datasets.features_of(df, F.col("vec_id"), names, F.col("label"), "embeddings")
+    f = search.fit_any(data, MODELS[name](**params))
+    return spark.createDataFrame([(name, f.status, f.objective, len(f.selected), f.selected, f.w.tolist(), f.b)], FIT)
 
 
 for _query, _name, _params in (
     ("fit_l1", "L1SVM", {"C": 1.0}),
     ("fit_l2", "L2SVM", {"C": 1.0}),
     ("fit_pinball", "PinballSVM", {"C": 1.0, "tau": 0.5}),
-    ("fit_milp1", "MILP1", {"B": 5, "time_limit": 20}),
-    ("fit_budget_pinball", "PinFSSVM", {"B": 5, "C": 1.0, "tau": 0.5, "time_limit": 20}),
+    ("fit_milp1", "MILP1", {"B": 5}),
+    ("fit_budget_pinball", "PinFSSVM", {"B": 5, "C": 1.0, "tau": 0.5}),
     ("fit_fisher", "FisherSVM", {"n_features": 5, "C": 1.0}),
     ("fit_rfe", "RFESVM", {"n_features": 5, "C": 1.0}),
 ):
     QUERIES[_query] = lambda spark, d, n=_name, p=_params: _fit_rows(spark, d, n, p)
 
 
+def _fit_one(name: str, params: dict, features: tuple[int, ...]):
+    """The same for a model of one feature: its place, and objective, weight and intercept."""
+
+    def run(spark, d):
+        rows = _fit_rows(spark, d, name, params, features)
+        at = F.col("selected")[0]
+        return _round(rows.select(at.alias("feature"), "objective", F.element_at("w", at).alias("w"), "b"), ["objective", "w", "b"], 4)
+
+    return run
+
+
+for _query, _name, _params, _features, _sql in (
+    ("fit_l1_one", "L1SVM", {"C": 1.0}, (exact.ONE,), {"reg": "l1"}),
+    ("fit_l2_one", "L2SVM", {"C": 1.0}, (exact.ONE,), {"reg": "l2"}),
+    ("fit_pinball_one", "PinballSVM", {"C": 1.0, "tau": 0.5}, (exact.ONE,), {"reg": "l2", "tau": 0.5}),
+    ("fit_milp1_one", "MILP1", {"B": 1}, exact.SOME, {"reg": "none", "top": 2.0}),
+    ("fit_budget_one", "PinFSSVM", {"B": 1, "C": 1.0, "tau": 0.5}, exact.SOME, {"reg": "l1", "tau": 0.5, "top": 2.0}),
+    ("fit_fisher_one", "FisherSVM", {"n_features": 1, "C": 1.0}, tuple(range(1, 65)), {"reg": "l1", "by_fisher": True}),
+):
+    QUERIES[_query], ORACLES[_query] = _fit_one(_name, _params, _features), exact.fitted(_features, c=1.0, **_sql)
+
+
+def _one_feature(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The embeddings as a data set of one feature, and ten folds."""
+    df = _signs(_embeddings(spark, d)[0])
+    data = datasets.features_of(df, F.col("vec_id"), [f"e{exact.ONE}"], F.col("label"), "embeddings")
+    return data, data.select("row_id", F.pmod("row_id", F.lit(10)).alias("fold"))
+
+
+_L1_GRID, _PIN_GRID = [(c, 0.0) for c in search.C_GRID], [(c, t) for c in (0.125, 1.0) for t in search.TAU_GRID]
+_FOUR = ["accuracy", "auc", "f1_score", "g_mean"]
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}_mean" for c in _FOUR)
+
+
+@query(f"{exact.cross_validated(_L1_GRID)} SELECT combo_id, fold, round(w, 4) AS w, round(b, 4) AS b, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc, round(f1_score, 6) AS f1_score, round(g_mean, 6) AS g_mean FROM v")
+def cv_fit_folds(spark, d):
+    """Fold metrics and weights of L1 fits over the grid of C."""
+    rows = search.cross_validate(*_one_feature(spark, d), {"L1SVM": search.grid({"C": search.C_GRID})})
+    rows = rows.select("combo_id", "fold", F.col("w")[0].alias("w"), "b", *_FOUR)
+    return _round(_round(rows, _FOUR), ["w", "b"], 4)
+
+
+@query(f"{exact.cross_validated(_L1_GRID)} SELECT combo_id, {_MEANS}, round(stddev_pop(auc), 6) AS auc_std, count(*)::BIGINT AS folds FROM v GROUP BY combo_id")
+def cv_fit_summary(spark, d):
+    rows = search.summary(search.cross_validate(*_one_feature(spark, d), {"L1SVM": search.grid({"C": search.C_GRID})}))
+    names = [*[f"{c}_mean" for c in _FOUR], "auc_std"]
+    return _round(rows, names).select("combo_id", *names, "folds")
+
+
+@query(f"""{exact.cross_validated(_L1_GRID)}, u AS (SELECT combo_id, avg(auc) AS auc FROM v GROUP BY combo_id), o AS (SELECT combo_id, auc FROM u WHERE auc > 0 ORDER BY round(auc, 12) DESC, combo_id LIMIT 1)
+SELECT o.combo_id, round(o.auc, 6) AS auc_mean, round(w, 4) AS w, round(b, 4) AS b, 'Not noise' AS type FROM o JOIN v ON v.combo_id = o.combo_id WHERE fold = 9""")
+def experiment_best(spark, d):
+    """A whole experiment: grid, first best point by mean AUC, the last fold's weights, display name of the variant."""
+    _, rows = experiment.run(*_one_feature(spark, d), {"L1SVM": search.grid({"C": search.C_GRID})})
+    return _round(_round(rows.select("combo_id", "auc_mean", F.col("w")[0].alias("w"), "b", "type"), ["auc_mean"]), ["w", "b"], 4)
+
+
+@query(f"{exact.cross_validated(_PIN_GRID, 2.0)} SELECT combo_id, {_MEANS} FROM v GROUP BY combo_id")
+def cv_fit_budget(spark, d):
+    """Cross-validated budgeted pinball fits over a grid of C and tau."""
+    grid = search.grid({"C": (0.125, 1.0), "tau": search.TAU_GRID}, {"B": 1})
+    rows = search.summary(search.cross_validate(*_one_feature(spark, d), {"PinFSSVM": grid}))
+    return _round(rows, [f"{c}_mean" for c in _FOUR]).select("combo_id", *[f"{c}_mean" for c in _FOUR])
+
+
+def _sweep(name: str, values: tuple, fixed: dict):
+    def run(spark, d):
+        rows = experiment.sweep(*_one_feature(spark, d), name, values, {"B": 1} | fixed)
+        return _round(rows, ["auc_mean", "auc_std"]).select("value", "auc_mean", "auc_std")
+
+    return run
+
+
+for _query, _at, _values, _fixed, _grid in (
+    ("sweep_fit_c", "C", (0.125, 1.0, 8.0, 32.0), {"tau": 0.5}, [(c, 0.5) for c in (0.125, 1.0, 8.0, 32.0)]),
+    ("sweep_fit_tau", "tau", (0.1, 0.3, 0.5, 0.7, 1.0), {"C": 1.0}, [(1.0, t) for t in (0.1, 0.3, 0.5, 0.7, 1.0)]),
+):
+    QUERIES[_query] = _sweep(_at, _values, _fixed)
+    ORACLES[_query] = f"{exact.cross_validated(_grid, 2.0)} SELECT [{', '.join(f'{x}::DOUBLE' for x in _values)}][combo_id + 1] AS value, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std FROM v GROUP BY combo_id"
+
+
+@query(f"""{exact.cross_validated([(c, 0.0) for c in experiment.TUNE_C[1:]])}, u AS (SELECT combo_id, avg(accuracy) AS mean FROM v GROUP BY combo_id)
+SELECT [{', '.join(f'{c}::DOUBLE' for c in experiment.TUNE_C[1:])}][combo_id + 1] AS "C", round(mean, 6) AS accuracy_mean, combo_id = (SELECT combo_id FROM u ORDER BY round(mean, 12) DESC, combo_id LIMIT 1) AS is_best FROM u""")
+def tune_fit_c(spark, d):
+    """C tuned by mean accuracy."""
+    curve, best = experiment.tune(*_one_feature(spark, d), "L1SVM", {"C": experiment.TUNE_C[1:]}, criterion="accuracy")
+    return _round(curve, ["accuracy_mean"]).select("C", "accuracy_mean", (F.col("C") == F.lit(best["C"])).alias("is_best"))
+
+
+def _through_csv(spark: SparkSession, d: str, spec: datasets.DatasetSpec, sep: str = ",", header: bool = False, letters: bool = True) -> DataFrame:
+    """The embeddings' first features written as a delimited file and read by a data-set spec."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    label = F.when(F.col("label") < 5, "g" if letters else "1").otherwise("b" if letters else "0")
+    cells = [F.col("embedding")[j].cast("double") for j in range(spec.n_features)]
+    path = sinks.scratch(spark, "data-set")
+    row = e.select("vec_id", *[c.alias(f"x{j}") for j, c in enumerate(cells)], label.alias("class")).coalesce(1).sortWithinPartitions("vec_id").drop("vec_id")
+    row.write.csv(path, sep=sep, header=header)
+    rows = datasets.scan(spark, path, spec)
+    return rows.select("row_id", "dataset", "variant", F.col("features")[0].alias("first"), F.col("features")[spec.n_features - 1].alias("last"), "label")
+
+
+_READ = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, '{0}' AS dataset, 'original' AS variant, embedding[1]::DOUBLE AS first, embedding[{1}]::DOUBLE AS last, CASE WHEN label < 5 THEN 1 ELSE -1 END::INT AS label FROM embeddings"
+
+
+@query(_READ.format("ionosphere", 34))
+def csv_headerless(spark, d):
+    """A file without header whose class is a letter."""
+    return _through_csv(spark, d, datasets.spec_for("ionosphere"))
+
+
+@query(_READ.format("diabetes", 8))
+def csv_headered(spark, d):
+    """A file with a header line and a number as class."""
+    return _through_csv(spark, d, datasets.spec_for("diabetes"), header=True, letters=False)
+
+
+@query(_READ.format("australia", 14))
+def csv_blank_separated(spark, d):
+    return _through_csv(spark, d, datasets.spec_for("australia"), sep=" ", letters=False)
+
+
+@query("SELECT i AS repeat, count(*) FILTER (side)::BIGINT AS test, count(*) FILTER (NOT side)::BIGINT AS train FROM (SELECT i, ('0x' || substr(md5((42 + i) || ':' || vec_id), 1, 8))::BIGINT < (0.2::DOUBLE * 4294967296)::BIGINT AS side FROM embeddings, (SELECT unnest(range(0, 5)) AS i)) GROUP BY i")
+def hold_out_sizes(spark, d):
+    """Five seeded hold-outs of a fifth."""
+    sides = folds.hold_out(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id"))
+    count = lambda i, df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("repeat", F.lit(i).cast("long"))
+    return sinks.union_results([count(i, test, "test").join(count(i, train, "train"), "repeat") for i, (train, test) in enumerate(sides)])
+
+
+@query(f"WITH {BASE}, c AS (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, round(abs(corr({x}, label)), 6) AS abs_corr FROM b" for x in FEATURES) + ") SELECT * FROM (SELECT feature, abs_corr, row_number() OVER (ORDER BY abs_corr DESC, feature)::INT AS place FROM c) WHERE place BETWEEN 2 AND 4")
+def corr_target_slice(spark, d):
+    """Places 2 to 4."""
+    return _round(ranking.target_ranking(lineitem_problem(spark, d), FEATURES, "label", 2, 4), ["abs_corr"])
+
+
+@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT 'e' || a.j AS feature_i, 'e' || b.j AS feature_j, round(corr(a.x, b.x), 6) AS corr FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.j, b.j")
+def corr_matrix_wide(spark, d):
+    """All 64 embedding components, by merged sums of products."""
+    df, names = _embeddings(spark, d)
+    return _round(ranking.correlations(df, names), ["corr"])
+
+
+@query(f"WITH {SCORED}, {_CM} SELECT fold, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity FROM c")
+def balanced_accuracy(spark, d):
+    names = ["balanced_accuracy", "sensitivity", "specificity"]
+    return _round(metrics.evaluate(_scored(spark, d), "label", "pred", ["fold"]).select("fold", *names), names)
+
+
+@query('SELECT c_custkey, c_acctbal, c_nationkey AS "Target" FROM customer')
+def target_last(spark, d):
+    """The label moved behind and renamed, text columns and the name dropped."""
+    return datasets.target_last(spark.read.parquet(f"{d}/customer.parquet"), "c_nationkey", drop=("c_name", "c_mktsegment"))
+
+
+_SIZES = {"L1SVM": 9, "L2SVM": 9, "MILP1": 9 * 30, "PinballSVM": 27, "PinFSSVM": 27 * 30, "FisherSVM": 270, "RFESVM": 270}
+
+
+@query("WITH n AS (SELECT least(len(any_value(embedding)), 30) AS b FROM embeddings) " + " UNION ALL ".join(f"SELECT '{m}' AS model, {f'{k // 30} * b' if k > 99 else k}::BIGINT AS points FROM n" for m, k in _SIZES.items()))
+def default_grid_sizes(spark, d):
+    """Points of each model's default grid on the embeddings."""
+    n = len(_embeddings(spark, d)[1])
+    return spark.createDataFrame([(m, len(search.grid(g))) for m, g in search.default_grids(n).items()], "model string, points long")
+
+
+@query(f"WITH {BASE}, {_LONG} SELECT j, feature, round((power(avg(x) FILTER (label = 1) - avg(x), 2) + power(avg(x) FILTER (label = -1) - avg(x), 2)) / (var_samp(x) FILTER (label = 1) + var_samp(x) FILTER (label = -1)), 9) AS score FROM l GROUP BY j, feature")
+def fisher_unguarded(spark, d):
+    return _round(ranking.fisher_scores(lineitem_problem(spark, d), FEATURES, guards=False), ["score"], 9)
+
+
+@query(f"WITH {BASE} SELECT 'train' AS side, count(*)::BIGINT AS n, round(avg(f1), 6) AS mean_f1 FROM b WHERE fold <> 3 UNION ALL SELECT 'test', count(*), round(avg(f1), 6) FROM b WHERE fold = 3")
+def fold_sides(spark, d):
+    """Training and test side of fold 3."""
+    base = _base(spark, d)
+    side = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1")).select(F.lit(name).alias("side"), "n", "mean_f1")
+    return side(folds.train_of(base, 3), "train").unionByName(side(folds.test_of(base, 3), "test"))
+
+
+@query()
+def fisher_search(spark, d):
+    """The best C and Fisher threshold, searched as Spark tasks."""
+    found = search.fisher_search(_scaled_columns(spark, d), spark=spark)
+    return spark.createDataFrame([(found["C"], found["threshold"], found["auc"], found["accuracy"], found["selected"])], "C double, threshold double, auc double, accuracy double, selected array<int>")
+
+
+@query()
+def rfe_search(spark, d):
+    """The best C and feature set on the halving path, searched as Spark tasks."""
+    found = search.rfe_search(_scaled_columns(spark, d), spark=spark)
+    return spark.createDataFrame([(found["C"], found["auc"], found["accuracy"], found["selected"])], "C double, auc double, accuracy double, selected array<int>")
+
+
 @query()
 def fit_large_l1(spark, d):
     """An L1 fit of all line items by aggregation passes."""
     li = lineitem_problem(spark, d)
     z = scaling.apply(li, scaling.stats(li, FEATURES), FEATURES)
     data = z.select(F.array(*[f"z_{c}" for c in FEATURES]).alias("features"), "label").persist()
-    w, b, value, passes = fit_large(data, len(FEATURES), Spec("hinge", "l1", 1.0, domain="free"))
+    w, b, value, gap, passes = fit_large(data, len(FEATURES), Spec("hinge", "l1", 1.0, domain="free"))
     data.unpersist()
-    return spark.createDataFrame([(w.tolist(), b, value, passes)], "w array<double>, b double, objective double, passes int")
+    return spark.createDataFrame([(w.tolist(), b, value, gap, passes)], "w array<double>, b double, objective double, gap double, passes int")
 
 
 @query()
 def cv_grid_search(spark, d):
-    """Ten-fold grid search of the budgeted pinball model on the embeddings, best point by mean AUC."""
+    """Ten-fold grid search of the budgeted pinball model on the embeddings, each fit to its proven optimum; best point by mean AUC."""
     df, names = _embeddings(spark, d)
     data = datasets.features_of(df, F.col("vec_id"), names, F.col("label"), "embeddings")
     fold = data.select("row_id", folds.hash_fold(F.col("row_id")).alias("fold"))
-    points = search.grid({"C": (0.125, 1.0), "tau": (0.5,), "B": (1, 3, 5), "time_limit": (2,)})
+    points = search.grid({"C": (0.125, 1.0), "tau": (0.5,), "B": (1, 2, 3)})
     return search.best(search.summary(search.cross_validate(data, fold, {"PinFSSVM": points})))

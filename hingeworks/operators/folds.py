@@ -36,9 +36,16 @@ def modular_fold(key: Column, line: Column, k: int = 10) -> Column:
     return F.pmod(key * 7 + line, F.lit(k))
 
 
-def hold_out(df: DataFrame, test_share: float = 0.2, repeats: int = 5, seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
-    """Seeded random hold-outs."""
-    return [tuple(df.randomSplit([1 - test_share, test_share], seed + i)) for i in range(repeats)]
+def held_out(key: Column, test_share: float = 0.2, seed: int = 42) -> Column:
+    """Whether a row is of the test side: a seeded digest of its key, the same in any engine and however rows are dealt."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < F.lit(int(test_share * (1 << 32)))
+
+
+def hold_out(df: DataFrame, key: Column, test_share: float = 0.2, repeats: int = 5, seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
+    """Seeded random hold-outs (train, test)."""
+    sides = [held_out(key, test_share, seed + i) for i in range(repeats)]
+    return [(df.where(~side), df.where(side)) for side in sides]
 
 
 def train_of(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,29 +20,31 @@ def stats(df: DataFrame, columns: list[str], by: list[str] | None = None) -> Dat
 
 
 def fold_stats(df: DataFrame, columns: list[str], k: int, fold: str = "fold") -> DataFrame:
-    """Statistics of each fold's training rows, (fold, mean_*, sd_*), in one pass over the data.
+    """Statistics of each fold's training rows, (fold, n, mean_*, sd_*), in one pass over the data.
 
-    Each row belongs to k - 1 training sides. Sums per fold are taken once and the fold's own are subtracted from the
-    whole: sums of squares are of values less the whole table's mean, so nothing cancels.
+    Each row belongs to k - 1 training sides. Count, mean and squared deviations of each fold are taken once; those of
+    the other folds are then merged, around their joint mean, so that nothing cancels.
     """
-    centre = df.agg(*[F.avg(c).alias(f"o_{c}") for c in columns])
-    shifted = df.join(F.broadcast(centre))  # one row
-    agg = [F.count(F.lit(1)).alias("n")]
-    for c in columns:
-        d = F.col(c) - F.col(f"o_{c}")
-        agg += [F.sum(d).alias(f"s_{c}"), F.sum(d * d).alias(f"q_{c}"), F.first(f"o_{c}").alias(f"o_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    per = shifted.groupBy(fold).agg(*agg)
+    n = F.count(F.lit(1)).alias("n")
+    per = df.groupBy(fold).agg(n, *[a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))])
     other = per.select(*[F.col(c).alias(f"{c}_") for c in per.columns])
     pairs = per.select(F.col(fold)).join(F.broadcast(other), F.col(fold) != F.col(f"{fold}_"))  # k rows a side
-    total = pairs.groupBy(fold).agg(
-        F.sum("n_").alias("n"), *[a for c in columns for a in (F.sum(f"s_{c}_").alias(f"s_{c}"), F.sum(f"q_{c}_").alias(f"q_{c}"), F.first(f"o_{c}_").alias(f"o_{c}"), (F.min(f"lo_{c}_") == F.max(f"hi_{c}_")).alias(f"flat_{c}"))]
-    )
+    rows = pairs.groupBy(fold).agg(F.sum("n_").alias("n"), F.collect_list(F.struct(*other.columns)).alias("others"))
     out = [F.col(fold), F.col("n")]
     for c in columns:
-        mean = F.col(f"s_{c}") / F.col("n")
-        var = F.greatest(F.lit(0.0), F.col(f"q_{c}") / F.col("n") - mean * mean)
-        out += [(F.col(f"o_{c}") + mean).alias(f"mean_{c}"), F.when(F.col(f"flat_{c}") | (var == 0), F.lit(1.0)).otherwise(F.sqrt(var)).alias(f"sd_{c}")]
-    return total.select(*out)
+        mean, square, flat = _merged("others", F.col("n"), c)
+        rows = rows.withColumn(f"mean_{c}", mean).withColumn(f"q_{c}", square(F.col(f"mean_{c}")))
+        out += [F.col(f"mean_{c}"), F.when(flat | (F.col(f"q_{c}") == 0), F.lit(1.0)).otherwise(F.sqrt(f"q_{c}")).alias(f"sd_{c}")]
+    return rows.select(*out)
+
+
+def _merged(parts: str, n: Column, c: str):
+    """Mean of a column over parts (n_, m_<c>_, v_<c>_, lo_<c>_, hi_<c>_), its variance given the mean, and whether it is constant."""
+    m, v, lo, hi = (f"{k}_{c}_" for k in ("m", "v", "lo", "hi"))
+    mean = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["n_"] * x[m]) / n
+    square = lambda at: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["n_"] * (x[v] + (x[m] - at) * (x[m] - at))) / n
+    flat = F.array_min(F.transform(parts, lambda x: x[lo])) == F.array_max(F.transform(parts, lambda x: x[hi]))
+    return mean, square, flat
 
 
 def apply(df: DataFrame, statistics: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ the driver's share doesn't depend on the number of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,26 @@ from pyspark.sql import functions as F
 from hingeworks.operators.solvers.ipm import RESIDUE, Spec, loss_pieces
 
 
-def _sums(df: DataFrame, w: np.ndarray, b: float, spec: Spec, width: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """(loss, gradient, curvature, exact loss) at (w, b), from columns features and label."""
+@dataclass
+class Sums:
+    """loss: smoothed; exact: as it is; reach: the largest feature in absolute value; up: the gradient's part of label 1."""
+
+    loss: float
+    exact: float
+    reach: float
+    grad: np.ndarray
+    up: np.ndarray
+    curve: np.ndarray
+
+
+def _sums(df: DataFrame, w: np.ndarray, b: float, spec: Spec, width: float) -> Sums:
+    """Sums over all rows at (w, b), from columns features and label."""
     a1, d1, a2, d2 = loss_pieces(spec.loss, spec.tau)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(w)
-        loss = exact = 0.0
-        grad, curve = np.zeros(n + 1), np.zeros((n + 1, n + 1))
+        loss = exact = reach = 0.0
+        grad, up, curve = np.zeros(n + 1), np.zeros(n + 1), np.zeros((n + 1, n + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -36,54 +49,96 @@ def _sums(df: DataFrame, w: np.ndarray, b: float, spec: Spec, width: float) -> t
             loss += float(((a2 - d2 * m) + (z + root) / 2).sum())
             exact += float(np.maximum(a1 - d1 * m, a2 - d2 * m).sum())
             share = (1 + z / root) / 2
+            reach = max(reach, float(np.abs(x).max(initial=0.0)))
             slope = -(share * d1 + (1 - share) * d2)
             bend = 2 * width * width / root**3 * (d1 - d2) ** 2
             rows = np.hstack([x, np.ones((len(x), 1))]) * y[:, None]
             grad += rows.T @ slope
+            up += rows[y > 0].T @ slope[y > 0]
             curve += (rows.T * bend) @ rows
-        yield pa.RecordBatch.from_arrays([pa.array([[loss, exact, *grad.tolist(), *curve.ravel().tolist()]], pa.list_(pa.float64()))], ["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([[reach, loss, exact, *grad.tolist(), *up.tolist(), *curve.ravel().tolist()]], pa.list_(pa.float64()))], ["sums"])
 
     parts = df.select("features", "label").mapInArrow(run, "sums array<double>")
-    flat = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    flat = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.when(F.col("i") == 0, F.max("v")).otherwise(F.sum("v")).alias("v"))
     n = len(w) + 1
-    got = np.zeros(2 + n + n * n)
+    got = np.zeros(3 + 2 * n + n * n)
     for r in flat.collect():  # one number a position
         got[r.i] = r.v
-    return float(got[0]), got[2 : 2 + n], got[2 + n :].reshape(n, n), float(got[1])
+    return Sums(got[1], got[2], got[0], got[3 : 3 + n], got[3 + n : 3 + 2 * n], got[3 + 2 * n :].reshape(n, n))
 
 
-def fit_large(df: DataFrame, n: int, spec: Spec, widths: tuple = (1.0, 0.3, 0.1, 0.03, 0.01), each: int = 6) -> tuple[np.ndarray, float, float, int]:
-    """(w, b, objective, passes) for columns features (array of n) and label; cache or write df first.
+def _bound(s: Sums, spec: Spec, best: float, n: int) -> float:
+    """A value that no fit is below. The smoothed slopes are multipliers of the pieces; what they leave is linear in w and b.
 
-    Bounds follow spec as in the small solver. At most len(widths) * each passes over the data.
+    Multipliers may be scaled towards 0: those of one label so that both labels' sums agree and nothing is left for the
+    intercept, and with an L1 regulariser all of them so that it outweighs what is left for the weights. Both losses'
+    pieces meet at margin 1, so the constant part of the bound is the sum of the multipliers. Fits better than `best` have
+    weights that the regulariser bounds, and an intercept that is 0 or meets a row's margin.
+    """
+    nonneg = spec.domain == "nonneg"
+    up, down = spec.c * s.up, spec.c * (s.grad - s.up)
+    more, less = -up[-1], down[-1]  # summed multipliers of the labels 1 and -1
+    if more > 0 and less > 0:
+        if more > less:
+            up, more = up * (less / more), less
+        elif not nonneg:
+            down, less = down * (more / less), more
+    fixed, left = more + less, up + down
+    pull = np.maximum(-left[:-1], 0.0) if nonneg else np.abs(left[:-1])
+    low, high = spec.box if spec.box else (-np.inf, np.inf)
+    box = max(high, 0.0 if nonneg else -low)
+    rest = min(0.0, left[-1]) if nonneg else -abs(left[-1])
+    if spec.reg == "l1":
+        total, top = min(best, n * box), float(pull.max(initial=0.0))
+        plain = fixed + total * min(0.0, 1.0 - top) + rest * (1.0 + total * s.reach)
+        return plain if abs(rest) > 1e-9 * (1.0 + fixed) else max(plain, fixed / max(1.0, top) + rest * (1.0 + total * s.reach))
+    if spec.reg == "l2":
+        return fixed - 0.5 * float(pull @ pull) + rest * (1.0 + np.sqrt(2 * best * n) * s.reach)  # without the box, hence no higher
+    if not np.isfinite(box):
+        return -np.inf
+    return fixed - float(pull.sum()) * box + rest * (1.0 + n * box * s.reach)
+
+
+def fit_large(df: DataFrame, n: int, spec: Spec, tolerance: float = 1e-3, least: float = 1e-6, most: int = 120) -> tuple[np.ndarray, float, float, float, int]:
+    """(w, b, objective, gap, passes) for columns features (array of n) and label; cache or write df first.
+
+    Bounds follow spec as in the small solver. A step that raises the smoothed objective is halved. The width shrinks as
+    steps settle, until no fit can be better by more than gap <= tolerance * (1 + objective), or the width is below
+    `least`, or after `most` passes.
     """
     free = spec.domain == "free"
     low, high = spec.box if spec.box else (-np.inf, np.inf)
     lower = np.r_[np.full(n, low if free else 0.0), -np.inf if free else 0.0]
     upper = np.r_[np.full(n, high), np.inf]
-    u, passes = np.zeros(n + 1), 0
-    best = (np.inf, u)
     reg = lambda w: {"none": 0.0, "l1": float(np.abs(w).sum()), "l2": 0.5 * float(w @ w)}[spec.reg]
-    for width in widths:
-        for _ in range(each):
-            _, grad, curve, exact = _sums(df, u[:n], u[n], spec, width)
-            passes += 1
-            value = reg(u[:n]) + spec.c * exact
-            if value < best[0]:
-                best = (value, u.copy())
-            step = _model_step(u, spec.c * grad, spec.c * curve, spec, lower, upper)
-            move = step - u
-            size = np.abs(move).max()
-            u = u + move * min(1.0, 2.0 / max(size, 1e-12))
-            if size < 1e-4 * (1 + np.abs(u).max()):
+    u, width, passes = np.zeros(n + 1), 1.0, 0
+    best, bound = (np.inf, u), -np.inf
+    held = _sums(df, u[:n], u[n], spec, width)
+    while True:
+        passes += 1
+        value = reg(u[:n]) + spec.c * held.exact
+        best = min(best, (value, u.copy()), key=lambda p: p[0])
+        bound = max(bound, _bound(held, spec, best[0], n))
+        if best[0] - bound <= tolerance * (1 + abs(best[0])) or width < least or passes >= most:
+            break
+        smooth = reg(u[:n]) + spec.c * held.loss
+        move = _model_step(u, spec.c * held.grad, spec.c * held.curve, spec, lower, upper) - u
+        rate = min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
+        while passes < most:
+            new = u + rate * move
+            after = _sums(df, new[:n], new[n], spec, width)
+            if reg(new[:n]) + spec.c * after.loss <= smooth + 1e-12 * (1 + abs(smooth)) or rate < 1e-3:
                 break
-    _, _, _, exact = _sums(df, u[:n], u[n], spec, widths[-1])
-    value = reg(u[:n]) + spec.c * exact
-    if value < best[0]:
-        best = (value, u)
+            rate, passes = rate / 2, passes + 1
+        settled = np.abs(new - u).max() < 0.02 * width * (1 + np.abs(u).max())
+        u, held = new, after
+        if settled:
+            width /= 3
+            held = _sums(df, u[:n], u[n], spec, width)
+            passes += 1
     w = best[1][:n].copy()
     w[np.abs(w) < RESIDUE] = 0.0
-    return w, float(best[1][n]), best[0], passes + 1
+    return w, float(best[1][n]), float(best[0]), float(max(best[0] - bound, 0.0)), passes
 
 
 def _model_step(u: np.ndarray, grad: np.ndarray, curve: np.ndarray, spec: Spec, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:

@@ -12,72 +12,146 @@ from hingeworks.operators.solvers.ipm import Spec, fit, objective
 GAP = 1e-6
 
 
-def _on(x: np.ndarray, y: np.ndarray, spec: Spec, use: np.ndarray, row=None) -> tuple[np.ndarray, float, float]:
-    """Fit on the features of a mask: full weights, intercept, objective."""
+#: Nodes from the root on at which the relaxation is rounded; features that a swap tries for each it takes out.
+ROUNDED, SWAPS = 40, 6
+
+Node = tuple[np.ndarray, np.ndarray]
+Best = tuple[np.ndarray, float, float]
+
+
+def _on(x: np.ndarray, y: np.ndarray, spec: Spec, use: np.ndarray, row=None, above=None) -> tuple[np.ndarray, float, float]:
+    """Fit on the features of a mask: full weights, intercept, objective (infinite once it is known to reach `above`)."""
     n = x.shape[1]
     at = np.flatnonzero(use)
-    w, b, _ = fit(x[:, at], y, spec, None if row is None else (row[0][at], row[1]))
+    w, b, got = fit(x[:, at], y, spec, None if row is None else (row[0][at], row[1]), above)
     full = np.zeros(n)
     full[at] = w
-    return full, b, objective(x, y, full, b, spec)
+    return full, b, np.inf if got.beaten else objective(x, y, full, b, spec)
 
 
-def fit_budget(x: np.ndarray, y: np.ndarray, spec: Spec, budget: float | None, costs: np.ndarray | None = None, deadline: float | None = None, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float, float, str]:
-    """(w, b, objective, status): the sum of costs of non-zero weights is at most budget; None is no limit.
+class Search:
+    """Branch and bound for one problem: the sum of costs of non-zero weights is at most budget.
 
     A node fixes some features in and some out; the rest are relaxed to |w_j| / box, whose summed cost the budget
-    bounds. Depth first on the largest relaxed weight; incumbents come from rounding the relaxation and refitting, and
-    from `start`, a feasible (w, b) such as the fit for a smaller budget. Status is optimal or feasible_timeout.
+    bounds. Nodes branch on the largest relaxed weight. A node's fit ends as soon as its bound reaches the incumbent.
     """
-    n = x.shape[1]
-    costs = np.ones(n) if costs is None else np.asarray(costs, dtype=float)
-    everything = np.ones(n, dtype=bool)
-    w, b, value = _on(x, y, spec, everything)
-    if budget is None or costs[w != 0].sum() <= budget + 1e-9:
-        return w, b, value, "optimal"
-    top = max(abs(v) for v in spec.box) if spec.box else None
-    best: tuple[np.ndarray, float, float] | None = None
-
-    def offer(w: np.ndarray, b: float) -> None:
-        nonlocal best
-        if costs[w != 0].sum() <= budget + 1e-9:
-            value = objective(x, y, w, b, spec)
-            if best is None or value < best[2] - 1e-12:
-                best = (w, b, value)
-
-    def rounded(w: np.ndarray, keep: np.ndarray, out: np.ndarray) -> None:
-        order = sorted(range(n), key=lambda j: (not keep[j], -abs(w[j]), j))
-        use, left = np.zeros(n, dtype=bool), budget
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, spec: Spec, budget: float, costs: np.ndarray | None = None):
+        self.x, self.y, self.spec, self.budget = x, y, spec, budget
+        self.n = x.shape[1]
+        self.costs = np.ones(self.n) if costs is None else np.asarray(costs, dtype=float)
+        self.top = max(abs(v) for v in spec.box) if spec.box else None
+        # with weights in the box an optimal intercept is 0 or meets a row's margin
+        cheap = np.cumsum(np.sort(self.costs))
+        many = int((cheap <= budget + 1e-9).sum())
+        self.most = 1.0 + (self.top or 0.0) * float(np.sort(np.abs(x), axis=1)[:, self.n - many :].sum(axis=1).max(initial=0.0)) if many else 1.0
+        self.best: Best | None = None
+        self.rounds = 0
+
+    def affordable(self, w: np.ndarray) -> bool:
+        return self.costs[w != 0].sum() <= self.budget + 1e-9
+
+    def offer(self, w: np.ndarray, b: float) -> bool:
+        if not self.affordable(w):
+            return False
+        value = objective(self.x, self.y, w, b, self.spec)
+        if self.best is None or value < self.best[2] - 1e-12:
+            self.best = (w, b, value)
+            return True
+        return False
+
+    def rounded(self, w: np.ndarray, keep: np.ndarray, out: np.ndarray) -> None:
+        order = sorted(range(self.n), key=lambda j: (not keep[j], -abs(w[j]), j))
+        use, left = np.zeros(self.n, dtype=bool), self.budget
         for j in order:
-            if not out[j] and costs[j] <= left + 1e-9 and (keep[j] or w[j] != 0):
-                use[j], left = True, left - costs[j]
+            if not out[j] and self.costs[j] <= left + 1e-9 and (keep[j] or w[j] != 0):
+                use[j], left = True, left - self.costs[j]
         if use.any():
-            offer(*_on(x, y, spec, use)[:2])
-
-    offer(np.zeros(n), _on(x, y, spec, np.zeros(n, dtype=bool))[1])
-    if start is not None:
-        offer(*start)
-    rounded(w, np.zeros(n, dtype=bool), np.zeros(n, dtype=bool))
-    stack = [(np.zeros(n, dtype=bool), np.zeros(n, dtype=bool))]
-    while stack:
-        if deadline is not None and time.monotonic() > deadline:
-            return (*best, "feasible_timeout")
-        keep, out = stack.pop()
-        left = budget - costs[keep].sum()
+            self.offer(*_on(self.x, self.y, self.spec, use)[:2])
+
+    def swapped(self) -> None:
+        """Take one feature out of the incumbent and one in, as long as that helps; those that would lower the loss most are tried."""
+        better = True
+        while better:
+            better = False
+            w, b, _ = self.best
+            for i in np.flatnonzero(w):
+                use = w != 0
+                use[i] = False
+                rest = _on(self.x, self.y, self.spec, use)
+                margin = self.y * (self.x @ rest[0] + rest[1])
+                pull = np.where(margin < 1, 1.0, -self.spec.tau if self.spec.loss == "pinball" else 0.0) * self.y @ self.x
+                pull = pull if self.spec.domain == "nonneg" else np.abs(pull)
+                pull[use] = -np.inf
+                for j in np.argsort(-pull, kind="stable")[:SWAPS]:
+                    if j != i and pull[j] > 0:
+                        more = use.copy()
+                        more[j] = True
+                        better |= self.offer(*_on(self.x, self.y, self.spec, more)[:2])
+                if better:
+                    break
+
+    def begin(self, start: tuple[np.ndarray, float] | None = None) -> list[Node]:
+        """Incumbents, and the root if it is open."""
+        w, b, value = _on(self.x, self.y, self.spec, np.ones(self.n, dtype=bool))
+        if self.affordable(w):
+            self.best = (w, b, value)
+            return []
+        none = np.zeros(self.n, dtype=bool)
+        self.offer(np.zeros(self.n), _on(self.x, self.y, self.spec, none)[1])
+        if start is not None:
+            self.offer(*start)
+        self.rounded(w, none, none)
+        self.swapped()
+        return [(none, none)]
+
+    def step(self, node: Node) -> list[Node]:
+        """The open children of a node, the one to go first last."""
+        keep, out = node
+        left = self.budget - self.costs[keep].sum()
         if left < -1e-9:
-            continue
-        out = out | (~keep & (costs > left + 1e-9))
-        row = (np.where(keep, 0.0, costs / top), max(left, 0.0)) if top else None
-        w, b, bound = _on(x, y, spec, ~out, row)
-        if best is not None and bound >= best[2] - GAP * max(1.0, abs(best[2])):
-            continue
-        if costs[keep | (w != 0)].sum() <= budget + 1e-9:
-            offer(w, b)
-            continue
-        rounded(w, keep, out)
+            return []
+        out = out | (~keep & (self.costs > left + 1e-9))
+        row = (np.where(keep, 0.0, self.costs / self.top), max(left, 0.0)) if self.top else None
+        goal = None if self.best is None else self.best[2] - GAP * max(1.0, abs(self.best[2]))
+        w, b, bound = _on(self.x, self.y, self.spec, ~out, row, (goal, self.most) if goal is not None and self.top else None)
+        if goal is not None and bound >= goal:
+            return []
+        if self.costs[keep | (w != 0)].sum() <= self.budget + 1e-9:
+            self.offer(w, b)
+            return []
+        if self.rounds < ROUNDED:
+            self.rounds += 1
+            self.rounded(w, keep, out)
         loose = np.flatnonzero(~keep & ~out & (w != 0))
         j = loose[np.argmax(np.abs(w[loose]))]
         without, within = out.copy(), keep.copy()
         without[j] = within[j] = True
-        stack += [(keep, without), (within, out)]
-    return (*best, "optimal")
+        return [(keep, without), (within, out)]
+
+    def open(self, nodes: list[Node], want: int) -> list[Node]:
+        """Nodes branched level by level until there are `want` open ones, or none."""
+        while nodes and len(nodes) < want:
+            nodes = [c for node in nodes for c in reversed(self.step(node))]
+        return nodes
+
+    def run(self, nodes: list[Node], deadline: float | None = None) -> str:
+        """Depth first to the end: optimal, or feasible_timeout beyond a deadline."""
+        stack = list(nodes)
+        while stack:
+            if deadline is not None and time.monotonic() > deadline:
+                return "feasible_timeout"
+            stack += self.step(stack.pop())
+        return "optimal"
+
+
+def fit_budget(x: np.ndarray, y: np.ndarray, spec: Spec, budget: float | None, costs: np.ndarray | None = None, deadline: float | None = None, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float, float, str]:
+    """(w, b, objective, status): the sum of costs of non-zero weights is at most budget; None is no limit.
+
+    `start` is a feasible (w, b), such as the fit for a smaller budget. Status is optimal or feasible_timeout.
+    """
+    if budget is None:
+        return (*_on(x, y, spec, np.ones(x.shape[1], dtype=bool)), "optimal")
+    search = Search(x, y, spec, budget, costs)
+    status = search.run(search.begin(start), deadline)
+    return (*search.best, status)

@@ -24,6 +24,7 @@ class Solution:
     infeasibility: float
     iterations: int
     ok: bool
+    beaten: bool = False
 
 
 def loss_pieces(loss: str, tau: float) -> tuple[float, float, float, float]:
@@ -31,7 +32,31 @@ def loss_pieces(loss: str, tau: float) -> tuple[float, float, float, float]:
     return (1.0, 1.0, 0.0, 0.0) if loss == "hinge" else (1.0, 1.0, -tau, -tau)
 
 
-def solve(g: np.ndarray, c: np.ndarray, q: np.ndarray, weight: float, pieces: tuple[float, float, float, float], lower: np.ndarray, upper: np.ndarray, rows: np.ndarray | None = None, limits: np.ndarray | None = None, tolerance: float = 1e-9, most: int = 80) -> Solution:
+def lagrangian(g: np.ndarray, c: np.ndarray, weight: float, pieces: tuple[float, float, float, float], lower: np.ndarray, upper: np.ndarray, rows: np.ndarray, limits: np.ndarray, lam: list[np.ndarray]) -> float:
+    """A bound from below on the objective without quadratic part, from any positive multipliers of the two pieces.
+
+    Given the multipliers, scaled to sum to the weight, the rest is linear over the box and one budget row: variables
+    in the row are taken in the order of what they gain a unit of budget. -inf if an unbounded variable gains.
+    """
+    a1, d1, a2, d2 = pieces
+    share = weight * lam[0] / (lam[0] + lam[1])
+    left = c - g.T @ (d1 * share + d2 * (weight - share))
+    value = float(a1 * share.sum() + a2 * (weight - share).sum())
+    with np.errstate(invalid="ignore"):
+        best = np.minimum(np.where(left == 0, 0.0, left * lower), np.where(left == 0, 0.0, left * upper))
+    if not len(rows):
+        return value + float(best.sum())
+    r, room = rows[0], float(limits[0])
+    free = r <= 0
+    value += float(best[free].sum())
+    gain, need = -np.minimum(best[~free], 0.0), (r * upper)[~free]
+    order = np.argsort(-gain / need, kind="stable")
+    before = np.cumsum(need[order]) - need[order]
+    return value - float((gain[order] * np.clip((room - before) / need[order], 0.0, 1.0)).sum())
+
+
+def solve(g: np.ndarray, c: np.ndarray, q: np.ndarray, weight: float, pieces: tuple[float, float, float, float], lower: np.ndarray, upper: np.ndarray, rows: np.ndarray | None = None, limits: np.ndarray | None = None, tolerance: float = 1e-9, most: int = 80, above: tuple[float, np.ndarray, np.ndarray] | None = None) -> Solution:
+    """above: (value, lower, upper): stop as soon as a bound from below, over these bounds on u, reaches the value (`beaten`)."""
     m, d = g.shape
     a1, d1, a2, d2 = pieces
     rows = np.zeros((0, d)) if rows is None else rows
@@ -67,6 +92,9 @@ def solve(g: np.ndarray, c: np.ndarray, q: np.ndarray, weight: float, pieces: tu
         if total <= tolerance * (1 + abs(value)) and bad <= 1e-7:
             best.ok = True
             break
+        if above is not None and it > 4 and lagrangian(g, c, weight, pieces, above[1], above[2], rows, limits, lam) >= above[0]:
+            best.beaten = True
+            break
         mu = total / count
         dk = [lam[0] / s[0], lam[1] / s[1]]
         both, mixed = dk[0] + dk[1], d1 * dk[0] + d2 * dk[1]
@@ -147,8 +175,8 @@ def objective(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, spec: Spec)
     return reg + spec.c * float(np.maximum(a1 - d1 * m, a2 - d2 * m).sum())
 
 
-def fit(x: np.ndarray, y: np.ndarray, spec: Spec, limit_row: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float, Solution]:
-    """(w, b, solution). limit_row (r, f) adds sum_j r_j |w_j| <= f."""
+def fit(x: np.ndarray, y: np.ndarray, spec: Spec, limit_row: tuple[np.ndarray, float] | None = None, above: tuple[float, float] | None = None) -> tuple[np.ndarray, float, Solution]:
+    """(w, b, solution). limit_row (r, f) adds sum_j r_j |w_j| <= f. above (value, most) stops early once no fit with |b| <= most is better than value."""
     m, n = x.shape
     free = spec.domain == "free"
     low, high = spec.box if spec.box else (-np.inf, np.inf)
@@ -172,7 +200,12 @@ def fit(x: np.ndarray, y: np.ndarray, spec: Spec, limit_row: tuple[np.ndarray, f
     if limit_row is not None:
         r, f = limit_row
         rows, limits = np.concatenate([*([r] * len(parts)), [0.0]])[None, :], np.array([f])
-    got = solve(g, c, q, spec.c, loss_pieces(spec.loss, spec.tau), lower, upper, rows, limits)
+    if above is not None and not q.any():
+        value, most = above
+        above = (value, np.r_[lower[:-1], max(lower[-1], -most)], np.r_[upper[:-1], most])
+    else:
+        above = None
+    got = solve(g, c, q, spec.c, loss_pieces(spec.loss, spec.tau), lower, upper, rows, limits, above=above)
     w = got.u[:n] - got.u[n : 2 * n] if free else got.u[:n].copy()
     w[np.abs(w) < RESIDUE] = 0.0
     b = float(got.u[-1])

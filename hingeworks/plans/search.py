@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import pickle
 import time
 from collections.abc import Iterator
 
@@ -17,7 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hingeworks.operators.models import MODELS
+from hingeworks.functions import linear, metrics
+from hingeworks.operators import ranking
+from hingeworks.operators.folds import exact_folds
+from hingeworks.operators.models import MODELS, RFESVM, FisherSVM, Fitted, L1SVM, LinearModel, fisher_score
+from hingeworks.operators.solvers.aggregate import fit_large
+from hingeworks.operators.solvers.bnb import ROUNDED, Search
 
 #: Numbers (rows times features) of a data set that tasks may hold; about 160 MB.
 MOST_NUMBERS = 20_000_000
@@ -125,12 +131,13 @@ def cross_validate(data: DataFrame, folds: DataFrame, models: dict[str, list[dic
     """Fold metrics of every (dataset, variant, model, point, fold).
 
     data has (row_id, dataset, variant, features, label), folds (row_id, fold). Points that differ only in parameters a
-    model ignores are fitted once and reported each. A deadline (seconds since the epoch) skips what is left.
+    model ignores are fitted once and reported each. A deadline (seconds since the epoch) skips what is left. Data
+    beyond MOST_NUMBERS is fitted by aggregation passes; budgeted models then fail as rows.
     """
     spark = data.sparkSession
     n_numbers = data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
     if n_numbers > MOST_NUMBERS:
-        raise ValueError("too large for one task; use solvers.aggregate.fit_large")
+        return _cross_validate_by_sums(data, folds, models, domain, auc_from, zero_pred, deadline)
     rows = data.join(folds, "row_id").orderBy("dataset", "variant", "row_id").toArrow()
     sets: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     keys = list(zip(rows["dataset"].to_pylist(), rows["variant"].to_pylist()))
@@ -206,19 +213,170 @@ def sweep_best(points: DataFrame, by: str, value: str = "auc_mean") -> DataFrame
     return points.groupBy(by).agg(F.max(value).alias("best"))
 
 
-def fisher_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentiles=(25, 50, 75), repeats: int = 5, seed: int = 42, folds: int = 10, domain: str = "nonneg", deadline: float | None = None) -> dict:
-    """For each C the threshold of least mean hold-out error among score percentiles, then cross-validation on its mask.
+def spread(spark: SparkSession, items: list, work) -> list:
+    """work(item) of each item in a Spark task of its own, in order; items and results are small."""
+    if not items:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("i").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pickle.dumps(work(items[i]))], pa.binary())], ["i", "result"])
+
+    table = spark.range(len(items)).select(F.col("id").alias("i")).repartitionById(len(items), F.col("i").cast("int"))
+    found = table.mapInArrow(run, "i long, result binary").collect()  # a row an item
+    return [pickle.loads(r.result) for r in sorted(found, key=lambda r: r.i)]
+
+
+def budgeted(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: LinearModel, want: int = 48) -> Fitted:
+    """A budgeted model's fit, branched into about `want` subtrees on the driver that tasks search to their ends.
 
-    An empty mask falls back to the top tenth. Returns the best point by mean AUC with its own threshold and mask.
+    The incumbent of the first levels (rounding and swaps) bounds all of them, so the result doesn't depend on which
+    task is done first; it is proven optimal.
     """
-    from hingeworks.operators.folds import exact_folds
-    from hingeworks.operators.models import L1SVM, fisher_score
+    began = time.monotonic()
+    if model.budget is None:
+        return model.fit(x, y).fitted
+    whole = Search(x, y, model.spec, model.budget, model.costs)
+    nodes = whole.open(whole.begin(model.start), want)
+    shared = spark.sparkContext.broadcast((x, y, model.spec, model.budget, model.costs, whole.best))
+
+    def work(node):
+        xs, ys, spec, budget, costs, best = shared.value
+        part = Search(xs, ys, spec, budget, costs)
+        part.best, part.rounds = best, ROUNDED
+        part.run([node])
+        return part.best
+
+    for best in spread(spark, nodes, work):
+        if best[2] < whole.best[2] - 1e-12:
+            whole.best = best
+    shared.unpersist()
+    w, b, value = whole.best
+    return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began)
+
+
+def scaled_columns(data: DataFrame, n: int) -> DataFrame:
+    """data with each of its n features less its mean, over its population deviation (1 for a constant one)."""
+    at = [F.col("features")[j] for j in range(n)]
+    row = data.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(at)], *[F.when(F.min(x) == F.max(x), 1.0).otherwise(F.stddev_pop(x)).alias(f"s{j}") for j, x in enumerate(at)]).first()
+    z = F.array(*[(x - F.lit(row[f"m{j}"])) / F.lit(row[f"s{j}"]) for j, x in enumerate(at)])
+    return data.withColumn("features", z)
+
+
+def fit_by_sums(data: DataFrame, model: LinearModel) -> Fitted:
+    """A model's fit on scaled rows too many for one task, by aggregation passes; budgets are beyond it."""
+    began, n = time.monotonic(), data.select(F.size("features")).first()[0]
+    spec = model.spec
+
+    def on(at: list[int]) -> tuple[np.ndarray, float, float]:
+        part = data.select(F.array(*[F.col("features")[j] for j in at]).alias("features"), "label")
+        w, b, value, _, _ = fit_large(part, len(at), spec)
+        full = np.zeros(n)
+        full[at] = w
+        return full, b, value
+
+    at, listed = list(range(n)), None
+    if isinstance(model, FisherSVM):
+        scores = ranking.fisher_scores(data.select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(n)]), [f"f{j}" for j in range(n)])
+        listed = [r.j - 1 for r in ranking.top_k(scores, min(model.n_features, n)).orderBy("rank").collect()]  # a row a feature
+        at = listed
+    elif isinstance(model, RFESVM):
+        while len(at) > model.n_features:
+            w = on(at)[0]
+            gone = 1 if model.drop == "one" else min(len(at) // 2, len(at) - model.n_features)
+            worst = set(sorted(at, key=lambda j, w=w: (w[j] ** 2, j))[:gone])
+            at = [j for j in at if j not in worst]
+        listed = at
+    elif hasattr(model, "budget") and model.budget is not None:
+        raise ValueError("a budgeted fit needs its rows in one task")
+    w, b, value = on(at)
+    chosen = listed if listed is not None else np.flatnonzero(w).tolist()
+    v = np.zeros(n, dtype=int)
+    v[chosen] = 1
+    return Fitted(w, b, v, [int(j) + 1 for j in chosen], value, "optimal", time.monotonic() - began)
+
+
+def fit_any(data: DataFrame, model: LinearModel) -> Fitted:
+    """A model fitted to the scaled rows of data (row_id, features, label), in one task, in many or by aggregation passes.
+
+    Up to MOST_NUMBERS numbers the rows are broadcast, to one task or, for a budget, to the tasks of its search.
+    """
+    spark = data.sparkSession
+    if data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] > MOST_NUMBERS:
+        n = data.select(F.size("features")).first()[0]
+        rows = scaled_columns(data, n).select("features", "label").persist()
+        try:
+            return fit_by_sums(rows, model)
+        finally:
+            rows.unpersist()
+    rows = data.select("row_id", "features", "label").toArrow().sort_by("row_id")
+    x, y = np.array(rows["features"].to_pylist(), dtype=float), rows["label"].to_numpy().astype(float)
+    x, _ = scaled(x, x)
+    if hasattr(model, "budget"):
+        return budgeted(spark, x, y, model)
+    shared = spark.sparkContext.broadcast((x, y))
+    (got,) = spread(spark, [model], lambda m: m.fit(*shared.value).fitted)
+    return got
+
+
+def _cross_validate_by_sums(data: DataFrame, folds: DataFrame, models: dict[str, list[dict]], domain: str, auc_from: str, zero_pred: str, deadline: float | None) -> DataFrame:
+    """The same rows for data beyond one task: each fold's training side is fitted by aggregation passes, scored in place."""
+    spark = data.sparkSession
+    whole = data.join(folds, "row_id").persist()
+    kinds, out = [tuple(r) for r in whole.select("dataset", "variant", "fold").distinct().collect()], []  # a row a fold
+    for dataset, variant, k in sorted(kinds):
+        own = whole.where((F.col("dataset") == dataset) & (F.col("variant") == variant))
+        n = own.select(F.size("features")).first()[0]
+        at, train = [F.col("features")[j] for j in range(n)], own.where(F.col("fold") != k)
+        row = train.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(at)], *[F.when(F.min(x) == F.max(x), 1.0).otherwise(F.stddev_pop(x)).alias(f"s{j}") for j, x in enumerate(at)]).first()
+        z = own.withColumn("features", F.array(*[(x - F.lit(row[f"m{j}"])) / F.lit(row[f"s{j}"]) for j, x in enumerate(at)])).persist()
+        for name, points in models.items():
+            for i, point in enumerate(points):
+                found = {"model": name, "dataset": dataset, "variant": variant, "fold": k, "combo_id": i, "params": json.dumps(point), "status": "skipped"}
+                if deadline is None or time.time() <= deadline:
+                    try:
+                        f = fit_by_sums(z.where(F.col("fold") != k), MODELS[name](**({"domain": domain} | point)))
+                        w = F.array(*[F.lit(float(v)) for v in f.w])
+                        score = linear.decision_array(F.col("features"), w, F.lit(f.b))
+                        test = z.where(F.col("fold") == k).select("label", score.alias("score"), linear.predict(score).alias("pred"))
+                        got = metrics.evaluate(test, "label", "pred", [], zero_pred).first()
+                        found |= {"status": f.status, "w": f.w.tolist(), "b": f.b, "selected": f.selected, "num_features": int((f.w != 0).sum()), "objective": f.objective, "train_time": f.train_time}
+                        if got is None:
+                            found |= {"status": "failed", "error": "a prediction is 0"}
+                        else:
+                            found |= {c: got[c] for c in ("accuracy", "auc", "f1_score", "g_mean")}
+                            if auc_from == "score":
+                                found["auc"] = metrics.auc_rank(test, "label", "score", []).first().auc
+                    except ValueError as e:
+                        found |= {"status": "failed", "error": f"ValueError: {e}"}
+                out.append(found)
+        z.unpersist()
+    whole.unpersist()
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in out], METRICS)
+
+
+def _first_best(found: list[dict | None]) -> dict:
+    best: dict = {"auc": 0.0}
+    for f in found:
+        if f is not None and f["auc"] > best["auc"]:
+            best = f
+    return best
+
+
+def fisher_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentiles=(25, 50, 75), repeats: int = 5, seed: int = 42, folds: int = 10, domain: str = "nonneg", deadline: float | None = None, spark: SparkSession | None = None) -> dict:
+    """For each C the threshold of least mean hold-out error among score percentiles, then cross-validation on its mask.
 
+    An empty mask falls back to the top tenth. Returns the best point by mean AUC with its own threshold and mask. With
+    a session each C is a Spark task.
+    """
     x, y = train
     scores = fisher_score(x, y)
     limits = np.percentile(scores, percentiles)
     rng = np.random.default_rng(seed)
     splits = [rng.permutation(len(y)) for _ in range(repeats)]
+    fold, part = exact_folds(len(y), folds, seed), max(1, len(y) // 5)
 
     def mask(limit: float) -> np.ndarray:
         use = scores >= limit
@@ -226,50 +384,53 @@ def fisher_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentil
             use[np.argsort(scores)[-max(1, int(0.1 * len(scores))) :]] = True
         return use
 
-    def error(c: float, use: np.ndarray) -> float:
-        wrong = []
-        for order in splits:
-            cut = max(1, len(y) // 5)
-            a, b = scaled(x[order[cut:]][:, use], x[order[:cut]][:, use])
-            wrong.append(float((L1SVM(C=c, domain=domain).fit(a, y[order[cut:]]).predict(b) != y[order[:cut]]).mean()))
-        return float(np.mean(wrong))
-
-    fold, found = exact_folds(len(y), folds, seed), {"auc": 0.0}
-    for c in c_grid:
+    def point(c: float, data) -> dict | None:
         if deadline is not None and time.time() > deadline:
-            break
-        limit = min(limits, key=lambda t, c=c: error(c, mask(t)))
-        use, aucs, accs = mask(limit), [], []
-        for k in range(folds):
-            a, b = scaled(x[fold != k][:, use], x[fold == k][:, use])
-            p = L1SVM(C=c, domain=domain).fit(a, y[fold != k]).predict(b)
-            got = fold_metrics(y[fold == k], p)
-            aucs.append(got["auc"])
-            accs.append(got["accuracy"])
-        if np.mean(aucs) > found["auc"]:
-            found = {"C": c, "threshold": float(limit), "auc": float(np.mean(aucs)), "accuracy": float(np.mean(accs)), "selected": [int(j) + 1 for j in np.flatnonzero(use)]}
-    return found
-
-
-def rfe_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, seed: int = 42, folds: int = 10, domain: str = "nonneg") -> dict:
-    """For each C, cross-validate at each size while halving the features by the last fold's weights; best mean AUC."""
-    from hingeworks.operators.folds import exact_folds
-    from hingeworks.operators.models import L1SVM
+            return None
+        x, y = data
+        right = lambda use, a, b: fold_metrics(y[b], L1SVM(C=c, domain=domain).fit(*_side(x[:, use], y, a, b)[0]).predict(_side(x[:, use], y, a, b)[1]))
+        errors = [np.mean([1 - right(mask(t), order[part:], order[:part])["accuracy"] for order in splits]) for t in limits]
+        limit = limits[int(np.argmin(errors))]
+        use = mask(limit)
+        got = [right(use, np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds)]
+        return {"C": c, "threshold": float(limit), "auc": float(np.mean([g["auc"] for g in got])), "accuracy": float(np.mean([g["accuracy"] for g in got])), "selected": [int(j) + 1 for j in np.flatnonzero(use)]}
 
-    x, y = train
-    fold, found = exact_folds(len(y), folds, seed), {"auc": 0.0}
-    for c in c_grid:
-        at = np.arange(x.shape[1])
+    return _first_best(_over_grid(spark, list(c_grid), point, (x, y)))
+
+
+def rfe_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, seed: int = 42, folds: int = 10, domain: str = "nonneg", spark: SparkSession | None = None) -> dict:
+    """For each C, cross-validate at each size while halving the features by the last fold's weights; best mean AUC.
+
+    With a session each C is a Spark task.
+    """
+    fold = exact_folds(len(train[1]), folds, seed)
+
+    def point(c: float, data) -> dict:
+        x, y = data
+        at, best = np.arange(x.shape[1]), {"auc": 0.0}
         while len(at) > 1:
-            aucs, accs = [], []
+            got = []
             for k in range(folds):
-                a, b = scaled(x[fold != k][:, at], x[fold == k][:, at])
-                m = L1SVM(C=c, domain=domain).fit(a, y[fold != k])
-                got = fold_metrics(y[fold == k], m.predict(b))
-                aucs.append(got["auc"])
-                accs.append(got["accuracy"])
-            if np.mean(aucs) > found["auc"]:
-                found = {"C": c, "auc": float(np.mean(aucs)), "accuracy": float(np.mean(accs)), "selected": [int(j) + 1 for j in at]}
-            worst = np.argsort(m.fitted.w**2, kind="stable")[: len(at) // 2]
-            at = np.delete(at, worst)
-    return found
+                (a, b), test = _side(x[:, at], y, np.flatnonzero(fold != k), np.flatnonzero(fold == k))
+                last = L1SVM(C=c, domain=domain).fit(a, b)
+                got.append(fold_metrics(y[fold == k], last.predict(test)))
+            auc = float(np.mean([g["auc"] for g in got]))
+            if auc > best["auc"]:
+                best = {"C": c, "auc": auc, "accuracy": float(np.mean([g["accuracy"] for g in got])), "selected": [int(j) + 1 for j in at]}
+            at = np.delete(at, np.argsort(last.fitted.w**2, kind="stable")[: len(at) // 2])
+        return best
+
+    return _first_best(_over_grid(spark, list(c_grid), point, train))
+
+
+def _side(x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray):
+    """((training rows, labels), test rows), scaled by the training rows."""
+    a, b = scaled(x[train], x[test])
+    return (a, y[train]), b
+
+
+def _over_grid(spark: SparkSession | None, values: list[float], point, data) -> list:
+    if spark is None:
+        return [point(c, data) for c in values]
+    shared = spark.sparkContext.broadcast(data)
+    return spread(spark, values, lambda c: point(c, shared.value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +94,9 @@ def scan(spark: SparkSession, path: str, spec: DatasetSpec, variant: str = "orig
     """
     try:
         raw = spark.read.csv(path, schema=spec.schema(), header=spec.header, sep=spec.sep)
-    except Exception as e:  # a missing path fails at analysis
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         if on_missing == "skip":
             return None
         raise DatasetMissing(f"{spec.name}/{variant}: {path}") from e
@@ -104,6 +107,12 @@ def scan(spark: SparkSession, path: str, spec: DatasetSpec, variant: str = "orig
     return with_id.select("row_id", F.lit(spec.name).alias("dataset"), F.lit(variant).alias("variant"), features.alias("features"), label.cast("int").alias("label"))
 
 
+def target_last(df: DataFrame, label: str, name: str = "Target", drop: tuple[str, ...] = ()) -> DataFrame:
+    """The label renamed and moved behind all other columns; columns in drop (such as ids) go."""
+    rest = [c for c in df.columns if c != label and c not in drop]
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{label}`").alias(name))
+
+
 def features_of(df: DataFrame, key: Column, columns: list[str], label: Column, dataset: str, variant: str = "original") -> DataFrame:
     """Any table as a data set, by a natural key."""
     features = F.array(*[F.col(c).cast("double") for c in columns])

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: below spark.checkpoint.dir, or the checkpoint folder set in code.
+
+    With neither, a local session gets a temporary folder; a cluster session is refused.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="hingeworks-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
     """One partitioned table for all per-fold metrics."""
     metrics.write.mode(mode).partitionBy("model", "dataset", "variant").parquet(path)
@@ -19,6 +34,12 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*flat).coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
+def append_results(df: DataFrame, path: str, tau: bool) -> None:
+    """Rows added to a folder of result CSVs: Model, Type of model, Accuracy, AUC, Time, Features selected, Number of features, C and, for pinball models, tau."""
+    names = ["Model", "Type of model", "Accuracy", "AUC", "Time", "Features selected", "Number of features", "C", *(["tau"] if tau else [])]
+    export_csv(df.select(*names), path, mode="append")
+
+
 def detail_name(model: str, dataset: str, variant: str, params: dict, stamp: str) -> str:
     """File name of one grid point's fold metrics."""
     return f"{model}_{dataset}_{variant}_{'_'.join(f'{k}{v}' for k, v in params.items())}_{stamp}.csv"
