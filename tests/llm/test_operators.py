@@ -364,11 +364,33 @@ def test_rest_tries_what_the_least_left_open(spark):
     first = {(r.a, r.b) for r in dedup.with_least(groups, 0.8).collect()}
     assert first == {(k, 0) for k in range(1, 9)}
     roots = spark.createDataFrame([(7, 5), (5, 5)], "node long, root long")
+    reps = spark.createDataFrame([(k, bytes(8)) for k in [*range(9), 20, 21]], "key long, sketch binary")
     for block in (2, 3, 100):
-        got = {(r.a, r.b) for r in dedup.rest(groups, roots, 0.8, block).collect()}
+        got = {(r.a, r.b) for r in dedup.rest(groups, roots, reps, 0.8, block).collect()}
         assert got == {(a, b) for a in range(1, 9) for b in range(1, a)} - {(7, 5)} | {(21, 20)}
 
 
+def test_pairs_in_blocks_match_a_plain_loop():
+    """Sketches of any lengths, in one list and between two."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(31)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(54, len(base))], rng.integers(0, 1 << 63, rng.integers(1, 9)).astype(np.uint64)])) for _ in range(120)]
+    rows = sorted((len(s), i, i % 40, dedup.sketch(s)) for i, s in enumerate(sets))
+    side = lambda part: [pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+
+    def plain(pairs):
+        near = lambda a, b: min(a[0], b[0]) >= 0.8 * max(a[0], b[0]) - 1e-6 and dedup.least_difference(a[3], b[3]) <= (a[0] + b[0]) * (0.2 / 1.8) + 1e-6
+        return {frozenset((a[1], b[1])) for a, b in pairs if a[2] != b[2] and near(a, b)}
+
+    got = dedup.like_pairs(side(rows), side(rows), True, 0.8)
+    want = plain(itertools.combinations(rows, 2))
+    assert {frozenset(p) for p in zip(*(g.tolist() for g in got))} == want and len(got[0]) == len(want) > 10
+    got = dedup.like_pairs(side(rows[:50]), side(rows[50:]), False, 0.8)
+    assert {frozenset(p) for p in zip(*(g.tolist() for g in got))} == plain(itertools.product(rows[:50], rows[50:]))
+
+
 def test_one_of_each_counts_repeats_once(spark):
     """Copies whose last words are repeated many times: like sets, unlike counts."""
     rng = np.random.default_rng(13)
