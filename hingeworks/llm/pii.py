@@ -59,8 +59,6 @@ DIGIT, LABEL = "[0-9@]", rf"(?=[PpTtSsAa]){_LABEL}"
 CALLED = rf"(?=[\p{{Lu}}г])(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_U}|{_GIVEN_M}|{_GIVEN_F})\b"
 #: Kinds whose surrogates may be longer than what they replace.
 FREE = ("mail", "host", "key", "secret", "given-m", "given-f", "surname")
-#: Lengths of bare digit runs that issuers use; others count as cards only if their check digit is right.
-CARD_LENGTHS = (15, 16)
 
 #: What a surrogate replaces.
 LETTER = r"[\p{L}\p{Nd}]"
@@ -102,10 +100,10 @@ def digits_of(value: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The type of a match, or null for what only looks like one: bare digit runs of unusual length without a check digit."""
+    """The type of a match, or null for what only looks like one: a bare digit run is a card only if its check digit is right."""
     tests = {k: "^(?:" + p + ")$" for k, p in PATTERNS.items()}
     found = reduce(lambda other, k: F.when(value.rlike(tests[k]), k).otherwise(other), reversed(list(tests)), F.lit(None).cast("string"))
-    bare = value.rlike("^[0-9]+$") & ~F.length(value).isin(*CARD_LENGTHS)
+    bare = value.rlike("^[0-9]+$")
     return let(found, lambda kind: F.when((kind == "card") & bare & (_luhn_sum(value) % 10 != 0), None).otherwise(kind))
 
 
