@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -55,19 +56,19 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
+    _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration(), threading.get_ident())
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
 
 
-#: Cuts that still have files, in the order of their making.
+#: Cuts that still have files, in the order of their making, each with the thread that made it.
 _cuts: dict[str, tuple] = {}
 
 
 def _drop(path: str) -> None:
-    jvm, conf = _cuts.pop(path)
+    jvm, conf, _ = _cuts.pop(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).delete(p, True)
 
@@ -86,14 +87,19 @@ def drop_cut(df: DataFrame) -> None:
         _drop(path)
 
 
+def _own() -> list[str]:
+    """Cuts of this thread; an operator runs in one, so those of operators beside it aren't among them."""
+    return [p for p, (_, _, thread) in list(_cuts.items()) if thread == threading.get_ident()]
+
+
 def cuts_so_far() -> set[str]:
-    return set(_cuts)
+    return set(_own())
 
 
 def drop_cuts_since(before: set[str], *kept: DataFrame) -> None:
-    """Remove the files of all cuts made since `before` but those of `kept`, when nothing else reads them any more."""
+    """Remove the files of all cuts that this thread made since `before` but those of `kept`, when nothing else reads them any more."""
     keep = {getattr(df, "_cut_path", None) for df in kept}
-    for path in [p for p in _cuts if p not in before and p not in keep]:
+    for path in [p for p in _own() if p not in before and p not in keep]:
         _drop(path)
 
 
