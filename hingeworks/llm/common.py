@@ -22,6 +22,8 @@ NO_ID = -(1 << 63)
 STEP_CHARS = 1_500_000
 #: Ids that a filter broadcasts at most.
 BROADCAST_IDS = 2_000_000
+#: Bytes of a plan's inputs for each further task that writes a narrow table.
+NARROW_BYTES = 16_000_000
 #: Texts that go to Python at a time.
 TEXT_ROWS = 1_000
 
@@ -47,17 +49,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, narrow: bool = False, dense: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
 
-    narrow: rows of a few numbers each, written by a task a core at most rather than as a file a partition.
+    narrow: rows of a few numbers each, written by a task a core rather than as a file a partition, or by more if the
+    size of what the plan reads asks for it. dense: packed more tightly, for tables that are large beside the input.
     """
-    if narrow:
-        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     spark = df.sparkSession
+    if narrow:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        df = df.coalesce(min(max(spark.sparkContext.defaultParallelism, size // NARROW_BYTES), 100_000))
     path = fresh_path(spark, name)
     _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration(), threading.get_ident())
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if dense else None)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
