@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +12,15 @@ from hingeworks import exact
 from hingeworks.functions import linear, metrics
 from hingeworks.operators import folds, ranking, scaling, selection
 from hingeworks.operators.models import MODELS
-from hingeworks.operators.solvers.aggregate import fit_large
 from hingeworks.operators.solvers.ipm import Spec
-from hingeworks.plans import experiment, search
+from hingeworks.operators.solvers.passes import Passes, newton
+from hingeworks.plans import experiment, search, shared
 from hingeworks.sources import datasets, sinks
 from hingeworks.sources.datasets import FEATURES, lineitem_problem
 
+#: The relative gap of fits that SQL checks: of several features that many rows share the values of, and of one feature.
+FINE, FINEST = 1e-7, 1e-9
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -128,11 +131,16 @@ def fisher_top10pct(spark, d):
     return ranking.top_share(ranking.fisher_scores(df, names)).select("j", "feature", "rank")
 
 
+def _width(spark: SparkSession, d: str) -> int:
+    """Components of an embedding."""
+    return spark.read.parquet(f"{d}/embeddings.parquet").agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+
+
 def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    names = [f"e{j}" for j in range(1, 65)]
+    names = [f"e{j}" for j in range(1, _width(spark, d) + 1)]
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     label = F.when(F.col("label") < 5, 1).otherwise(-1).alias("label")
-    return e.select("vec_id", label, *[F.col("embedding")[j].cast("double").alias(f"e{j + 1}") for j in range(64)]), names
+    return e.select("vec_id", label, *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(names)]), names
 
 
 _ALL = [*FEATURES, "label"]
@@ -294,9 +302,10 @@ def rfe_rank_step(spark, d):
     return numbered.where(F.col("place") < len(FEATURES)).select("j", "feature")
 
 
-@query("SELECT row_number() OVER (ORDER BY c, t) - 1 AS combo_id, c AS \"C\", t AS tau FROM (SELECT unnest([0.125, 0.25, 0.5, 1, 2, 4, 8, 16, 32])::DOUBLE AS c), (SELECT unnest([0.1, 0.5, 1])::DOUBLE AS t)")
+@query("SELECT row_number() OVER (ORDER BY c, b) - 1 AS combo_id, c AS \"C\", b AS \"B\" FROM (SELECT unnest([0.125, 0.25, 0.5, 1, 2, 4, 8, 16, 32])::DOUBLE AS c), (SELECT unnest(range(1, 1 + (SELECT least(max(len(embedding)), 30) FROM embeddings))) AS b)")
 def param_grid(spark, d):
-    return search.grid_table(spark, {"C": search.C_GRID, "tau": search.TAU_GRID})
+    """The budgeted model's default grid for the embeddings, whose width sets the budgets."""
+    return search.grid_table(spark, search.default_grids(_width(spark, d))["MILP1"])
 
 
 _G = [(i * 3 + j, c, t) for i, c in enumerate((0.5, 1.0, 2.0)) for j, t in enumerate((0.1, 0.5, 1.0))]
@@ -393,26 +402,16 @@ def _signs(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.when(sum((F.col(f"e{j}") for j in exact.SOME[1:]), F.col(f"e{exact.ONE}")) > 0, 1).otherwise(-1))
 
 
-def _scaled_columns(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    """The embeddings and labels as numpy arrays, scaled, after a check of the size."""
-    df, names = _embeddings(spark, d)
-    if df.count() * len(names) > search.MOST_NUMBERS:
-        raise ValueError("too large for the driver; use search.fit_any")
-    t = df.select("vec_id", "label", *names).toArrow().sort_by("vec_id")
-    x = np.column_stack([t[c].to_numpy() for c in names])
-    return search.scaled(x, x)[0], t["label"].to_numpy().astype(float)
-
-
 FIT = "model string, status string, objective double, num_features int, selected array<int>, w array<double>, b double"
 
 
 def _fit_rows(spark: SparkSession, d: str, name: str, params: dict, features: tuple[int, ...] | None = None) -> DataFrame:
-    """One fit on the whole embeddings table, scaled: in a task of its own, or for budgets in many; beyond their size by aggregation."""
+    """One fit on the whole embeddings table, scaled: by passes over it, or for budgets by subtrees in tasks."""
     df, names = _embeddings(spark, d)
     if features:
         names, df = [f"e{j}" for j in features], _signs(df)
     data = datasets.features_of(df, F.col("vec_id"), names, F.col("label"), "embeddings")
-    f = search.fit_any(data, MODELS[name](**params))
+    f = search.fit_any(data, MODELS[name](**params), tolerance=FINEST if features else shared.TOLERANCE)
     return spark.createDataFrame([(name, f.status, f.objective, len(f.selected), f.selected, f.w.tolist(), f.b)], FIT)
 
 
@@ -518,13 +517,13 @@ def tune_fit_c(spark, d):
 
 
 def _through_csv(spark: SparkSession, d: str, spec: datasets.DatasetSpec, sep: str = ",", header: bool = False, letters: bool = True) -> DataFrame:
-    """The embeddings' first features written as a delimited file and read by a data-set spec."""
+    """The embeddings' first features written as a folder of delimited files and read by a data-set spec."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     label = F.when(F.col("label") < 5, "g" if letters else "1").otherwise("b" if letters else "0")
     cells = [F.col("embedding")[j].cast("double") for j in range(spec.n_features)]
     path = sinks.scratch(spark, "data-set")
-    row = e.select("vec_id", *[c.alias(f"x{j}") for j, c in enumerate(cells)], label.alias("class")).coalesce(1).sortWithinPartitions("vec_id").drop("vec_id")
-    row.write.csv(path, sep=sep, header=header)
+    row = e.select("vec_id", *[c.alias(f"x{j}") for j, c in enumerate(cells)], label.alias("class"))
+    row.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").drop("vec_id").write.csv(path, sep=sep, header=header)
     rows = datasets.scan(spark, path, spec)
     return rows.select("row_id", "dataset", "variant", F.col("features")[0].alias("first"), F.col("features")[spec.n_features - 1].alias("last"), "label")
 
@@ -588,8 +587,8 @@ _SIZES = {"L1SVM": 9, "L2SVM": 9, "MILP1": 9 * 30, "PinballSVM": 27, "PinFSSVM":
 @query("WITH n AS (SELECT least(len(any_value(embedding)), 30) AS b FROM embeddings) " + " UNION ALL ".join(f"SELECT '{m}' AS model, {f'{k // 30} * b' if k > 99 else k}::BIGINT AS points FROM n" for m, k in _SIZES.items()))
 def default_grid_sizes(spark, d):
     """Points of each model's default grid on the embeddings."""
-    n = len(_embeddings(spark, d)[1])
-    return spark.createDataFrame([(m, len(search.grid(g))) for m, g in search.default_grids(n).items()], "model string, points long")
+    grids = search.default_grids(_width(spark, d))
+    return spark.createDataFrame([(m, len(search.grid(g))) for m, g in grids.items()], "model string, points long")
 
 
 @query(f"WITH {BASE}, {_LONG} SELECT j, feature, round((power(avg(x) FILTER (label = 1) - avg(x), 2) + power(avg(x) FILTER (label = -1) - avg(x), 2)) / (var_samp(x) FILTER (label = 1) + var_samp(x) FILTER (label = -1)), 9) AS score FROM l GROUP BY j, feature")
@@ -605,36 +604,206 @@ def fold_sides(spark, d):
     return side(folds.train_of(base, 3), "train").unionByName(side(folds.test_of(base, 3), "test"))
 
 
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    df, names = _embeddings(spark, d)
+    return datasets.features_of(df, F.col("vec_id"), names, F.col("label"), "embeddings")
+
+
+SEARCHED = "C double, threshold double, auc double, accuracy double, selected array<int>"
+
+
 @query()
 def fisher_search(spark, d):
-    """The best C and Fisher threshold, searched as Spark tasks."""
-    found = search.fisher_search(_scaled_columns(spark, d), spark=spark)
-    return spark.createDataFrame([(found["C"], found["threshold"], found["auc"], found["accuracy"], found["selected"])], "C double, threshold double, auc double, accuracy double, selected array<int>")
+    """The best C and Fisher threshold on the embeddings, searched as Spark tasks."""
+    found = search.fisher_search(_wide(spark, d))
+    return spark.createDataFrame([(found["C"], found["threshold"], found["auc"], found["accuracy"], found["selected"])], SEARCHED)
 
 
 @query()
 def rfe_search(spark, d):
-    """The best C and feature set on the halving path, searched as Spark tasks."""
-    found = search.rfe_search(_scaled_columns(spark, d), spark=spark)
+    """The best C and feature set on the halving path of the embeddings, searched as Spark tasks."""
+    found = search.rfe_search(_wide(spark, d))
     return spark.createDataFrame([(found["C"], found["auc"], found["accuracy"], found["selected"])], "C double, auc double, accuracy double, selected array<int>")
 
 
 @query()
 def fit_large_l1(spark, d):
-    """An L1 fit of all line items by aggregation passes."""
-    li = lineitem_problem(spark, d)
-    z = scaling.apply(li, scaling.stats(li, FEATURES), FEATURES)
-    data = z.select(F.array(*[f"z_{c}" for c in FEATURES]).alias("features"), "label").persist()
-    w, b, value, gap, passes = fit_large(data, len(FEATURES), Spec("hinge", "l1", 1.0, domain="free"))
+    """An L1 fit of all line items by passes, to a proven gap."""
+    data = lineitem_problem(spark, d).select(F.array(*FEATURES).alias("features"), "label", F.lit(0).alias("fold")).persist()
+    passes = Passes(data)
+    (fit,) = passes.run([newton(passes.side(None), None, range(passes.n), Spec("hinge", "l1", 1.0, domain="free"), 1e-3)])
     data.unpersist()
-    return spark.createDataFrame([(w.tolist(), b, value, gap, passes)], "w array<double>, b double, objective double, gap double, passes int")
+    if isinstance(fit, Exception):
+        raise fit
+    return spark.createDataFrame([(fit.full(passes.n).tolist(), fit.b, fit.value, fit.gap, fit.passes)], "w array<double>, b double, objective double, gap double, passes int")
 
 
 @query()
 def cv_grid_search(spark, d):
     """Ten-fold grid search of the budgeted pinball model on the embeddings, each fit to its proven optimum; best point by mean AUC."""
-    df, names = _embeddings(spark, d)
-    data = datasets.features_of(df, F.col("vec_id"), names, F.col("label"), "embeddings")
+    data = _wide(spark, d)
     fold = data.select("row_id", folds.hash_fold(F.col("row_id")).alias("fold"))
-    points = search.grid({"C": (0.125, 1.0), "tau": (0.5,), "B": (1, 2, 3)})
+    points = search.grid({"C": (0.125, 1.0), "tau": (0.5,), "B": (1, 3, 5)})
     return search.best(search.summary(search.cross_validate(data, fold, {"PinFSSVM": points})))
+
+
+# ---- fits of several features of all line items, by passes that fits share; the SQL lists vertices
+
+
+def _coarse(spark: SparkSession, d: str, at: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Line items with some of the features of exact.COARSE as a data set, and ten folds; equal keys are in one fold."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    level = lambda x: F.pow(x.cast("double"), F.lit(2.0))
+    every = [
+        level(F.floor(F.col("l_extendedprice") / 36000)),
+        level(F.least(F.floor((F.col("l_linenumber") - 1) / 2), F.lit(2))),
+        level(F.floor(F.col("l_discount") * 25)),
+        level(F.floor(F.col("l_tax") * 30)),
+        level(F.floor(F.col("l_quantity") / 17)),
+    ]
+    told = F.col("l_extendedprice") / 1000 + 200 * F.col("l_discount") + 4 * F.col("l_linenumber") + 5 * (F.col("l_partkey") % 7)
+    fold = folds.modular_fold(F.col("l_orderkey"), F.col("l_linenumber"))
+    rows = li.select(key.cast("long").alias("row_id"), F.lit("lineitem").alias("dataset"), F.lit("original").alias("variant"), F.array(*[every[j - 1] for j in at]).alias("features"), F.when(told > 90, 1).otherwise(-1).alias("label"), fold.alias("fold"))
+    return rows.drop("fold"), rows.select("row_id", "fold").distinct()
+
+
+def _coarse_fit(name: str, params: dict, at: tuple[int, ...]):
+    def run(spark, d):
+        data, _ = _coarse(spark, d, at)
+        f = shared.fit_table(data, MODELS[name](domain="free", **params), FINE)
+        m = data.count()
+        w = {f"w{j}": round(float(f.w[j - 1]), 3) + 0.0 for j in range(1, len(at) + 1)}
+        names = "status string, objective double, selected string, " + ", ".join(f"{c} double" for c in w) + ", b double"
+        return spark.createDataFrame([(f.status, round(f.objective / m, 5), ", ".join(map(str, f.selected)), *w.values(), round(f.b, 3) + 0.0)], names)
+
+    return run
+
+
+_WHOLE, _FOLDS, _THREE = "SELECT 0 AS g, NULL::BIGINT AS fold", "SELECT g, g AS fold FROM range(10) t(g)", (1, 3, 4)
+_ROWS = "(SELECT count(*) FROM lineitem)"
+_WS = ", ".join(f"round(w{j}, 3) + 0 AS w{j}" for j in (1, 2, 3))
+_CHOSEN = "concat_ws(', ', " + ", ".join(f"CASE WHEN w{j} <> 0 THEN '{j}' END" for j in (1, 2, 3)) + ")"
+_FIT3 = f"SELECT 'optimal' AS status, round(objective / {_ROWS}, 5) AS objective, {{}} AS selected, {_WS}, round(b, 3) + 0 AS b FROM "
+
+
+def _three(grid: list[tuple[float, float]], problems: str = _WHOLE, box: float | None = None, keep: str = "true", by: str = "g, combo", reg: str = "l1") -> str:
+    return f"WITH {exact.classes(problems, {0: _THREE})}, {exact.optima(3, reg, 'free', grid, box, keep, by)}"
+
+
+for _query, _name, _params, _sql in (
+    ("fit_l1_three", "L1SVM", {"C": 1.0}, f"{_three([(1.0, 0.0)])} {_FIT3.format(_CHOSEN)} f"),
+    ("fit_l1_three_strong", "L1SVM", {"C": 1e-5}, f"{_three([(1e-5, 0.0)])} {_FIT3.format(_CHOSEN)} f"),
+    ("fit_budget_three", "PinFSSVM", {"B": 2, "C": 1.0, "tau": 0.5}, f"{_three([(1.0, 0.5)], box=2.0, keep='(w1 <> 0)::INT + (w2 <> 0)::INT + (w3 <> 0)::INT <= 2')} {_FIT3.format(_CHOSEN)} f"),
+    (
+        "fit_fisher_three",
+        "FisherSVM",
+        {"n_features": 2, "C": 1.0},
+        f"""WITH {exact.classes(_WHOLE, {0: _THREE})}, {exact.FISHER_CLASSES}, {exact.optima(3, 'l1', 'free', [(1.0, 0.0)], keep="(w1 = 0 OR 1 IN (SELECT j FROM top)) AND (w2 = 0 OR 2 IN (SELECT j FROM top)) AND (w3 = 0 OR 3 IN (SELECT j FROM top))").replace('f AS (', "top AS (SELECT j FROM fs ORDER BY score DESC, j DESC LIMIT 2), f AS (", 1)} {_FIT3.format("(SELECT string_agg(j, ', ' ORDER BY score DESC, j DESC) FROM fs WHERE j IN (SELECT j FROM top))")} f""",
+    ),
+    (
+        "fit_rfe_three",
+        "RFESVM",
+        {"n_features": 1, "C": 1.0},
+        f"""{_three([(1.0, 0.0)])}, f2 AS (SELECT *, CASE least(w1 * w1, w2 * w2, w3 * w3) WHEN w1 * w1 THEN 1 WHEN w2 * w2 THEN 2 ELSE 3 END AS gone FROM f),
+g2 AS (SELECT unnest(arg_min(struct_pack(w1 := h.w1, w2 := h.w2, w3 := h.w3, gone := gone), round(h.objective, 9))) FROM h, f2 WHERE CASE gone WHEN 1 THEN h.w1 WHEN 2 THEN h.w2 ELSE h.w3 END = 0),
+g3 AS (SELECT list_filter([1, 2, 3], lambda j: j <> gone AND j <> (list_sort([CASE WHEN gone = 1 THEN [9e99, 1] ELSE [w1 * w1, 1] END, CASE WHEN gone = 2 THEN [9e99, 2] ELSE [w2 * w2, 2] END, CASE WHEN gone = 3 THEN [9e99, 3] ELSE [w3 * w3, 3] END])[1][2])::INT)[1] AS kept FROM g2),
+g4 AS (SELECT kept, unnest(arg_min(struct_pack(objective := objective, w1 := w1, w2 := w2, w3 := w3, b := b), round(objective, 9))) FROM h, g3 WHERE (w1 = 0 OR kept = 1) AND (w2 = 0 OR kept = 2) AND (w3 = 0 OR kept = 3) GROUP BY kept) {_FIT3.format("kept::VARCHAR")} g4""",
+    ),
+):
+    QUERIES[_query], ORACLES[_query] = _coarse_fit(_name, _params, _THREE), _sql
+
+
+_PAIRS = dict(enumerate(combinations(range(1, 6), 2)))
+_OF_FIVE = ", ".join(f"round(CASE s {' '.join(f'WHEN {s} THEN w{at.index(j) + 1}' for s, at in _PAIRS.items() if j in at)} ELSE 0 END, 3) + 0 AS w{j}" for j in range(1, 6))
+for _query, _name, _params, _reg, _tau in (("fit_milp1_items", "MILP1", {"B": 2}, "none", 0.0), ("fit_budget_items", "PinFSSVM", {"B": 2, "C": 0.001, "tau": 0.5}, "l1", 0.5)):
+    QUERIES[_query] = _coarse_fit(_name, _params, (1, 2, 3, 4, 5))
+    ORACLES[_query] = f"""WITH {exact.classes(_WHOLE, _PAIRS)}, {exact.optima(2, _reg, 'free', [(_params.get('C', 1.0), _tau)], 2.0)},
+w AS (SELECT objective, b, {_OF_FIVE} FROM f) SELECT 'optimal' AS status, round(objective / {_ROWS}, 5) AS objective, concat_ws(', ', {', '.join(f"CASE WHEN w{j} <> 0 THEN '{j}' END" for j in range(1, 6))}) AS selected, w1, w2, w3, w4, w5, round(b, 3) + 0 AS b FROM w"""
+
+
+_CS = (1e-5, 1e-4, 1.0)
+_CV3 = f"{_three([(c, 0.0) for c in _CS], _FOLDS)}, {exact.scored(3)}"
+
+
+def _l1_folds(spark: SparkSession, d: str) -> DataFrame:
+    data, fold = _coarse(spark, d, _THREE)
+    return shared.cross_validate(data, fold, {"L1SVM": search.grid({"C": _CS}, {"domain": "free"})}, tolerance=FINE)
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in _FOUR)
+
+
+@query(f"{_CV3} SELECT combo::BIGINT AS combo_id, g::BIGINT AS fold, {_ROUNDED}, {_CHOSEN} AS selected FROM k JOIN f USING (g, combo)")
+def cv_items_folds(spark, d):
+    """Fold metrics and features of L1 fits of three features over a grid of C; all thirty fits share their passes."""
+    rows = _round(_l1_folds(spark, d), _FOUR)
+    return rows.select("combo_id", "fold", *_FOUR, F.array_join(F.col("selected").cast("array<string>"), ", ").alias("selected"))
+
+
+@query(f"{_CV3}, means AS (SELECT combo, avg(auc) AS auc FROM k GROUP BY combo), won AS (SELECT combo, auc FROM means ORDER BY round(auc, 12) DESC, combo LIMIT 1) SELECT won.combo::BIGINT AS combo_id, round(auc, 6) AS auc_mean, {_WS} FROM won JOIN f USING (combo) WHERE g = 9")
+def experiment_items(spark, d):
+    """A whole experiment by shared passes: the first best point and its last fold's weights."""
+    data, fold = _coarse(spark, d, _THREE)
+    _, rows = experiment.run(data, fold, {"L1SVM": search.grid({"C": _CS}, {"domain": "free"})}, method="passes", tolerance=FINE)
+    w = [(F.round(F.col("w")[j], 3) + 0.0).alias(f"w{j + 1}") for j in range(3)]
+    return _round(rows, ["auc_mean"]).select("combo_id", "auc_mean", *w)
+
+
+@query(f"{_CV3} SELECT combo::BIGINT AS combo_id, g::BIGINT AS fold, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc, 'optimal' AS status FROM k")
+def experiment_resumed(spark, d):
+    """An experiment that stopped after two of three points and goes on from its store."""
+    data, fold = _coarse(spark, d, _THREE)
+    grid, store = search.grid({"C": _CS}, {"domain": "free"}), sinks.scratch(spark, "experiment")
+    experiment.resumed(data, fold, {"L1SVM": grid[:2]}, store, method="passes", tolerance=FINE)
+    rows = experiment.resumed(data, fold, {"L1SVM": grid}, store, method="passes", tolerance=FINE)
+    return _round(rows, ["accuracy", "auc"]).select("combo_id", "fold", "accuracy", "auc", "status")
+
+
+_NNZ = "(w1 <> 0)::INT + (w2 <> 0)::INT + (w3 <> 0)::INT <= budget"
+
+
+@query(f"{_three([(1.0, 0.5)], _FOLDS, 2.0, 'true').replace('h AS (SELECT *,', 'h AS (SELECT l.*, u.*, budget,').replace('FROM l, u)', 'FROM l, u, range(1, 4) r(budget))').replace('f AS (SELECT g, combo,', 'f AS (SELECT g, budget,').replace('WHERE true GROUP BY g, combo', f'WHERE {_NNZ} GROUP BY g, budget')}, {exact.scored(3, keys='g, budget')} SELECT budget::DOUBLE AS value, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std FROM k GROUP BY budget")
+def sweep_fit_b(spark, d):
+    """AUC against the budget, from 1 to the number of features, C and tau fixed."""
+    data, fold = _coarse(spark, d, _THREE)
+    rows = experiment.sweep(data, fold, "B", (1, 2, 3), {"C": 1.0, "tau": 0.5}, domain="free", method="passes")
+    return _round(rows, ["auc_mean", "auc_std"]).select("value", "auc_mean", "auc_std")
+
+
+@query("SELECT vec_id AS row_id, CASE WHEN i < (m % 10) * (m // 10 + 1) THEN i // (m // 10 + 1) ELSE m % 10 + (i - (m % 10) * (m // 10 + 1)) // (m // 10) END AS fold FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS i, count(*) OVER () AS m FROM embeddings)")
+def permuted_folds(spark, d):
+    """Ten folds of exact sizes by a seeded permutation that no task or driver holds."""
+    return folds.permuted(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id"))
+
+
+@query('SELECT c_nationkey AS "Target", c_custkey AS "Feature_1", c_acctbal AS "Feature_2" FROM customer')
+def named_features(spark, d):
+    """The label first, the others numbered."""
+    return datasets.named_features(spark.read.parquet(f"{d}/customer.parquet"), "c_nationkey", features=["c_custkey", "c_acctbal"])
+
+
+@query(f'WITH {_CV} SELECT combo_id::BIGINT AS combo_id, c AS "C", tau, round(accuracy_mean, 6) AS accuracy_mean, round(auc_mean, 6) AS auc_mean, folds FROM v')
+def grid_csv(spark, d):
+    """A grid's summary as one CSV with a header, read back."""
+    path = sinks.scratch(spark, "grid-csv")
+    names = ["accuracy_mean", "auc_mean"]
+    sinks.export_csv(_round(_points(spark, d), names).select("combo_id", "C", "tau", *names, "folds"), path)
+    return spark.read.csv(path, header=True, schema="combo_id long, C double, tau double, accuracy_mean double, auc_mean double, folds long")
+
+
+@query(f'WITH {_CV} SELECT c AS "C", round(auc_mean, 6) AS "AUC", \'lineitem\' AS "Dataset" FROM v WHERE tau = 0.5')
+def c_log_csv(spark, d):
+    """The log of a sweep over C as a CSV, read back."""
+    path = sinks.scratch(spark, "c-log")
+    curve = _points(spark, d).where("tau = 0.5").select("C", F.round("auc_mean", 6).alias("AUC"), F.col("dataset").alias("Dataset"))
+    sinks.export_csv(curve, path)
+    return spark.read.csv(path, header=True, schema="C double, AUC double, Dataset string")
+
+
+@query(f"WITH {BASE} SELECT l_orderkey, l_linenumber, sign(round(4.0 * f3 + 0.02 * f1 - 0.6, 12))::INT AS pred FROM b")
+def predict_on_subset(spark, d):
+    """Predictions of a model of two of the features, listed third and first."""
+    x = linear.gather(F.array(*FEATURES), F.array(F.lit(3), F.lit(1)))
+    rows = lineitem_problem(spark, d)
+    return rows.select(*KEY, linear.predict(F.round(linear.decision_array(x, F.array(F.lit(4.0), F.lit(0.02)), F.lit(-0.6)), 12)).alias("pred"))

@@ -76,3 +76,92 @@ s AS (SELECT combo_id, t.g, y, sign(w * x + b)::INT AS pred FROM b JOIN t ON b.g
 n AS (SELECT combo_id, g, avg((y = pred)::INT) AS accuracy, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 1 AND pred = -1) AS fn, count(*) FILTER (y = -1 AND pred = -1) AS tn, count(*) FILTER (y = -1 AND pred = 1) AS fp FROM s GROUP BY combo_id, g),
 v AS (SELECT n.combo_id::BIGINT AS combo_id, n.g::BIGINT AS fold, w, b, accuracy, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 ELSE 0 END AS auc,
   CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1_score, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN sqrt(tp / (tp + fn) * tn / (tn + fp)) ELSE 0 END AS g_mean FROM n JOIN b ON n.combo_id = b.combo_id AND n.g = b.g)"""
+
+
+# ---- several features: line items whose features have three levels each, so that rows fall into few classes
+
+#: Five features of a line item with values 0, 1 or 4, and a label that three of them tell something about.
+COARSE = (
+    "power(floor(l_extendedprice / 36000), 2)",
+    "power(least(floor((l_linenumber - 1) / 2), 2), 2)",
+    "power(floor(l_discount * 25), 2)",
+    "power(floor(l_tax * 30), 2)",
+    "power(floor(l_quantity / 17), 2)",
+)
+COARSE_LABEL = "CASE WHEN l_extendedprice / 1000 + 200 * l_discount + 4 * l_linenumber + 5 * (l_partkey % 7) > 90 THEN 1 ELSE -1 END"
+
+
+def determinant(m: list[list[str]]) -> str:
+    """Of a matrix of SQL expressions, along the first row; zeros and ones as numbers are left out."""
+    if len(m) == 1:
+        return m[0][0]
+    terms = []
+    for j, x in enumerate(m[0]):
+        if x != "0":
+            minor = determinant([row[:j] + row[j + 1 :] for row in m[1:]])
+            terms.append(f"{'-' if j % 2 else '+'} {x} * ({minor})" if x != "1" else f"{'-' if j % 2 else '+'} ({minor})")
+    return " ".join(terms) or "0"
+
+
+def classes(problems: str, sets: dict[int, tuple[int, ...]]) -> str:
+    """CTEs e (g, s, side, y, n, x1..xk) and z, the classes of rows of each problem (g, s), scaled by its training rows.
+
+    problems is a CTE q(g, fold): the fold that problem g leaves out (null: none); sets the features (from 1) of each s.
+    """
+    k = len(next(iter(sets.values())))
+    rows = " UNION ALL ".join(f"SELECT {s} AS s, fold, y, {', '.join(f'c{j} AS r{i}' for i, j in enumerate(at, 1))} FROM o" for s, at in sets.items())
+    of = lambda f: ", ".join(f.format(i=i) for i in range(1, k + 1))
+    return f"""o AS (SELECT (l_orderkey * 7 + l_linenumber) % 10 AS fold, {COARSE_LABEL} AS y, {', '.join(f'{e}::DOUBLE AS c{j}' for j, e in enumerate(COARSE, 1))} FROM lineitem),
+r AS ({rows}), q AS ({problems}),
+d AS (SELECT g, s, coalesce(r.fold = q.fold, false) AS test, y, {of('r{i}')}, count(*) AS n FROM r, q GROUP BY ALL),
+m AS (SELECT g, s, {of('sum(n * r{i}) / sum(n) AS m{i}, sqrt(sum(n * r{i} * r{i}) / sum(n) - power(sum(n * r{i}) / sum(n), 2)) AS sd{i}')} FROM d WHERE NOT test GROUP BY g, s),
+a AS (SELECT g, s, test, y, n, {of('(r{i} - m{i}) / sd{i} AS x{i}')} FROM d JOIN m USING (g, s)), z AS (SELECT * FROM a WHERE NOT test)"""
+
+
+def vertices(k: int, domain: str, box: float | None) -> str:
+    """CTE c (g, s, w1..wk, b): where k + 1 of the planes meet on which the objective bends: margins of 1, weights of 0 or at the box, b = 0."""
+    names = [*(f"a{i}" for i in range(1, k + 1)), "a0"]
+    unit = lambda i, rhs: "SELECT DISTINCT g, s, " + ", ".join(f"{int(i == j)}::DOUBLE" for j in range(1, k + 1)) + f", {int(i == 0)}::DOUBLE, {rhs}::DOUBLE FROM z"
+    planes = ["SELECT DISTINCT g, s, " + ", ".join(f"x{i}" for i in range(1, k + 1)) + ", 1::DOUBLE, y::DOUBLE FROM z"]
+    planes += [unit(i, v) for i in range(1, k + 1) for v in (0, *((box,) if box else ()), *((-box,) if box and domain == "free" else ()))]
+    if domain == "nonneg":
+        planes.append(unit(0, 0))
+    d = range(k + 1)
+    matrix = [[f"p{i}.{n}" for n in names] for i in d]
+    cramer = [determinant([[f"p{i}.r" if j == at else x for j, x in enumerate(matrix[i])] for i in d]) for at in d]
+    joins = " ".join(f"JOIN p p{i} ON p{i}.g = p0.g AND p{i}.s = p0.s AND p{i}.i > p{i - 1}.i" for i in d if i)
+    snapped = ", ".join(f"CASE WHEN abs(w{i}) < 1e-9 THEN 0 ELSE round(w{i}, 11) END AS w{i}" for i in range(1, k + 1))
+    inside = " AND ".join([*(f"w{i} >= -1e-9" for i in range(1, k + 1) if domain == "nonneg"), *(f"abs(w{i}) <= {box + 1e-9}" for i in range(1, k + 1) if box), *(["b >= -1e-9"] if domain == "nonneg" else []), "true"])
+    values = ", ".join(f"{cramer[i]} AS n{i}" for i in d)
+    solved = ", ".join(f"n{i} / det AS {'b' if i == k else f'w{i + 1}'}" for i in d)
+    return f"""p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g, s ORDER BY {', '.join(names)}, r) AS i FROM ({' UNION ALL '.join(planes)}) t(g, s, {', '.join(names)}, r)),
+v AS (SELECT g, s, {solved} FROM (SELECT p0.g, p0.s, {determinant(matrix)} AS det, {values} FROM p p0 {joins}) WHERE abs(det) > 1e-7),
+c AS (SELECT DISTINCT g, s, {snapped}, round(b, 11) AS b FROM v WHERE {inside})"""
+
+
+def optima(k: int, reg: str, domain: str, grid: list[tuple[float, float]], box: float | None = None, keep: str = "true", by: str = "g, combo") -> str:
+    """CTEs from c up to f (by, objective, s, w1..wk, b): the vertex of least objective among those that satisfy keep, at each (C, tau) of the grid."""
+    w = [f"w{i}" for i in range(1, k + 1)]
+    cost = {"none": "0", "l1": " + ".join(f"abs({x})" for x in w)}[reg]
+    score = " + ".join(f"c.{x} * z.x{i}" for i, x in enumerate(w, 1)) + " + c.b"
+    points = ", ".join(f"({i}, {c}::DOUBLE, {t}::DOUBLE)" for i, (c, t) in enumerate(grid))
+    return f"""{vertices(k, domain, box)},
+l AS (SELECT c.g, c.s, {', '.join(f'c.{x}' for x in w)}, c.b, sum(n * greatest(0, 1 - y * ({score}))) AS short, sum(n * greatest(0, y * ({score}) - 1)) AS far FROM c JOIN z ON c.g = z.g AND c.s = z.s GROUP BY ALL),
+u(combo, cc, tau) AS (VALUES {points}), h AS (SELECT *, {cost} + cc * (short + tau * far) AS objective FROM l, u),
+f AS (SELECT {by}, unnest(arg_min(struct_pack(objective := objective, s := s, {', '.join(f'{x} := {x}' for x in w)}, b := b), (round(objective, 9), s))) FROM h WHERE {keep} GROUP BY {by})"""
+
+
+def scored(k: int, fits: str = "f", keys: str = "g, combo") -> str:
+    """CTE k (keys, accuracy, auc, f1_score, g_mean) of fits (keys, s, w1..wk, b) on their problems' test rows."""
+    score = " + ".join(f"w{i} * x{i}" for i in range(1, k + 1)) + " + b"
+    return f"""t AS (SELECT {', '.join(f'{fits}.{x}' for x in keys.split(', '))}, y, n, sign(round({score}, 7))::INT AS pred FROM {fits} JOIN a ON {fits}.g = a.g AND {fits}.s = a.s WHERE test),
+n AS (SELECT {keys}, sum(n) AS n, coalesce(sum(n) FILTER (y = pred), 0) AS hits, coalesce(sum(n) FILTER (y = 1), 0) AS pos, coalesce(sum(n) FILTER (y = -1), 0) AS neg, coalesce(sum(n) FILTER (y = 1 AND pred = 1), 0) AS tp, coalesce(sum(n) FILTER (y = -1 AND pred = -1), 0) AS tn, coalesce(sum(n) FILTER (y = -1 AND pred = 1), 0) AS fp FROM t GROUP BY {keys}),
+k AS (SELECT {keys}, hits / n AS accuracy, CASE WHEN pos > 0 AND neg > 0 THEN (tp / pos + tn / neg) / 2 ELSE 0 END AS auc, CASE WHEN tp + fp + (pos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (pos - tp)) ELSE 0 END AS f1_score, CASE WHEN pos > 0 AND neg > 0 THEN sqrt(tp / pos * tn / neg) ELSE 0 END AS g_mean FROM n)"""
+
+
+#: fs (j, score): Fisher scores of three features of the one problem's classes.
+FISHER_CLASSES = "fl AS (" + " UNION ALL ".join(f"SELECT {j} AS j, y, n, x{j} AS x FROM z" for j in (1, 2, 3)) + """),
+fs AS (SELECT j, (power(up - mean, 2) + power(down - mean, 2)) / (up_var + down_var) AS score FROM (
+  SELECT j, sum(n * x) / sum(n) AS mean, sum(n * x) FILTER (y = 1) / sum(n) FILTER (y = 1) AS up, sum(n * x) FILTER (y = -1) / sum(n) FILTER (y = -1) AS down,
+         (sum(n * x * x) FILTER (y = 1) - power(sum(n * x) FILTER (y = 1), 2) / sum(n) FILTER (y = 1)) / (sum(n) FILTER (y = 1) - 1) AS up_var,
+         (sum(n * x * x) FILTER (y = -1) - power(sum(n * x) FILTER (y = -1), 2) / sum(n) FILTER (y = -1)) / (sum(n) FILTER (y = -1) - 1) AS down_var FROM fl GROUP BY j))"""

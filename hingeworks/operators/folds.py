@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which the exact permutation may be made on the driver.
-EXACT_ROWS = 1_000_000
-
 
 def exact_folds(m: int, k: int = 10, seed: int = 42) -> np.ndarray:
     """Fold of each row 0..m-1: a permutation cut into k chunks, the first m mod k one longer."""
-    if m > EXACT_ROWS:
-        raise ValueError("exact folds are for small tables; use hash folds")
     order = np.arange(m)
     np.random.RandomState(seed).shuffle(order)
     fold = np.empty(m, dtype=np.int64)
@@ -23,10 +18,30 @@ def exact_folds(m: int, k: int = 10, seed: int = 42) -> np.ndarray:
 
 
 def exact_table(spark: SparkSession, m: int, k: int = 10, seed: int = 42) -> DataFrame:
-    """(row_id, fold) of the exact permutation."""
+    """(row_id, fold) of the exact permutation, of a table that the driver can hold; `permuted` is for any."""
     return spark.createDataFrame([(i, int(f)) for i, f in enumerate(exact_folds(m, k, seed))], "row_id long, fold long")
 
 
+def permuted(keys: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
+    """(row_id, fold) for one column of distinct keys of any number: folds of sizes that differ by at most 1, the first m mod k one larger.
+
+    Keys are ordered by a seeded digest, the same in any engine. Ranges of that order are dealt to tasks, each counts its
+    rows, and a row's place is its place in its range behind the ranges before, so nothing but a count a range is gathered.
+    """
+    name = keys.columns[0]
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")))
+    width = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.select(F.col(name).alias("row_id"), digest.alias("digest")).repartitionByRange(width, "digest", "row_id").withColumn("part", F.spark_partition_id()).persist()
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("m"))
+    placed = dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("digest", "row_id")) - 1)
+    small, larger = F.floor(F.col("m") / k), F.col("m") % k
+    edge = larger * (small + 1)
+    fold = F.when(F.col("at") < edge, F.floor(F.col("at") / (small + 1))).otherwise(larger + F.floor((F.col("at") - edge) / F.greatest(small, F.lit(1))))
+    return placed.select("row_id", fold.cast("long").alias("fold"))
+
+
 def hash_fold(key: Column, k: int = 10, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k))
 

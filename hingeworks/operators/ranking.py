@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hingeworks.operators import gram
+
 #: Stands for the variance of a class of one row.
 LEAST_VARIANCE = 1e-10
 
@@ -59,56 +58,16 @@ def masks(scores: DataFrame, limits: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(limits)).select("percentile", "j", "feature", (F.col("score") >= F.col("threshold")).alias("selected"))
 
 
-#: Columns up to which a correlation matrix is one expression a pair; beyond, partial sums of products are merged.
+#: Columns up to which a correlation matrix is one expression a pair; beyond, it comes from blocks of sums of products.
 PAIRWISE = 40
 
 
-def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, mean, prods): one row; partitions sum products around means of their own batches, merged pair by pair in Arrow."""
-
-    def merged(a, b):
-        n = a[0] + b[0]
-        step = b[1] - a[1]
-        return n, a[1] + step * (b[0] / n), a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n)
-
-    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if "prods" in batch.schema.names:
-                parts = [(n, np.array(m), np.array(p).reshape(len(m), -1)) for n, m, p in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "prods")))]
-            else:
-                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-                x = x[np.isfinite(x).all(axis=1)]
-                if not len(x):
-                    continue
-                mean = x.mean(axis=0)
-                parts = [(float(len(x)), mean, (x - mean).T @ (x - mean))]
-            for part in parts:
-                total = part if total is None else merged(total, part)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tolist()], pa.list_(pa.float64())), pa.array([total[2].ravel().tolist()], pa.list_(pa.float64()))], ["n", "mean", "prods"])
-
-    schema, spark = "n double, mean array<double>, prods array<double>", df.sparkSession
-    sums = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(batched, schema)
-    few = max(1, int(spark.sparkContext.defaultParallelism**0.5))
-    return sums.repartition(few).mapInArrow(batched, schema).repartition(1).mapInArrow(batched, schema)  # a row a partition, then one
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson matrix in long form (feature_i, feature_j, corr), both halves, in one pass.
-
-    Beyond PAIRWISE columns rows with a null or non-finite value in any column are left aside.
-    """
+    """Pearson matrix in long form (feature_i, feature_j, corr), both halves; a pair's rows are those where neither is null."""
     if len(columns) > PAIRWISE:
         names = F.array(*[F.lit(c) for c in columns])
-        m = _moments(df, columns)
-        flat = m.select("prods", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("j"))
-        at = lambda a, b: F.get("prods", (a * len(columns) + b).cast("int"))
-        i, j = F.col("i"), F.col("j")
-        corr = F.try_divide(at(i, j), F.sqrt(at(i, i)) * F.sqrt(at(j, j)))
-        return flat.select(F.get(names, i).alias("feature_i"), F.get(names, j).alias("feature_j"), corr.alias("corr"))
+        found = gram.correlations(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("features")), len(columns))
+        return found.select(F.get(names, F.col("a")).alias("feature_i"), F.get(names, F.col("b")).alias("feature_j"), "corr")
     pairs = list(combinations_with_replacement(columns, 2))
     one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(x).alias("feature_i"), F.lit(y).alias("feature_j"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs) for x, y in ({(a, b), (b, a)})]

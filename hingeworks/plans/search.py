@@ -2,7 +2,7 @@
 
 A task is one (model, fold, path): a path is a run of grid points that share all parameters but the feature budget, so
 that each fit starts from the one before. A fold is scaled once per task. Data of fits that one task can hold is
-broadcast after a check of its size; larger tables go to `solvers.aggregate`.
+broadcast after a check of its size; larger tables are fitted by passes that all fits share (`plans.shared`).
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hingeworks.functions import linear, metrics
-from hingeworks.operators import ranking
-from hingeworks.operators.folds import exact_folds
-from hingeworks.operators.models import MODELS, RFESVM, FisherSVM, Fitted, L1SVM, LinearModel, fisher_score
-from hingeworks.operators.solvers.aggregate import fit_large
-from hingeworks.operators.solvers.bnb import ROUNDED, Search
+from hingeworks.operators.folds import exact_folds, permuted
+from hingeworks.operators.models import MODELS, Fitted, L1SVM, LinearModel, fisher_score
+from hingeworks.operators.solvers.bnb import GAP, ROUNDED, Search
+from hingeworks.plans import shared as by_passes
+from hingeworks.plans.shared import METRIC_NAMES, METRICS  # noqa: F401
 
 #: Numbers (rows times features) of a data set that tasks may hold; about 160 MB.
 MOST_NUMBERS = 20_000_000
@@ -59,9 +58,6 @@ def grid_table(spark: SparkSession, values: dict[str, tuple]) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(itertools.product(*values.values()))], ["combo_id", *values])
 
 
-METRICS = "model string, dataset string, variant string, combo_id long, params string, fold long, status string, error string, accuracy double, auc double, f1_score double, g_mean double, train_time double, num_features int, selected array<int>, w array<double>, b double, objective double"
-
-
 def auc_of(y: np.ndarray, s: np.ndarray) -> float:
     """Area under the curve by average ranks; 0 with one class."""
     up, down = np.sort(s[y == 1]), np.sort(s[y != 1])
@@ -111,13 +107,15 @@ def _fits(model: str, points: list[dict], domain: str, x: np.ndarray, y: np.ndar
             m = MODELS[model](**points[i], **({"domain": domain} if "domain" not in points[i] else {}))
             if last is not None and hasattr(m, "start"):
                 m.start = last
+            if deadline is not None:
+                m.time_limit = min(getattr(m, "time_limit", None) or np.inf, max(deadline - time.time(), 1e-3))
             m.fit(x, y)
             f = m.fitted
             if hasattr(m, "start") and f.w is not None:
                 last = (f.w, f.b)
             score = m.decision_function(tx)
             p = np.sign(score).astype(int)
-            row |= {"status": f.status, "w": f.w.tolist(), "b": f.b, "selected": f.selected, "num_features": int((f.w != 0).sum()), "objective": f.objective, "train_time": f.train_time}
+            row |= {"status": f.status, "w": f.w.tolist(), "b": f.b, "selected": f.selected, "num_features": int((f.w != 0).sum()), "objective": f.objective, "train_time": f.train_time, "gap": f.gap}
             if zero_pred == "drop_fold" and (p == 0).any():
                 row |= {"status": "failed", "error": "a prediction is 0"}
             else:
@@ -127,17 +125,18 @@ def _fits(model: str, points: list[dict], domain: str, x: np.ndarray, y: np.ndar
         yield row
 
 
-def cross_validate(data: DataFrame, folds: DataFrame, models: dict[str, list[dict]], domain: str = "nonneg", auc_from: str = "label", zero_pred: str = "count_as_wrong", deadline: float | None = None) -> DataFrame:
+def cross_validate(data: DataFrame, folds: DataFrame, models: dict[str, list[dict]], domain: str = "nonneg", auc_from: str = "label", zero_pred: str = "count_as_wrong", deadline: float | None = None, method: str | None = None, tolerance: float = by_passes.TOLERANCE) -> DataFrame:
     """Fold metrics of every (dataset, variant, model, point, fold).
 
     data has (row_id, dataset, variant, features, label), folds (row_id, fold). Points that differ only in parameters a
-    model ignores are fitted once and reported each. A deadline (seconds since the epoch) skips what is left. Data
-    beyond MOST_NUMBERS is fitted by aggregation passes; budgeted models then fail as rows.
+    model ignores are fitted once and reported each. A deadline (seconds since the epoch) skips what is left. method:
+    "tasks", a task a fold and path, which hold the data; "passes" over the table, shared by all fits; by default passes
+    beyond MOST_NUMBERS. Either gives the same fits, within the relative gap that passes prove (tolerance).
     """
     spark = data.sparkSession
     n_numbers = data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
-    if n_numbers > MOST_NUMBERS:
-        return _cross_validate_by_sums(data, folds, models, domain, auc_from, zero_pred, deadline)
+    if method == "passes" or (method is None and n_numbers > MOST_NUMBERS):
+        return by_passes.cross_validate(data, folds, models, domain, auc_from, zero_pred, deadline, tolerance)
     rows = data.join(folds, "row_id").orderBy("dataset", "variant", "row_id").toArrow()
     sets: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     keys = list(zip(rows["dataset"].to_pylist(), rows["variant"].to_pylist()))
@@ -188,16 +187,18 @@ KEYS = ["model", "dataset", "variant"]
 
 def summary(metrics: DataFrame) -> DataFrame:
     """Mean and population deviation over successful folds per grid point."""
-    good = metrics.where(F.col("accuracy").isNotNull())
     names = ("accuracy", "auc", "f1_score", "g_mean")
-    agg = [F.avg(c).alias(f"{c}_mean") for c in names] + [F.stddev_pop(c).alias(f"{c}_std") for c in names]
+    good = metrics.where(F.col("accuracy").isNotNull()).groupBy(*KEYS, "combo_id", "params")
+    agg = [F.sort_array(F.collect_list(F.struct("fold", *names))).alias("by_fold"), *[F.stddev_pop(c).alias(f"{c}_std") for c in names]]
     agg += [F.avg("train_time").alias("train_time_mean"), F.avg("num_features").alias("num_features_mean"), F.count(F.lit(1)).alias("folds")]
-    return good.groupBy(*KEYS, "combo_id", "params").agg(*agg)
+    mean = lambda c: (F.aggregate("by_fold", F.lit(0.0), lambda s, x: s + x[c]) / F.col("folds")).alias(f"{c}_mean")
+    rows = good.agg(*agg)  # a list of a point's folds; summed in their order, however rows are dealt
+    return rows.select(*KEYS, "combo_id", "params", *[mean(c) for c in names], *[f"{c}_std" for c in names], "train_time_mean", "num_features_mean", "folds")
 
 
 def best(points: DataFrame, criterion: str = "auc") -> DataFrame:
-    """The first grid point with the highest positive mean of the criterion; none if no point is above 0."""
-    c = F.col(f"{criterion}_mean")
+    """The first grid point with the highest positive mean of the criterion; none if no point is above 0. Means that agree to 12 digits are equal."""
+    c = F.round(F.col(f"{criterion}_mean"), 12)
     top = points.where(c > 0).groupBy(*KEYS).agg(F.max_by("combo_id", F.struct(c, -F.col("combo_id"))).alias("combo_id"))
     return points.join(top, [*KEYS, "combo_id"])
 
@@ -253,119 +254,37 @@ def budgeted(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: LinearMod
             whole.best = best
     shared.unpersist()
     w, b, value = whole.best
-    return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began)
-
-
-def scaled_columns(data: DataFrame, n: int) -> DataFrame:
-    """data with each of its n features less its mean, over its population deviation (1 for a constant one)."""
-    at = [F.col("features")[j] for j in range(n)]
-    row = data.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(at)], *[F.when(F.min(x) == F.max(x), 1.0).otherwise(F.stddev_pop(x)).alias(f"s{j}") for j, x in enumerate(at)]).first()
-    z = F.array(*[(x - F.lit(row[f"m{j}"])) / F.lit(row[f"s{j}"]) for j, x in enumerate(at)])
-    return data.withColumn("features", z)
-
-
-def fit_by_sums(data: DataFrame, model: LinearModel) -> Fitted:
-    """A model's fit on scaled rows too many for one task, by aggregation passes; budgets are beyond it."""
-    began, n = time.monotonic(), data.select(F.size("features")).first()[0]
-    spec = model.spec
-
-    def on(at: list[int]) -> tuple[np.ndarray, float, float]:
-        part = data.select(F.array(*[F.col("features")[j] for j in at]).alias("features"), "label")
-        w, b, value, _, _ = fit_large(part, len(at), spec)
-        full = np.zeros(n)
-        full[at] = w
-        return full, b, value
-
-    at, listed = list(range(n)), None
-    if isinstance(model, FisherSVM):
-        scores = ranking.fisher_scores(data.select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(n)]), [f"f{j}" for j in range(n)])
-        listed = [r.j - 1 for r in ranking.top_k(scores, min(model.n_features, n)).orderBy("rank").collect()]  # a row a feature
-        at = listed
-    elif isinstance(model, RFESVM):
-        while len(at) > model.n_features:
-            w = on(at)[0]
-            gone = 1 if model.drop == "one" else min(len(at) // 2, len(at) - model.n_features)
-            worst = set(sorted(at, key=lambda j, w=w: (w[j] ** 2, j))[:gone])
-            at = [j for j in at if j not in worst]
-        listed = at
-    elif hasattr(model, "budget") and model.budget is not None:
-        raise ValueError("a budgeted fit needs its rows in one task")
-    w, b, value = on(at)
-    chosen = listed if listed is not None else np.flatnonzero(w).tolist()
-    v = np.zeros(n, dtype=int)
-    v[chosen] = 1
-    return Fitted(w, b, v, [int(j) + 1 for j in chosen], value, "optimal", time.monotonic() - began)
-
-
-def fit_any(data: DataFrame, model: LinearModel) -> Fitted:
-    """A model fitted to the scaled rows of data (row_id, features, label), in one task, in many or by aggregation passes.
-
-    Up to MOST_NUMBERS numbers the rows are broadcast, to one task or, for a budget, to the tasks of its search.
+    gap = GAP * max(1.0, abs(value))
+    return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began, gap)
+
+
+def fit_any(data: DataFrame, model: LinearModel, method: str | None = None, tolerance: float = by_passes.TOLERANCE) -> Fitted:
+    """A model fitted to the scaled rows of data (row_id, features, label), by passes over the table (`plans.shared`).
+
+    method "tasks" instead searches a budgeted model's subtrees in tasks that hold the rows, which is the default up to
+    MOST_NUMBERS numbers: its trees are too large there for a pass a level.
     """
-    spark = data.sparkSession
-    if data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] > MOST_NUMBERS:
-        n = data.select(F.size("features")).first()[0]
-        rows = scaled_columns(data, n).select("features", "label").persist()
-        try:
-            return fit_by_sums(rows, model)
-        finally:
-            rows.unpersist()
+    budget = getattr(model, "budget", None) is not None
+    if method is None:
+        numbers = data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] if budget else 0
+        method = "tasks" if budget and numbers <= MOST_NUMBERS else "passes"
+    if method == "passes":
+        return by_passes.fit_table(data, model, tolerance)
     rows = data.select("row_id", "features", "label").toArrow().sort_by("row_id")
     x, y = np.array(rows["features"].to_pylist(), dtype=float), rows["label"].to_numpy().astype(float)
     x, _ = scaled(x, x)
-    if hasattr(model, "budget"):
-        return budgeted(spark, x, y, model)
-    shared = spark.sparkContext.broadcast((x, y))
-    (got,) = spread(spark, [model], lambda m: m.fit(*shared.value).fitted)
-    return got
-
-
-def _cross_validate_by_sums(data: DataFrame, folds: DataFrame, models: dict[str, list[dict]], domain: str, auc_from: str, zero_pred: str, deadline: float | None) -> DataFrame:
-    """The same rows for data beyond one task: each fold's training side is fitted by aggregation passes, scored in place."""
-    spark = data.sparkSession
-    whole = data.join(folds, "row_id").persist()
-    kinds, out = [tuple(r) for r in whole.select("dataset", "variant", "fold").distinct().collect()], []  # a row a fold
-    for dataset, variant, k in sorted(kinds):
-        own = whole.where((F.col("dataset") == dataset) & (F.col("variant") == variant))
-        n = own.select(F.size("features")).first()[0]
-        at, train = [F.col("features")[j] for j in range(n)], own.where(F.col("fold") != k)
-        row = train.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(at)], *[F.when(F.min(x) == F.max(x), 1.0).otherwise(F.stddev_pop(x)).alias(f"s{j}") for j, x in enumerate(at)]).first()
-        z = own.withColumn("features", F.array(*[(x - F.lit(row[f"m{j}"])) / F.lit(row[f"s{j}"]) for j, x in enumerate(at)])).persist()
-        for name, points in models.items():
-            for i, point in enumerate(points):
-                found = {"model": name, "dataset": dataset, "variant": variant, "fold": k, "combo_id": i, "params": json.dumps(point), "status": "skipped"}
-                if deadline is None or time.time() <= deadline:
-                    try:
-                        f = fit_by_sums(z.where(F.col("fold") != k), MODELS[name](**({"domain": domain} | point)))
-                        w = F.array(*[F.lit(float(v)) for v in f.w])
-                        score = linear.decision_array(F.col("features"), w, F.lit(f.b))
-                        test = z.where(F.col("fold") == k).select("label", score.alias("score"), linear.predict(score).alias("pred"))
-                        got = metrics.evaluate(test, "label", "pred", [], zero_pred).first()
-                        found |= {"status": f.status, "w": f.w.tolist(), "b": f.b, "selected": f.selected, "num_features": int((f.w != 0).sum()), "objective": f.objective, "train_time": f.train_time}
-                        if got is None:
-                            found |= {"status": "failed", "error": "a prediction is 0"}
-                        else:
-                            found |= {c: got[c] for c in ("accuracy", "auc", "f1_score", "g_mean")}
-                            if auc_from == "score":
-                                found["auc"] = metrics.auc_rank(test, "label", "score", []).first().auc
-                    except ValueError as e:
-                        found |= {"status": "failed", "error": f"ValueError: {e}"}
-                out.append(found)
-        z.unpersist()
-    whole.unpersist()
-    names = [x.split()[0] for x in METRICS.split(", ")]
-    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in out], METRICS)
+    return budgeted(data.sparkSession, x, y, model)
 
 
 def _first_best(found: list[dict | None]) -> dict:
     best: dict = {"auc": 0.0}
     for f in found:
-        if f is not None and f["auc"] > best["auc"]:
+        if f is not None and f["auc"] > best["auc"] + 1e-12:
             best = f
     return best
 
 
-def fisher_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentiles=(25, 50, 75), repeats: int = 5, seed: int = 42, folds: int = 10, domain: str = "nonneg", deadline: float | None = None, spark: SparkSession | None = None) -> dict:
+def fisher_in_tasks(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentiles=(25, 50, 75), repeats: int = 5, seed: int = 42, folds: int = 10, domain: str = "nonneg", deadline: float | None = None, spark: SparkSession | None = None) -> dict:
     """For each C the threshold of least mean hold-out error among score percentiles, then cross-validation on its mask.
 
     An empty mask falls back to the top tenth. Returns the best point by mean AUC with its own threshold and mask. With
@@ -398,7 +317,7 @@ def fisher_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, percentil
     return _first_best(_over_grid(spark, list(c_grid), point, (x, y)))
 
 
-def rfe_search(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, seed: int = 42, folds: int = 10, domain: str = "nonneg", spark: SparkSession | None = None) -> dict:
+def rfe_in_tasks(train: tuple[np.ndarray, np.ndarray], c_grid=C_GRID, seed: int = 42, folds: int = 10, domain: str = "nonneg", spark: SparkSession | None = None) -> dict:
     """For each C, cross-validate at each size while halving the features by the last fold's weights; best mean AUC.
 
     With a session each C is a Spark task.
@@ -434,3 +353,30 @@ def _over_grid(spark: SparkSession | None, values: list[float], point, data) ->
         return [point(c, data) for c in values]
     shared = spark.sparkContext.broadcast(data)
     return spread(spark, values, lambda c: point(c, shared.value))
+
+
+def _small(data: DataFrame, method: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Scaled rows and labels for tasks that hold them, after a check of their size; None: by passes."""
+    if method is None:
+        method = "passes" if data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] > MOST_NUMBERS else "tasks"
+    if method == "passes":
+        return None
+    rows = data.select("row_id", "features", "label").toArrow().sort_by("row_id")
+    x = np.array(rows["features"].to_pylist(), dtype=float)
+    return scaled(x, x)[0], rows["label"].to_numpy().astype(float)
+
+
+def fisher_search(data: DataFrame, folds: DataFrame | None = None, c_grid: tuple = C_GRID, method: str | None = None, **options) -> dict:
+    """The best C and Fisher threshold of a table of any size: in tasks up to MOST_NUMBERS (folds are then the exact permutation), else by shared passes."""
+    train = _small(data, method)
+    if train is not None:
+        return fisher_in_tasks(train, c_grid, spark=data.sparkSession, **options)
+    return by_passes.fisher_search(data, permuted(data.select("row_id")) if folds is None else folds, c_grid, **options)
+
+
+def rfe_search(data: DataFrame, folds: DataFrame | None = None, c_grid: tuple = C_GRID, method: str | None = None, **options) -> dict:
+    """The best C and feature set on the halving path, as `fisher_search`."""
+    train = _small(data, method)
+    if train is not None:
+        return rfe_in_tasks(train, c_grid, spark=data.sparkSession, **options)
+    return by_passes.rfe_search(data, permuted(data.select("row_id")) if folds is None else folds, c_grid, **options)

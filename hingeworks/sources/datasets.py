@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,8 +89,7 @@ def encode_label(label: Column, positive: str | None = None, keep_others: bool =
 def scan(spark: SparkSession, path: str, spec: DatasetSpec, variant: str = "original", on_missing: str = "raise", keep_others: bool = False, lenient: bool = False) -> DataFrame | None:
     """Read a file as (row_id, dataset, variant, features, label). Bad numbers raise, or become null if lenient.
 
-    row_id is the position in file order, so the read is of one file and one partition at its ordering step; data sets
-    here have some hundred rows. For large inputs use `features_of` with a natural key.
+    path is a file or a folder of files; row_id is the position in the order of files and lines, however many tasks read.
     """
     try:
         raw = spark.read.csv(path, schema=spec.schema(), header=spec.header, sep=spec.sep)
@@ -103,10 +102,30 @@ def scan(spark: SparkSession, path: str, spec: DatasetSpec, variant: str = "orig
     number = (lambda c: F.expr(f"try_cast({c} AS DOUBLE)")) if lenient else (lambda c: F.col(c).cast("double"))
     features = F.array(*[number(f"_c{i}") for i in range(spec.first_feature, spec.first_feature + spec.n_features)])
     label = encode_label(F.col(f"_c{spec.label_index}"), spec.positive, keep_others)
-    with_id = raw.coalesce(1).withColumn("row_id", F.monotonically_increasing_id())
+    with_id = in_file_order(raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")))
     return with_id.select("row_id", F.lit(spec.name).alias("dataset"), F.lit(variant).alias("variant"), features.alias("features"), label.cast("int").alias("label"))
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """row_id from 0 by file (by path), block of the file and line, for rows with the columns __file and __block.
+
+    A block is read by one task in the order of its lines, so a row's place is its place in the block behind the rows of
+    the blocks before; no more than a count a block is gathered.
+    """
+    by = ["__file", "__block"]
+    read = rows.withColumn("__line", F.monotonically_increasing_id())
+    before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(*by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row a block
+    placed = read.join(F.broadcast(starts), by).withColumn("row_id", F.col("__start") + F.row_number().over(Window.partitionBy(*by).orderBy("__line")) - 1)
+    return placed.drop(*by, "__line", "__start")
+
+
+def named_features(df: DataFrame, label: str, name: str = "Target", features: list[str] | None = None) -> DataFrame:
+    """The label first, as `name`, then the other columns (or the given ones) as Feature_1, Feature_2 and so on."""
+    rest = features if features is not None else [c for c in df.columns if c != label]
+    return df.select(F.col(f"`{label}`").alias(name), *[F.col(f"`{c}`").alias(f"Feature_{i}") for i, c in enumerate(rest, 1)])
+
+
 def target_last(df: DataFrame, label: str, name: str = "Target", drop: tuple[str, ...] = ()) -> DataFrame:
     """The label renamed and moved behind all other columns; columns in drop (such as ids) go."""
     rest = [c for c in df.columns if c != label and c not in drop]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
@@ -13,14 +15,29 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share: below spark.checkpoint.dir, or the checkpoint folder set in code.
 
-    With neither, a local session gets a temporary folder; a cluster session is refused.
+    With neither, a local session gets a temporary folder; a cluster session is refused. The folder is removed at the
+    end of the driver's process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hingeworks-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((path, spark._jvm, spark._jsc.hadoopConfiguration()))
+    return path
+
+
+_scratch: list[tuple] = []
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    """Scratch folders go with the driver's process."""
+    for path, jvm, conf in _scratch:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
