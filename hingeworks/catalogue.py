@@ -807,3 +807,31 @@ def predict_on_subset(spark, d):
     x = linear.gather(F.array(*FEATURES), F.array(F.lit(3), F.lit(1)))
     rows = lineitem_problem(spark, d)
     return rows.select(*KEY, linear.predict(F.round(linear.decision_array(x, F.array(F.lit(4.0), F.lit(0.02)), F.lit(-0.6)), 12)).alias("pred"))
+
+
+_ENVELOPE = """e AS (SELECT w1, w2, w3, b, abs(w1) + abs(w2) + abs(w3) AS reg, short FROM l),
+way AS (SELECT * FROM (SELECT 0.00001::DOUBLE AS c, w1, w2, w3, b, reg, short FROM e ORDER BY round(reg + 0.00001 * short, 10), short LIMIT 1)
+  UNION ALL SELECT * FROM (SELECT (e.reg - way.reg) / (way.short - e.short) AS c, e.w1, e.w2, e.w3, e.b, e.reg, e.short FROM way JOIN e ON e.short < way.short - 1e-6
+    WHERE (e.reg - way.reg) / (way.short - e.short) < 1 ORDER BY round((e.reg - way.reg) / (way.short - e.short), 12), e.short LIMIT 1))"""
+
+
+@query(f"{_three([(1.0, 0.0)]).replace('WITH', 'WITH RECURSIVE', 1)}, {_ENVELOPE} SELECT round(c * 1000, 3) AS c_from, {_WS} FROM way")
+def path_l1_items(spark, d):
+    """All L1 fits of three features for C from 0.00001 to 1: where the fit changes, and the weights from there on."""
+    data, _ = _coarse(spark, d, _THREE)
+    rows = shared.path(data, Spec("hinge", "l1", 1.0, domain="free"), 1e-5, 1.0)
+    w = [(F.round(F.col("w")[j], 3) + 0.0).alias(f"w{j + 1}") for j in range(3)]
+    return rows.select(F.round(F.col("c_from") * 1000, 3).alias("c_from"), *w)
+
+
+_TREE = [(c, 0.5) for c in (0.001, 1.0)]
+
+
+@query(f"{_three(_TREE, _WHOLE, 2.0).replace('h AS (SELECT *,', 'h AS (SELECT l.*, u.*, budget,').replace('FROM l, u)', 'FROM l, u, range(1, 4) r(budget))').replace('f AS (SELECT g, combo,', 'f AS (SELECT combo, budget,').replace('WHERE true GROUP BY g, combo', f'WHERE {_NNZ} GROUP BY combo, budget')} SELECT combo * 3 + budget - 1 AS combo_id, round(objective / {_ROWS}, 4) AS objective, {_CHOSEN} AS selected FROM f")
+def fit_all_budgets(spark, d):
+    """Budgeted fits of every budget, those of one C from one search tree."""
+    data, _ = _coarse(spark, d, _THREE)
+    m = data.count()
+    grid = search.grid({"C": (0.001, 1.0), "B": (1, 2, 3)}, {"tau": 0.5, "domain": "free"})
+    fits = shared.fit_grid(data, {"PinFSSVM": grid})
+    return spark.createDataFrame([(i, round(f.objective / m, 4), ", ".join(map(str, f.selected))) for i, f in enumerate(fits["PinFSSVM"])], "combo_id long, objective double, selected string")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Generator, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from hingeworks.operators.solvers.ipm import RESIDUE, Spec, loss_pieces
 
 #: Numbers that a pass sums in a task at most, and that may come to the driver without a merge of their own; partitions whose sums may.
 MOST_SUMS, MOST_SENT, MOST_PARTS = 2_000_000, 1_000_000, 64
-#: Nodes of a search that a pass works on; the relative gap at which a node's relaxation is branched.
-MOST_OPEN, LOOSE = 64, 1e-2
+#: Nodes of a search that a pass works on; the relative gap at which a node's relaxation is branched; roundings for all open budgets.
+MOST_OPEN, LOOSE, ROUNDINGS = 64, 1e-2, 60
 #: What the width shrinks by, as soon as a step promises less than this share of what the smoothing leaves open; steps at
 #: a width that needn't shrink; its least value, and passes of a fit at most.
 SHRINK, SETTLED, CENTRED, LEAST_WIDTH, MOST_PASSES = 0.3, 0.01, 6, 1e-9, 150
@@ -70,7 +70,10 @@ class Sums:
 
 @dataclass
 class Fit:
-    """Weights of the features at, intercept, objective, a bound below all fits, and passes taken; beaten: the bound reached the goal."""
+    """Weights of the features at, intercept, objective, a bound below all fits, and passes taken.
+
+    beaten: the bound reached the goal; bounds: below all fits within each of the rooms that were asked about.
+    """
 
     at: np.ndarray
     w: np.ndarray
@@ -79,6 +82,7 @@ class Fit:
     bound: float
     passes: int
     beaten: bool = False
+    bounds: np.ndarray | None = None
 
     @property
     def gap(self) -> float:
@@ -471,12 +475,12 @@ def lower_bound(s: Sums, spec: Spec, best: float, reach: float, row: Row | None
     return out
 
 
-def newton(side: Side, fold: int | None, at: np.ndarray, spec: Spec, tolerance: float = 1e-4, start: np.ndarray | None = None, width: float = 1.0, row: Row | None = None, goal: Callable[[], float] | None = None, coarse: float | None = None) -> Work:
+def newton(side: Side, fold: int | None, at: np.ndarray, spec: Spec, tolerance: float = 1e-4, start: np.ndarray | None = None, width: float = 1.0, row: Row | None = None, goal: Callable[[], float] | None = None, coarse: float | None = None, rooms: tuple[np.ndarray, list[float]] | None = None) -> Work:
     """A fit of the features `at`, as a work: Newton steps on the smoothed loss, whose width shrinks as steps settle.
 
     Ends when no fit can be better by tolerance * (1 + objective), as soon as the bound reaches goal(), when the width is
     down to LEAST_WIDTH or after MOST_PASSES. row limits the summed cost of |weights|. coarse: the relative gap that will do
-    for a fit that is better than goal().
+    for a fit that is better than goal(). rooms: costs, and limits on their sum that the slopes prove bounds for, too.
     """
     at, k = np.asarray(at, dtype=int), len(at) + 1
     free = spec.domain == "free"
@@ -488,6 +492,7 @@ def newton(side: Side, fold: int | None, at: np.ndarray, spec: Spec, tolerance:
     reg = lambda u: float(slope @ np.abs(u) + 0.5 * (ridge * u) @ u)
     u = np.zeros(k) if start is None else np.clip(start, lower, upper)
     best, bound, held, passes, centred = (np.inf, u), -np.inf, None, 0, 0
+    bounds = None if rooms is None else np.full(len(rooms[1]), -np.inf)
     while True:
         (s,) = yield [Ask(fold, at, u, width, spec)]
         passes += 1
@@ -496,12 +501,15 @@ def newton(side: Side, fold: int | None, at: np.ndarray, spec: Spec, tolerance:
         if inside and value < best[0]:
             best = (value, u)
         bound = max(bound, lower_bound(s, spec, best[0] if np.isfinite(best[0]) else value, side.reach, row))
+        if rooms is not None:
+            known = best[0] if np.isfinite(best[0]) else value
+            bounds = np.maximum(bounds, [lower_bound(s, spec, known, side.reach, (rooms[0], room)) for room in rooms[1]])
         if goal is not None and bound >= goal():
-            return Fit(at, best[1][:-1], float(best[1][-1]), float(best[0]), float(bound), passes, True)
+            return Fit(at, best[1][:-1], float(best[1][-1]), float(best[0]), float(bound), passes, True, bounds)
         size = 1 + abs(best[0] if np.isfinite(best[0]) else value)
         near, open_ = tolerance * size, coarse is not None and best[0] < goal() and best[0] - bound <= coarse * size
         if best[0] - bound <= near or open_ or width < LEAST_WIDTH or passes >= MOST_PASSES:
-            return Fit(at, best[1][:-1], float(best[1][-1]), float(best[0]), float(bound), passes)
+            return Fit(at, best[1][:-1], float(best[1][-1]), float(best[0]), float(bound), passes, False, bounds)
         smooth = reg(u) + spec.c * s.loss
         if held is not None and held[3] == width and smooth > held[1] + 1e-10 * (1 + abs(held[1])) and held[4] > 1e-4:
             point, before, move, _, rate = held  # too far: half the way
@@ -549,90 +557,120 @@ def _limited_step(h: np.ndarray, c: np.ndarray, slope: np.ndarray, lower: np.nda
 
 @dataclass
 class Node:
+    """Features kept in and left out, a point to start from, and by budget the bound so far; the budgets that are open."""
+
     keep: np.ndarray
     out: np.ndarray
     start: np.ndarray
     width: float
-    bound: float
+    bounds: np.ndarray
+    open: list[int]
 
 
-def budget_search(side: Side, fold: int | None, n: int, spec: Spec, budget: float, costs: np.ndarray | None = None, tolerance: float = 1e-4) -> Work:
-    """The best fit whose features' summed cost is at most budget, as a work: branch and bound, all open nodes in each pass.
+def budget_search(side: Side, fold: int | None, n: int, spec: Spec, budgets: list[float], costs: np.ndarray | None = None, tolerance: float = 1e-4) -> Work:
+    """The best fits whose features' summed cost is at most each of the budgets, as a work: one branch and bound for all, all its open nodes in each pass.
 
-    A node keeps some features, leaves others out and relaxes the rest to |weight| / box, whose cost the budget limits.
-    It closes when its bound reaches the best fit found, which roundings of relaxations supply; a node's relaxation need
-    only be near its optimum to be branched, on the largest loose weight. Features that no longer fit are left out. The
-    bound of the result is the least of all closed nodes, so the gap is proven.
+    A node keeps some features, leaves others out and relaxes the rest to |weight| / box, whose cost the middle one of its
+    open budgets limits; the slopes of that fit prove a bound for each of the others, too. A budget is done with a node
+    whose bound reaches the best fit found for it, which roundings of relaxations supply; a node's relaxation need only be
+    near its optimum to be branched, on the largest loose weight. The bound of a result is the least of the nodes that
+    were closed for its budget, so its gap is proven.
     """
     costs = np.ones(n) if costs is None else np.asarray(costs, dtype=float)
-    best, closed, tried, passes = Fit(np.arange(n), np.zeros(n), 0.0, np.inf, -np.inf, 0), np.inf, set(), 0
-    goal = lambda: best.value - tolerance * (1 + abs(best.value)) if np.isfinite(best.value) else np.inf
+    best = [Fit(np.arange(n), np.zeros(n), 0.0, np.inf, -np.inf, 0) for _ in budgets]
+    closed, tried, passes = np.full(len(budgets), np.inf), set(), 0
+    goal = lambda k: best[k].value - tolerance * (1 + abs(best[k].value)) if np.isfinite(best[k].value) else np.inf
     none = np.zeros(n, dtype=bool)
-    waiting, running = [Node(none, none, np.zeros(n + 1), 1.0, -np.inf)], []
-
-    def begin(node: Node | None, at: np.ndarray, start: np.ndarray, width: float) -> None:
-        """node None: a candidate for the best fit, whose value counts, not its bound."""
-        row, final = None, True
-        if node is not None:
-            loose = ~node.keep & ~node.out
-            room = budget - costs[node.keep].sum()
-            if costs[loose].sum() > room + 1e-9:
-                row, final = (np.where(loose, costs, 0.0)[at], max(room, 0.0)), False
-        work = newton(side, fold, at, spec, tolerance / 2, np.r_[start[at], start[-1]], width, row, goal if node is not None else None, None if final else LOOSE)
-        running.append([node, final, work, next(work)])
-
-    def offer(fit: Fit) -> None:
-        nonlocal best
-        if fit.value < best.value and costs[fit.full(n) != 0].sum() <= budget + 1e-9:
-            best = fit
+    waiting, running = [Node(none, none, np.zeros(n + 1), 1.0, np.full(len(budgets), -np.inf), list(range(len(budgets))))], []
+
+    def left_open(node: Node) -> list[int]:
+        """Its budgets that it may still hold a better fit for; those that its bounds rule out are closed."""
+        spent, still = costs[node.keep].sum(), []
+        for k in node.open:
+            if spent > budgets[k] + 1e-9:
+                continue  # holds no fit of this budget
+            if node.bounds[k] >= goal(k):
+                closed[k] = min(closed[k], node.bounds[k])
+            else:
+                still.append(k)
+        return still
+
+    def begin(node: Node) -> None:
+        node.open = left_open(node)
+        if not node.open:
+            return
+        k = node.open[len(node.open) // 2]
+        room = budgets[k] - costs[node.keep].sum()
+        loose = ~node.keep & ~node.out & (costs <= room + 1e-9)
+        final = costs[loose].sum() <= room + 1e-9
+        at = np.flatnonzero(node.keep | loose) if final else np.flatnonzero(~node.out)
+        counted = np.where(node.keep, 0.0, costs)[at]
+        rooms = [max(budgets[j] - costs[node.keep].sum(), 0.0) for j in node.open]
+        whole = len(at) == (~node.out).sum()  # bounds hold for what the fit could use only
+        row = None if final else (counted, max(room, 0.0))
+        work = newton(side, fold, at, spec, tolerance / 2, np.r_[node.start[at], node.start[-1]], node.width, row, lambda: goal(k), None if final else LOOSE, (counted, rooms) if whole else None)
+        running.append([node, k, final, work, next(work)])
+
+    def candidate(use: np.ndarray, start: np.ndarray) -> None:
+        key = tuple(np.flatnonzero(use).tolist())
+        if key not in tried:
+            tried.add(key)
+            at = np.flatnonzero(use)
+            work = newton(side, fold, at, spec, tolerance / 2, np.r_[start[at], start[-1]], 0.05)
+            running.append([None, None, True, work, next(work)])
+
+    def rounded(node: Node, w: np.ndarray, budget: float) -> np.ndarray:
+        use, room = np.zeros(n, dtype=bool), budget
+        for i in sorted(np.flatnonzero(~node.out), key=lambda i: (not node.keep[i], -abs(w[i]), i)):
+            if costs[i] <= room + 1e-9 and (node.keep[i] or w[i] != 0):
+                use[i], room = True, room - costs[i]
+        return use
+
+    def finish(node: Node | None, k: int | None, final: bool, fit: Fit) -> None:
+        spent = costs[fit.full(n) != 0].sum()
+        for j, budget in enumerate(budgets):
+            if spent <= budget + 1e-9 and fit.value < best[j].value:
+                best[j] = fit
+        if node is None:
+            return
+        if fit.bounds is not None:
+            node.bounds[node.open] = np.maximum(node.bounds[node.open], fit.bounds)
+        node.bounds[k] = max(node.bounds[k], fit.bound)
+        if final:  # the node's best fit of this budget
+            closed[k] = min(closed[k], node.bounds[k])
+            node.open = [j for j in node.open if j != k]
+        node.open, w = left_open(node), fit.full(n)
+        if not node.open:
+            return
+        start = np.r_[w, fit.b]
+        if final:
+            waiting.append(Node(node.keep, node.out, start, 0.05, node.bounds, node.open))
+            return
+        for j in node.open if len(tried) < ROUNDINGS else [k] if k in node.open else []:
+            candidate(rounded(node, w, budgets[j]), start)
+        loose = ~node.keep & ~node.out
+        j = int(np.flatnonzero(loose)[np.argmax(np.abs(w[loose]))])
+        without, within = node.out.copy(), node.keep.copy()
+        without[j] = within[j] = True
+        for keep, out in ((node.keep, without), (within, node.out)):
+            waiting.append(Node(keep, out, start, 0.05, node.bounds.copy(), list(node.open)))
 
     while waiting or running:
-        waiting.sort(key=lambda x: -x.bound)
+        waiting.sort(key=lambda x: -x.bounds[x.open].min())
         while waiting and len(running) < MOST_OPEN:
-            node = waiting.pop()
-            if node.bound >= goal():
-                closed = min(closed, node.bound)
-                continue
-            left = budget - costs[node.keep].sum()
-            node.out = node.out | (~node.keep & (costs > left + 1e-9))
-            begin(node, np.flatnonzero(~node.out), node.start, node.width)
+            begin(waiting.pop())
         if not running:
-            break
-        answers = iter((yield [a for r in running for a in r[3]]))
+            continue
+        now, running = running, []
+        answers = iter((yield [a for r in now for a in r[4]]))
         passes += 1
-        still = []
-        for r in running:
+        for r in now:
             try:
-                r[3] = r[2].send([next(answers) for _ in r[3]])
-                still.append(r)
-                continue
+                r[4] = r[3].send([next(answers) for _ in r[4]])
+                running.append(r)
             except StopIteration as e:
-                fit, node, final = e.value, r[0], r[1]
-            offer(fit)
-            if node is None:
-                continue
-            bound = max(fit.bound, node.bound)
-            w = fit.full(n)
-            if final or bound >= goal():
-                closed = min(closed, bound)
-                continue
-            loose = ~node.keep & ~node.out
-            start = np.r_[w, fit.b]
-            j = int(np.flatnonzero(loose)[np.argmax(np.abs(w[loose]))])
-            without, within = node.out.copy(), node.keep.copy()
-            without[j] = within[j] = True
-            waiting += [Node(node.keep, without, start, 0.05, bound), Node(within, node.out, start, 0.05, bound)]
-            use, room = np.zeros(n, dtype=bool), budget
-            for i in sorted(np.flatnonzero(~node.out), key=lambda i: (not node.keep[i], -abs(w[i]), i)):
-                if costs[i] <= room + 1e-9 and (node.keep[i] or w[i] != 0):
-                    use[i], room = True, room - costs[i]
-            if tuple(np.flatnonzero(use)) not in tried:
-                tried.add(tuple(np.flatnonzero(use)))
-                r[:] = [None, True, None, None]
-                begin(None, np.flatnonzero(use), np.where(np.r_[use, True], start, 0.0), 0.05)
-                still.append(running.pop())
-        running = still
-    return Fit(best.at, best.w, best.b, best.value, min(closed, best.value), passes)
+                finish(*r[:3], e.value)
+    return [Fit(f.at, f.w, f.b, f.value, float(min(c, f.value)), passes) for f, c in zip(best, closed)]
 
 
 def elimination(side: Side, fold: int | None, n: int, spec: Spec, keep: int, drop: str = "one", tolerance: float = 1e-4) -> Work:
@@ -654,3 +692,52 @@ def elimination(side: Side, fold: int | None, n: int, spec: Spec, keep: int, dro
         else:
             fit = Fit(at, w[at], fit.b, fit.value, fit.bound, fit.passes)
     return fit, steps
+
+
+def cost_path(side: Side, fold: int | None, at: np.ndarray, spec: Spec, low: float, high: float, tolerance: float = 1e-7) -> Work:
+    """[(from, to, fit)] by ascending C from low to high: the intervals of C on each of which one fit is the optimum, as a work.
+
+    With an L1 or no regulariser an optimum is a vertex, whose objective is linear in C, and the least objective is the
+    lower envelope of such lines. Where the lines of two neighbours cross, a fit either proves that nothing is below, so
+    that the crossing is a breakpoint, or is another vertex of the path, and both sides are searched on. All open
+    intervals share their passes. A vertex that is better by less than the tolerance everywhere may be passed over.
+    """
+    if spec.reg == "l2":
+        raise ValueError("with an L2 regulariser weights change all along the path")
+    weight = lambda f: float(np.abs(f.w).sum()) if spec.reg == "l1" else 0.0
+    fine = lambda c: tolerance * min(1.0, c * side.whole.n)  # noqa: E731 - so that losses, not only objectives, are known as well
+
+    def line(c: float, f: Fit) -> tuple[float, float]:
+        return weight(f), (f.value - weight(f)) / c
+
+    def fits(cs: list[float], starts: list, goals: list) -> Work:
+        return (yield from together([newton(side, fold, at, replace(spec, c=c), fine(c), u, 1.0 if u is None else 0.05, goal=goal) for c, u, goal in zip(cs, starts, goals)]))
+
+    def same(x: tuple, y: tuple) -> bool:
+        return abs(x[1] - y[1]) <= 20 * tolerance * (1 + x[1]) and abs(x[0] - y[0]) <= 20 * tolerance * (1 + x[0])
+
+    ends = yield from fits([low, high], [None, None], [None, None])
+    found = {low: (*line(low, ends[0]), ends[0]), high: (*line(high, ends[1]), ends[1])}
+    breaks: list[tuple[float, float, float]] = []  # (C, the point left of it, the point right of it)
+    open_ = [(low, high)]
+    while open_:
+        crossed = []
+        for a, b in open_:
+            (ra, la, _), (rb, lb, _) = found[a], found[b]
+            if not same(found[a], found[b]) and la > lb:
+                c = min(max((rb - ra) / (la - lb), a), b)
+                crossed.append((a, b, c, ra + c * la - 4 * fine(c) * (1 + abs(ra + c * la))))
+        tried = yield from fits([x[2] for x in crossed], [np.r_[found[a][2].w, found[a][2].b] for a, *_ in crossed], [lambda v=x[3]: v for x in crossed])
+        open_ = []
+        for (a, b, c, least), f in zip(crossed, tried):
+            if f.beaten or f.value >= least or not a < c < b:
+                breaks.append((c, a, b))
+            else:
+                found[c] = (*line(c, f), f)
+                open_ += [(a, c), (c, b)]
+    out, start, here = [], low, low
+    for c, a, b in sorted(breaks):
+        if not same(found[here], found[b]):
+            out.append((start, c, found[here][2]))
+            start, here = c, b
+    return [*out, (start, high, found[here][2])]

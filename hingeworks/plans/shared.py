@@ -15,10 +15,10 @@ from hingeworks.functions import metrics
 from hingeworks.operators import folds as splits
 from hingeworks.operators.models import MODELS, RFESVM, FisherSVM, Fitted, LinearModel
 from hingeworks.operators.solvers.ipm import Spec
-from hingeworks.operators.solvers.passes import RAW, Count, Fit, Passes, Work, budget_search, elimination, newton, together
+from hingeworks.operators.solvers.passes import RAW, Count, Fit, Passes, Work, budget_search, cost_path, elimination, newton, together
 
-#: Relative gap that fits are proven to.
-TOLERANCE = 1e-4
+#: Relative gap that fits are proven to; wider ones can leave a feature with a weight that an optimum doesn't have.
+TOLERANCE = 1e-6
 METRICS = "model string, dataset string, variant string, combo_id long, params string, fold long, status string, error string, accuracy double, auc double, f1_score double, g_mean double, train_time double, num_features int, selected array<int>, w array<double>, b double, objective double, gap double"
 METRIC_NAMES = [x.split()[0] for x in METRICS.split(", ")]
 
@@ -38,7 +38,7 @@ def fit_work(passes: Passes, model: LinearModel, side: int | None = None, tolera
         fit, steps = yield from elimination(own, side, n, spec, model.n_features, model.drop, tolerance)
         listed = steps[-1] if steps else every.tolist()
     elif getattr(model, "budget", None) is not None:
-        fit = yield from budget_search(own, side, n, spec, model.budget, model.costs, tolerance)
+        (fit,) = yield from budget_search(own, side, n, spec, [model.budget], model.costs, tolerance)
     else:
         fit = yield from newton(own, side, every, spec, tolerance)
     return fitted(fit, n, listed, tolerance, time.monotonic() - began)
@@ -66,6 +66,38 @@ def fit_table(data: DataFrame, model: LinearModel, tolerance: float = TOLERANCE)
     return got
 
 
+def fit_grid(data: DataFrame, models: dict[str, list[dict]], domain: str = "nonneg", tolerance: float = TOLERANCE) -> dict[str, list[Fitted]]:
+    """The fits of all points of each model's grid on all rows, scaled; they share their passes, and points that differ in the budget a search."""
+    rows = data.select("features", "label", F.lit(0).alias("fold")).persist()
+    out: dict[str, list] = {m: [None] * len(points) for m, points in models.items()}
+    try:
+        passes = Passes(rows)
+        trees = [(m, tree) for m, points in models.items() for tree in _trees(points, list(range(len(points))))]
+        works = [_points(passes, m, [models[m][i] for i in tree], domain, None, tolerance) for m, tree in trees]
+        for (m, tree), got in zip(trees, passes.run(works)):
+            if isinstance(got, Exception):
+                raise got
+            for i, (f, _) in zip(tree, got):
+                out[m][i] = f
+    finally:
+        rows.unpersist()
+    return out
+
+
+def path(data: DataFrame, spec: Spec, low: float, high: float, tolerance: float = 1e-7) -> DataFrame:
+    """(c_from, c_to, w, b, gap): the fits of all C from low to high, by the intervals on which one fit is the optimum."""
+    rows = data.select("features", "label", F.lit(0).alias("fold")).persist()
+    try:
+        passes = Passes(rows)
+        (got,) = passes.run([cost_path(passes.side(None), None, np.arange(passes.n), spec, low, high, tolerance)])
+    finally:
+        rows.unpersist()
+    if isinstance(got, Exception):
+        raise got
+    out = [(float(a), float(b), f.full(passes.n).tolist(), f.b, f.gap) for a, b, f in got]  # a row an interval
+    return data.sparkSession.createDataFrame(out, "c_from double, c_to double, w array<double>, b double, gap double")
+
+
 def table_metrics(t: np.ndarray, zero_pred: str = "count_as_wrong") -> dict[str, float] | None:
     """accuracy, auc (from labels), f1_score and g_mean of counts of labels 1, -1 by predictions 1, 0, -1; None for a dropped fold."""
     (tp, _, fn), (fp, _, tn) = t
@@ -83,7 +115,7 @@ def table_metrics(t: np.ndarray, zero_pred: str = "count_as_wrong") -> dict[str,
     }
 
 
-def fit_and_count(passes: Passes, model: LinearModel, side: int, tolerance: float = TOLERANCE) -> Work:
+def fit_and_count(passes: Passes, model: LinearModel, side: int | None, tolerance: float = TOLERANCE) -> Work:
     """(Fitted, the table of its predictions on the side's test rows)."""
     got = yield from fit_work(passes, model, side, tolerance)
     (table,) = yield [Count(side, np.arange(passes.n), np.r_[got.w, got.b])]
@@ -111,17 +143,18 @@ def cross_validate(data: DataFrame, folds: DataFrame, models: dict[str, list[dic
 
 def _one_set(rows: DataFrame, models: dict[str, list[dict]], domain: str, auc_from: str, zero_pred: str, deadline: float | None, tolerance: float) -> list[dict]:
     passes = Passes(rows)
-    jobs, works, twins = [], [], {}
+    jobs, works, sizes, twins = [], [], [], {}
     for name, points in models.items():
         first: dict[str, int] = {}
         for i, point in enumerate(points):
             same = json.dumps({k: v for k, v in point.items() if k not in getattr(MODELS[name], "ignored", ())}, sort_keys=True)
             twins.setdefault((name, first.setdefault(same, i)), []).append(i)
-        for i in sorted(first.values()):
+        for tree in _trees(points, sorted(first.values())):
             for k in passes.folds:
-                jobs.append((name, i, k))
-                works.append(_point(passes, name, points[i], domain, k, tolerance))
-    results = passes.run(works, deadline)
+                jobs += [(name, i, k) for i in tree]
+                works.append(_points(passes, name, [points[i] for i in tree], domain, k, tolerance))
+                sizes.append(len(tree))
+    results = [r for got, n in zip(passes.run(works, deadline), sizes) for r in (got if isinstance(got, list) else [got] * n)]
     ranked = _rank_auc(passes, [(k, r[0]) if isinstance(r, tuple) else None for (_, _, k), r in zip(jobs, results)]) if auc_from == "score" else {}
     out = []
     for number, ((name, i, k), result) in enumerate(zip(jobs, results)):
@@ -139,9 +172,25 @@ def _one_set(rows: DataFrame, models: dict[str, list[dict]], domain: str, auc_fr
     return out
 
 
-def _point(passes: Passes, name: str, point: dict, domain: str, side: int, tolerance: float) -> Work:
-    """Constructed when it is run, so that wrong parameters are a failed fit."""
-    return (yield from fit_and_count(passes, MODELS[name](**({"domain": domain} | point)), side, tolerance))
+def _trees(points: list[dict], at: list[int]) -> list[list[int]]:
+    """Points (by number) that differ in the budget only, together: one search finds them all."""
+    groups: dict[str, list[int]] = {}
+    for i in at:
+        same = {k: v for k, v in points[i].items() if k != "B"} | ({} if points[i].get("B") is not None else {"number": i})
+        groups.setdefault(json.dumps(same, sort_keys=True), []).append(i)
+    return list(groups.values())
+
+
+def _points(passes: Passes, name: str, points: list[dict], domain: str, side: int | None, tolerance: float) -> Work:
+    """(Fitted, table) of each point; models are constructed when it is run, so that wrong parameters are a failed fit."""
+    models = [MODELS[name](**({"domain": domain} | p)) for p in points]
+    first, began, n = models[0], time.monotonic(), passes.n
+    if getattr(first, "budget", None) is None:
+        return (yield from together([fit_and_count(passes, m, side, tolerance) for m in models]))
+    found = yield from budget_search(passes.side(side), side, n, first.spec, [m.budget for m in models], first.costs, tolerance)
+    fits = [fitted(f, n, None, tolerance, time.monotonic() - began) for f in found]
+    tables = yield [Count(side, np.arange(n), np.r_[f.w, f.b]) for f in fits]
+    return list(zip(fits, tables))
 
 
 def _rank_auc(passes: Passes, fits: list[tuple[int, Fitted] | None]) -> dict[int, float]:

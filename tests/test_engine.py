@@ -230,12 +230,46 @@ def test_all_models_by_passes_match_tasks(tiny, monkeypatch):
         e = want[(r.model, r.combo_id, r.fold)]
         assert r.status == e.status
         if r.status != "failed":
-            assert abs(r.objective - e.objective) <= 2e-4 * (1 + e.objective) and abs(r.accuracy - e.accuracy) < 0.11 and r.gap <= 1.01e-4 * (1 + r.objective)
+            assert abs(r.objective - e.objective) <= 2e-6 * (1 + e.objective) and abs(r.accuracy - e.accuracy) < 0.11 and r.gap <= 1.01e-6 * (1 + r.objective)
     assert search.cross_validate(data, fold.where("fold < 2"), {"MILP1": [{"B": 2}]}).count() == 2 and counted[1] > counted[0] / 5
     late = search.cross_validate(data, fold, {"L1SVM": [{"C": 1.0}]}, deadline=1.0).collect()
     assert {r.status for r in late} == {"skipped"}
 
 
+def test_one_tree_finds_the_fits_of_all_budgets(spark):
+    from hingeworks.operators.solvers.bnb import fit_budget
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(200, 8))
+    y = np.where(x @ r.normal(size=8) + 2 * r.normal(size=200) + 0.4 > 0, 1, -1)
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(200)], "features array<double>, label int")
+    grid = search.grid({"B": tuple(range(1, 9))}, {"C": 1.0, "tau": 0.5, "domain": "free"})
+    fits = shared.fit_grid(df, {"PinFSSVM": grid}, tolerance=1e-5)["PinFSSVM"]
+    z = search.scaled(x, x)[0]
+    for b, f in enumerate(fits, 1):
+        want = fit_budget(z, y.astype(float), Spec("pinball", "l1", 1.0, 0.5, "free", (-2.0, 2.0)), b)
+        assert f.status == "optimal" and len(f.selected) <= b and abs(f.objective - want[2]) <= 2e-5 * (1 + want[2])
+
+
+def test_the_path_in_c_equals_fits_on_the_way(spark):
+    from dataclasses import replace
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 3))
+    y = np.where(x @ r.normal(size=3) + r.normal(size=120) + 0.3 > 0, 1, -1)
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(120)], "features array<double>, label int").coalesce(1)
+    spec, z = Spec("hinge", "l1", 1.0, domain="nonneg"), search.scaled(x, x)[0]
+    rows = shared.path(df, spec, 0.01, 0.5, 1e-6).orderBy("c_from").collect()
+    assert rows[0].c_from == 0.01 and rows[-1].c_to == 0.5 and all(a.c_to == b.c_from for a, b in zip(rows, rows[1:])) and len(rows) > 3
+    for c in np.geomspace(0.011, 0.49, 25):
+        own = replace(spec, c=c)
+        (row,) = [q for q in rows if q.c_from <= c < q.c_to]
+        best = objective(z, y.astype(float), *fit(z, y.astype(float), own)[:2], own)
+        assert objective(z, y.astype(float), np.array(row.w), row.b, own) <= best + 1e-4 * (1 + best)
+    with pytest.raises(ValueError):
+        shared.path(df, Spec("hinge", "l2", 1.0), 0.1, 1.0)
+
+
 def test_scores_of_all_fits_are_ranked(tiny):
     data, fold, x, y = tiny
     a, b = ({(r.combo_id, r.fold): r.auc for r in search.cross_validate(data, fold, {"L2SVM": search.grid({"C": (0.1, 1.0)})}, auc_from="score", method=m).collect()} for m in ("tasks", "passes"))
