@@ -360,7 +360,8 @@ def test_one_of_each_compares_all_members(spark):
 
 def test_rest_tries_what_the_least_left_open(spark):
     """A group whose least member is like no other: its other members are tried with each other, however it is cut."""
-    groups = spark.createDataFrame([([(k, 100) for k in range(9)],), ([(2, 100), (20, 40), (21, 41)],)], "members array<struct<key: long, n: int>>")
+    rows = [(1, k, 100, (0, 100)) for k in range(9)] + [(2, k, n, (2, 100)) for k, n in ((2, 100), (20, 40), (21, 41))]
+    groups = spark.createDataFrame(rows, "gid long, key long, n int, least struct<key: long, n: int>")
     first = {(r.a, r.b) for r in dedup.with_least(groups, 0.8).collect()}
     assert first == {(k, 0) for k in range(1, 9)}
     roots = spark.createDataFrame([(7, 5), (5, 5)], "node long, root long")
@@ -370,6 +371,28 @@ def test_rest_tries_what_the_least_left_open(spark):
         assert got == {(a, b) for a in range(1, 9) for b in range(1, a)} - {(7, 5)} | {(21, 20)}
 
 
+def test_groups_are_rows_and_equal_ones_are_one(spark):
+    reps = spark.createDataFrame([(1, 5, [10, 11, 12]), (2, 6, [10, 11, 13]), (3, 7, [12, 14]), (4, 7, [15])], "key long, n int, prefix array<long>")
+    got = sorted((r.gid, r.key, r.n, tuple(r.least)) for r in dedup.alike(reps).collect())
+    assert got == [(10, 1, 5, (1, 5)), (10, 2, 6, (1, 5)), (12, 1, 5, (1, 5)), (12, 3, 7, (1, 5))]
+
+
+def test_a_shingle_that_thousands_of_texts_share(spark, monkeypatch):
+    """One passage in all texts, which no sample warned of: groups of any size are cut into blocks, and blocks of sizes far apart don't meet."""
+    monkeypatch.setattr(dedup, "COMMON", 0)
+    rng = np.random.default_rng(8)
+    rows, kept = [], set()
+    for i in range(0, 6000, 2):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 6 + i % 90)]
+        rows += [(i, " ".join(["all", "of", "them", "say", "this", *words])), (i + 1, " ".join(["all", "of", "them", "say", "this", *words]) + (" more" if len(words) > 40 else " other words at its end"))]
+        kept |= {i} | (set() if len(words) > 40 else {i + 1})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in dedup.one_of_each(df).collect()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    sets = {i: set(dedup.shingle_set(t, 5).tolist()) for i, t in rows}
+    assert got == {i for i in sets if i % 2 == 0 or not near(sets[i], sets[i - 1])} and kept
+
+
 def test_pairs_in_blocks_match_a_plain_loop():
     """Sketches of any lengths, in one list and between two."""
     import pyarrow as pa
