@@ -46,7 +46,7 @@ class Search:
         many = int((cheap <= budget + 1e-9).sum())
         self.most = 1.0 + (self.top or 0.0) * float(np.sort(np.abs(x), axis=1)[:, self.n - many :].sum(axis=1).max(initial=0.0)) if many else 1.0
         self.best: Best | None = None
-        self.rounds = 0
+        self.rounds = self.explored = 0
 
     def affordable(self, w: np.ndarray) -> bool:
         return self.costs[w != 0].sum() <= self.budget + 1e-9
@@ -107,6 +107,7 @@ class Search:
 
     def step(self, node: Node) -> list[Node]:
         """The open children of a node, the one to go first last."""
+        self.explored += 1
         keep, out = node
         left = self.budget - self.costs[keep].sum()
         if left < -1e-9:
@@ -129,11 +130,12 @@ class Search:
         without[j] = within[j] = True
         return [(keep, without), (within, out)]
 
-    def open(self, nodes: list[Node], want: int) -> list[Node]:
-        """Nodes branched level by level until there are `want` open ones, or none."""
-        while nodes and len(nodes) < want:
-            nodes = [c for node in nodes for c in reversed(self.step(node))]
-        return nodes
+    def some(self, nodes: list[Node], limit: int) -> list[Node]:
+        """Depth first for about `limit` nodes: those that are open then, the shallowest first."""
+        stack, end = list(reversed(nodes)), self.explored + limit
+        while stack and self.explored < end:
+            stack += self.step(stack.pop())
+        return stack
 
     def run(self, nodes: list[Node], deadline: float | None = None) -> str:
         """Depth first to the end: optimal, or feasible_timeout beyond a deadline."""

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hingeworks.operators.folds import exact_folds, permuted
-from hingeworks.operators.models import MODELS, Fitted, L1SVM, LinearModel, fisher_score
+from hingeworks.operators.models import MODELS, RFESVM, Fitted, L1SVM, LinearModel, fisher_score
 from hingeworks.operators.solvers.bnb import GAP, ROUNDED, Search
 from hingeworks.plans import shared as by_passes
 from hingeworks.plans.shared import METRIC_NAMES, METRICS  # noqa: F401
 
 #: Numbers (rows times features) of a data set that tasks may hold; about 160 MB.
 MOST_NUMBERS = 20_000_000
+#: Nodes that a task of a budgeted search takes on in the first round, and at most in a later one.
+FIRST_STEPS, MOST_STEPS = 16, 128
 #: Powers of two from 1/8 to 32.
 C_GRID = tuple(2.0**k for k in range(-3, 6))
 TAU_GRID = (0.1, 0.5, 1.0)
@@ -230,50 +232,61 @@ def spread(spark: SparkSession, items: list, work) -> list:
 
 
 def budgeted(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: LinearModel, want: int = 48) -> Fitted:
-    """A budgeted model's fit, branched into about `want` subtrees on the driver that tasks search to their ends.
+    """A budgeted model's fit, proven optimal, searched in rounds of Spark tasks.
 
-    The incumbent of the first levels (rounding and swaps) bounds all of them, so the result doesn't depend on which
-    task is done first; it is proven optimal.
+    The driver solves the root only. In a round tasks take the open nodes, dealt by turns from the least bound on, search
+    each of theirs for a bounded number of nodes, and return what is left and the best fit; the next round's tasks all know
+    the best of all. Rounds grow with the number of tasks, so that the last subtrees are shared out, too.
     """
     began = time.monotonic()
     if model.budget is None:
         return model.fit(x, y).fitted
     whole = Search(x, y, model.spec, model.budget, model.costs)
-    nodes = whole.open(whole.begin(model.start), want)
-    shared = spark.sparkContext.broadcast((x, y, model.spec, model.budget, model.costs, whole.best))
-
-    def work(node):
-        xs, ys, spec, budget, costs, best = shared.value
-        part = Search(xs, ys, spec, budget, costs)
-        part.best, part.rounds = best, ROUNDED
-        part.run([node])
-        return part.best
-
-    for best in spread(spark, nodes, work):
-        if best[2] < whole.best[2] - 1e-12:
-            whole.best = best
+    nodes, explored = whole.begin(model.start), 0
+    shared = spark.sparkContext.broadcast((x, y, model.spec, model.budget, model.costs))
+    steps = FIRST_STEPS
+    while nodes:
+        best, limit = whole.best, steps
+
+        def work(mine, best=best, limit=limit):
+            xs, ys, spec, budget, costs = shared.value
+            part = Search(xs, ys, spec, budget, costs)
+            part.best, part.rounds = best, 0 if len(mine) == 1 and limit == FIRST_STEPS else ROUNDED
+            left = part.some(mine, limit)
+            return part.best, left, part.explored
+
+        tasks = [nodes[i::want] for i in range(min(want, len(nodes)))]
+        nodes = []
+        for found, left, count in spread(spark, tasks, work):
+            explored += count
+            nodes += left
+            if found[2] < whole.best[2] - 1e-12:
+                whole.best = found
+        steps = min(2 * steps, MOST_STEPS)
     shared.unpersist()
     w, b, value = whole.best
     gap = GAP * max(1.0, abs(value))
-    return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began, gap)
+    return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began, gap, explored)
 
 
 def fit_any(data: DataFrame, model: LinearModel, method: str | None = None, tolerance: float = by_passes.TOLERANCE) -> Fitted:
     """A model fitted to the scaled rows of data (row_id, features, label), by passes over the table (`plans.shared`).
 
-    method "tasks" instead searches a budgeted model's subtrees in tasks that hold the rows, which is the default up to
-    MOST_NUMBERS numbers: its trees are too large there for a pass a level.
+    method "tasks" instead lets tasks hold the rows: a budgeted model's subtrees are searched in many, an elimination in
+    one. That is the default for those two up to MOST_NUMBERS numbers, where a pass for each of their many fits takes longer.
     """
-    budget = getattr(model, "budget", None) is not None
+    many = getattr(model, "budget", None) is not None or isinstance(model, RFESVM)
     if method is None:
-        numbers = data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] if budget else 0
-        method = "tasks" if budget and numbers <= MOST_NUMBERS else "passes"
+        numbers = data.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0] if many else 0
+        method = "tasks" if many and numbers <= MOST_NUMBERS else "passes"
     if method == "passes":
         return by_passes.fit_table(data, model, tolerance)
-    rows = data.select("row_id", "features", "label").toArrow().sort_by("row_id")
-    x, y = np.array(rows["features"].to_pylist(), dtype=float), rows["label"].to_numpy().astype(float)
-    x, _ = scaled(x, x)
-    return budgeted(data.sparkSession, x, y, model)
+    x, y = _small(data, "tasks")
+    if getattr(model, "budget", None) is not None:
+        return budgeted(data.sparkSession, x, y, model)
+    shared = data.sparkSession.sparkContext.broadcast((x, y))
+    (got,) = spread(data.sparkSession, [model], lambda m: m.fit(*shared.value).fitted)
+    return got
 
 
 def _first_best(found: list[dict | None]) -> dict:
