@@ -42,7 +42,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LABEL = r"(?i:password|passwd|pwd|token|secret|api[ _-]?key)\s{0,3}[=:]\s{0,3}[\x22']?"
 #: Types and their patterns, the first that fits wins; so do a card's usual groupings before digits with any blanks. \p classes are Java's.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
+    "email": r"(?<![\p{L}\p{Nd}._%+-])[\p{L}\p{Nd}._%+-]{1,64}+@[\p{L}\p{Nd}-]{1,63}(?:\.[\p{L}\p{Nd}-]{1,63}){1,6}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "secret": rf"(?=[PpTtSsAa]){_LABEL}[^\s\x22',;]{{6,}}+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
@@ -172,7 +172,7 @@ def _pick(pool: str, b: Column) -> Column:
 def _same_shape(kind: Column, value: Column, digest: Column) -> Column:
     """Each letter or digit replaced by one of its case and script; the k-th of them takes the k-th byte of the digest.
 
-    Letters of network addresses stay hexadecimal, so do values of digits and small hexadecimal letters.
+    Values of digits and small hexadecimal letters stay so.
     Letters of other scripts are replaced by Latin ones, and so is every sign of a value without letters or digits.
     """
     hexes = value.rlike(r"^[0-9a-f]*[0-9][0-9a-f]*$") & value.rlike("[a-f]")
@@ -181,8 +181,6 @@ def _same_shape(kind: Column, value: Column, digest: Column) -> Column:
         within = lambda a, z: (c >= F.lit(a)) & (c <= F.lit(z))
         return (
             F.when(hexed, _pick("0123456789abcdef", b))
-            .when((kind == "ip6") & within("a", "f"), _pick("abcdef", b))
-            .when((kind == "ip6") & within("A", "F"), _pick("ABCDEF", b))
             .when(within("0", "9"), F.when(k == 0, b % 8 + 2).otherwise(b % 10).cast("string"))
             .when(within("a", "z"), _pick(_LOWER, b))
             .when(within("A", "Z"), _pick(_UPPER, b))
@@ -260,7 +258,7 @@ def _word_name(word: Column, kind: Column, digest: Column, attempt: Column) -> C
 def _shaped(kind: Column, value: Column, digest: Column, attempt: Column) -> Column:
     """What stays in front, then the same shape; check digits are set by the rest, where those of the value are right."""
     front = (
-        F.when(kind == "phone", F.regexp_extract(value, r"^\+(?:1|7|\d{2})", 0))
+        F.when(kind == "phone", F.regexp_extract(value, r"^(?:\+(?:1|7|\d{2})|0)", 0))
         .when(kind.isin("card", "ssn"), F.substring(value, 1, 1))
         .when(kind == "iban", F.substring(value, 1, 2))
         .when(kind == "key", F.regexp_extract(value, r"^(?:AKIA|ghp_|sk-)", 0))
@@ -285,6 +283,15 @@ def _host(domain: Column, digest: Column, attempt: Column) -> Column:
     return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.length(label) - 1), sign), ""), _added(digest, attempt), F.lit(".example."), top)
 
 
+def _address6(value: Column, digest: Column, attempt: Column) -> Column:
+    """An address under the prefix that is reserved for documentation, with as many groups of as many digits, in a late attempt of four."""
+    rest = F.regexp_replace(value, r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})?(?=:)", "")
+    four = lambda i: F.concat(*[_pick("123456789abcdef" if j == 0 else "0123456789abcdef", _byte(digest, i * 4 + j)) for j in range(4)])
+    cased = lambda g, x: F.when(g.rlike("[A-F]"), F.upper(x)).otherwise(x)
+    group = lambda g, i: cased(g, F.substring(four(i), F.lit(1), F.when(attempt == 0, F.length(g)).otherwise(4)))
+    return F.concat(F.lit("2001:db8"), F.array_join(F.transform(F.split(rest, ":", -1), lambda g, i: F.when(g == "", "").otherwise(group(g, i))), ":"))
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of a part; attempt 0 is the usual one, others serve after a collision, from ROUNDS on by number."""
     octet = lambda digest, i: (_byte(digest, i) % 254 + 1).cast("string")
@@ -294,6 +301,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         return (
             F.when(attempt >= ROUNDS, F.concat(kind, F.lit("-#"), (attempt - (ROUNDS - 1)).cast("string")))
             .when(kind == "ip", reserved)
+            .when(kind == "ip6", _address6(value, digest, attempt))
             .when(kind == "host", _host(value, digest, attempt))
             .when(kind.isin("given-m", "given-f", "surname"), _word_name(value, kind, digest, attempt))
             .otherwise(_shaped(kind, value, digest, attempt))
