@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hingeworks.llm.common import NO_ID, block_bounds, shuffle_width, text_batches
+from hingeworks.llm.common import BLOCK_BYTES, MOST_TASKS, NO_ID, block_bounds, input_bytes, shuffle_width, text_batches
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,8 +19,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bounds_of(own: DataFrame) -> list[int]:
-    """First keys of the blocks; reads the id column alone. As many blocks as shuffle partitions."""
-    return block_bounds(own.select("key"), shuffle_width(own.sparkSession))
+    """First keys of the blocks; reads the id column alone. As many blocks as shuffle partitions, or more if they would exceed BLOCK_BYTES."""
+    return block_bounds(own.select("key"), max(shuffle_width(own.sparkSession), min(input_bytes(own) // BLOCK_BYTES, MOST_TASKS)))
 
 
 def block_of(bounds: list[int], keys: list[int]) -> list[int]:

@@ -22,8 +22,8 @@ NO_ID = -(1 << 63)
 STEP_CHARS = 1_500_000
 #: Ids that a filter broadcasts at most.
 BROADCAST_IDS = 2_000_000
-#: Bytes of a plan's inputs for each further task that writes a narrow table.
-NARROW_BYTES = 16_000_000
+#: Bytes of a plan's inputs for each further task that writes a narrow table; bytes of a block of ordered ids; tasks at most.
+NARROW_BYTES, BLOCK_BYTES, MOST_TASKS = 16_000_000, 64_000_000, 100_000
 #: Texts that go to Python at a time.
 TEXT_ROWS = 1_000
 
@@ -49,6 +49,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of what a plan reads, by the optimiser."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files of an operator's own; it is removed at the end of the driver's process."""
+    path = fresh_path(spark, name)
+    _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration(), None)
+    return path
+
+
 def cut(df: DataFrame, name: str, narrow: bool = False, dense: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
 
@@ -57,9 +70,7 @@ def cut(df: DataFrame, name: str, narrow: bool = False, dense: bool = False) ->
     """
     spark = df.sparkSession
     if narrow:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-        df = df.coalesce(min(max(spark.sparkContext.defaultParallelism, size // NARROW_BYTES), 100_000))
+        df = df.coalesce(min(max(spark.sparkContext.defaultParallelism, input_bytes(df) // NARROW_BYTES), MOST_TASKS))
     path = fresh_path(spark, name)
     _cuts[path] = (spark._jvm, spark._jsc.hadoopConfiguration(), threading.get_ident())
     df.write.parquet(path, compression="zstd" if dense else None)

@@ -117,7 +117,7 @@ class Model:
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """For each text (language or und, share of letters, spans (start, end, language) in code points)."""
         out: list[tuple[str, float, list[tuple[int, int, str]]]] = []
-        for a, b in steps((len(t or "") for t in texts), STEP_CHARS):
+        for a, b in steps((len(t or "") for t in texts), max(1, 4 * STEP_CHARS // max(4, len(self.langs)))):
             w = words_of([t or "" for t in texts[a:b]])
             scores = self.word_scores(w) if self.langs else np.zeros((len(w.start), 0))
             cuts = np.searchsorted(w.text, np.arange(b - a + 1))

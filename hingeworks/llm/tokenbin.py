@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hingeworks.llm.blocks import block_of, bounds_of, keyed
-from hingeworks.llm.common import coded_words, fresh_path, steps
+from hingeworks.llm.common import coded_words, kept_path, steps
 
 MAGIC = b"HWEFIDS2"
 SAMPLE = 256
@@ -383,5 +383,5 @@ def op10_token_id_output(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.jso
     path = public_tokenizers.path(vocabulary)
     width = shared_encoder(path, end_id).width
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_shards(docs, fresh_path(spark, "token-ids"), lambda: shared_encoder(path, end_id), width)
+    manifest = write_shards(docs, kept_path(spark, "token-ids"), lambda: shared_encoder(path, end_id), width)
     return read_shards(manifest).withColumnRenamed("id", "doc_id")
