@@ -835,3 +835,57 @@ def fit_all_budgets(spark, d):
     grid = search.grid({"C": (0.001, 1.0), "B": (1, 2, 3)}, {"tau": 0.5, "domain": "free"})
     fits = shared.fit_grid(data, {"PinFSSVM": grid})
     return spark.createDataFrame([(i, round(f.objective / m, 4), ", ".join(map(str, f.selected))) for i, f in enumerate(fits["PinFSSVM"])], "combo_id long, objective double, selected string")
+
+
+_SEARCH_CS = (1e-5, 1.0)
+_STRUCT = "struct_pack(s := h.s, w1 := h.w1, w2 := h.w2, w3 := h.w3, b := h.b)"
+
+
+@query(f"""{_three([(c, 0.0) for c in _SEARCH_CS], _FOLDS)}, {exact.scored(3)},
+gone AS (SELECT combo, CASE least(w1 * w1, w2 * w2, w3 * w3) WHEN w1 * w1 THEN 1 WHEN w2 * w2 THEN 2 ELSE 3 END AS gone FROM f WHERE g = 9),
+f2 AS (SELECT h.g, h.combo, unnest(arg_min({_STRUCT}, round(objective, 9))) FROM h JOIN gone ON h.combo = gone.combo WHERE CASE gone WHEN 1 THEN h.w1 WHEN 2 THEN h.w2 ELSE h.w3 END = 0 GROUP BY h.g, h.combo), {exact.scored(3, 'f2', to='2')},
+sized AS (SELECT combo, 3 AS size, avg(auc) AS auc, avg(accuracy) AS accuracy FROM k GROUP BY combo UNION ALL SELECT combo, 2, avg(auc), avg(accuracy) FROM k2 GROUP BY combo)
+SELECT [{', '.join(f'{c}::DOUBLE' for c in _SEARCH_CS)}][combo + 1] AS "C", round(auc, 6) AS auc, round(accuracy, 6) AS accuracy, CASE WHEN size = 3 THEN '1, 2, 3' ELSE array_to_string(list_filter([1, 2, 3], lambda j: j <> gone), ', ') END AS selected
+FROM sized JOIN gone USING (combo) ORDER BY round(auc, 12) DESC, combo, size DESC LIMIT 1""")
+def rfe_search_items(spark, d):
+    """The best C and feature set on the halving path of three features, all fits of all sizes' folds by shared passes."""
+    found = search.rfe_search(*_coarse(spark, d, _THREE), _SEARCH_CS, "passes", domain="free", tolerance=FINE)
+    return spark.createDataFrame([(found["C"], round(found["auc"], 6), round(found["accuracy"], 6), ", ".join(map(str, found["selected"])))], "C double, auc double, accuracy double, selected string")
+
+
+_MASKED = "(w1 = 0 OR u[1]) AND (w2 = 0 OR u[2]) AND (w3 = 0 OR u[3])"
+
+
+@query(f"""WITH {exact.classes("SELECT g, g AS fold FROM range(10) t(g) UNION ALL SELECT 100 + i, -1 - i FROM range(5) t(i) UNION ALL SELECT -1, NULL", {0: _THREE}, "CASE WHEN q.fold IS NULL THEN false WHEN q.fold < 0 THEN r.held[-q.fold] ELSE r.fold = q.fold END").replace(', z AS (SELECT * FROM a WHERE NOT test)', ', z AS (SELECT * FROM a WHERE NOT test AND g >= 0)')},
+{exact.FISHER_CLASSES.replace('FROM z', 'FROM a WHERE g = -1')},
+limits AS (SELECT unnest([0, 1, 2]) AS i, unnest((SELECT quantile_cont(score, [0.25, 0.5, 0.75]) FROM fs)) AS t), masks AS (SELECT i, t, (SELECT list(score >= t ORDER BY j) FROM fs) AS u FROM limits),
+{exact.optima(3, 'l1', 'free', [(c, 0.0) for c in _SEARCH_CS])},
+fm AS (SELECT g, combo, i, unnest(arg_min({_STRUCT}, round(objective, 9))) FROM h, masks WHERE {_MASKED} GROUP BY g, combo, i), {exact.scored(3, 'fm', 'g, combo, i', '3')},
+won AS (SELECT combo, arg_min(i, (error, i)) AS i FROM (SELECT combo, i, round(1 - avg(accuracy), 12) AS error FROM k3 WHERE g >= 100 GROUP BY combo, i) GROUP BY combo),
+means AS (SELECT k3.combo, k3.i, avg(auc) AS auc, avg(accuracy) AS accuracy FROM k3 JOIN won ON k3.combo = won.combo AND k3.i = won.i WHERE g < 100 GROUP BY k3.combo, k3.i)
+SELECT [{', '.join(f'{c}::DOUBLE' for c in _SEARCH_CS)}][combo + 1] AS "C", round(t, 6) AS threshold, round(auc, 6) AS auc, round(accuracy, 6) AS accuracy, array_to_string(list_filter([1, 2, 3], lambda j: u[j]), ', ') AS selected
+FROM means JOIN masks USING (i) ORDER BY round(auc, 12) DESC, combo LIMIT 1""")
+def fisher_search_items(spark, d):
+    """The best C and Fisher threshold of three features: hold-outs choose the threshold, folds judge its mask; all fits by shared passes."""
+    found = search.fisher_search(*_coarse(spark, d, _THREE), _SEARCH_CS, "passes", domain="free", tolerance=FINE)
+    row = (found["C"], round(found["threshold"], 6), round(found["auc"], 6), round(found["accuracy"], 6), ", ".join(map(str, found["selected"])))
+    return spark.createDataFrame([row], "C double, threshold double, auc double, accuracy double, selected string")
+
+
+_CHAIN = [(c, t) for c in experiment.TUNE_C for t in experiment.TUNE_TAU]
+
+
+@query(f"""{exact.cross_validated(_CHAIN, 2.0)}, x AS (SELECT combo_id, [{', '.join(f'{c}::DOUBLE' for c, _ in _CHAIN)}][combo_id + 1] AS c, [{', '.join(f'{t}::DOUBLE' for _, t in _CHAIN)}][combo_id + 1] AS tau, round(avg(auc), 12) AS auc FROM v GROUP BY combo_id),
+c1 AS (SELECT c FROM x WHERE tau = 0.5 AND auc > 0 ORDER BY auc DESC, combo_id LIMIT 1), t2 AS (SELECT tau FROM x WHERE c = (SELECT c FROM c1) AND auc > 0 ORDER BY auc DESC, combo_id LIMIT 1), joint AS (SELECT c, tau FROM x WHERE auc > 0 ORDER BY auc DESC, combo_id LIMIT 1)
+SELECT c1.c AS first_c, t2.tau AS second_tau, joint.c AS both_c, joint.tau AS both_tau FROM c1, t2, joint""")
+def chained_tuning(spark, d):
+    """C tuned, then tau at the best C, then both."""
+    got = experiment.chained(*_one_feature(spark, d), 1)
+    return spark.createDataFrame([(got["C"]["C"], got["tau"]["tau"], got["both"]["C"], got["both"]["tau"])], "first_c double, second_tau double, both_c double, both_tau double")
+
+
+@query("SELECT i AS combo_id, (SELECT count(DISTINCT vec_id % 10) FROM embeddings) AS folds, true AS timed FROM range(9) t(i)")
+def cv_fit_times(spark, d):
+    """How many folds of each point were fitted, and whether each fit's time was taken."""
+    rows = search.cross_validate(*_one_feature(spark, d), {"L1SVM": search.grid({"C": search.C_GRID})})
+    return rows.groupBy("combo_id").agg(F.count("train_time").alias("folds"), F.every(F.col("train_time") > 0).alias("timed"))

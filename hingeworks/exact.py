@@ -103,17 +103,22 @@ def determinant(m: list[list[str]]) -> str:
     return " ".join(terms) or "0"
 
 
-def classes(problems: str, sets: dict[int, tuple[int, ...]]) -> str:
-    """CTEs e (g, s, side, y, n, x1..xk) and z, the classes of rows of each problem (g, s), scaled by its training rows.
+#: Whether a line item is held out, for each of five seeds.
+HELD = "[" + ", ".join(f"('0x' || substr(md5('{42 + i}:' || (l_orderkey * 8 + l_linenumber)), 1, 8))::BIGINT < {int(0.2 * (1 << 32))}" for i in range(5)) + "]"
+
+
+def classes(problems: str, sets: dict[int, tuple[int, ...]], test: str = "coalesce(r.fold = q.fold, false)") -> str:
+    """CTEs a (g, s, test, y, n, x1..xk) and z, its training rows: the classes of rows of each problem (g, s), scaled by its training rows.
 
     problems is a CTE q(g, fold): the fold that problem g leaves out (null: none); sets the features (from 1) of each s.
+    test tells a problem's test rows by their fold, or by held, a list of booleans.
     """
     k = len(next(iter(sets.values())))
-    rows = " UNION ALL ".join(f"SELECT {s} AS s, fold, y, {', '.join(f'c{j} AS r{i}' for i, j in enumerate(at, 1))} FROM o" for s, at in sets.items())
+    rows = " UNION ALL ".join(f"SELECT {s} AS s, fold, held, y, {', '.join(f'c{j} AS r{i}' for i, j in enumerate(at, 1))} FROM o" for s, at in sets.items())
     of = lambda f: ", ".join(f.format(i=i) for i in range(1, k + 1))
-    return f"""o AS (SELECT (l_orderkey * 7 + l_linenumber) % 10 AS fold, {COARSE_LABEL} AS y, {', '.join(f'{e}::DOUBLE AS c{j}' for j, e in enumerate(COARSE, 1))} FROM lineitem),
+    return f"""o AS (SELECT (l_orderkey * 7 + l_linenumber) % 10 AS fold, {HELD if 'held' in test else '[]'} AS held, {COARSE_LABEL} AS y, {', '.join(f'{e}::DOUBLE AS c{j}' for j, e in enumerate(COARSE, 1))} FROM lineitem),
 r AS ({rows}), q AS ({problems}),
-d AS (SELECT g, s, coalesce(r.fold = q.fold, false) AS test, y, {of('r{i}')}, count(*) AS n FROM r, q GROUP BY ALL),
+d AS (SELECT g, s, {test} AS test, y, {of('r{i}')}, count(*) AS n FROM r, q GROUP BY ALL),
 m AS (SELECT g, s, {of('sum(n * r{i}) / sum(n) AS m{i}, sqrt(sum(n * r{i} * r{i}) / sum(n) - power(sum(n * r{i}) / sum(n), 2)) AS sd{i}')} FROM d WHERE NOT test GROUP BY g, s),
 a AS (SELECT g, s, test, y, n, {of('(r{i} - m{i}) / sd{i} AS x{i}')} FROM d JOIN m USING (g, s)), z AS (SELECT * FROM a WHERE NOT test)"""
 
@@ -151,12 +156,12 @@ u(combo, cc, tau) AS (VALUES {points}), h AS (SELECT *, {cost} + cc * (short + t
 f AS (SELECT {by}, unnest(arg_min(struct_pack(objective := objective, s := s, {', '.join(f'{x} := {x}' for x in w)}, b := b), (round(objective, 9), s))) FROM h WHERE {keep} GROUP BY {by})"""
 
 
-def scored(k: int, fits: str = "f", keys: str = "g, combo") -> str:
-    """CTE k (keys, accuracy, auc, f1_score, g_mean) of fits (keys, s, w1..wk, b) on their problems' test rows."""
+def scored(k: int, fits: str = "f", keys: str = "g, combo", to: str = "") -> str:
+    """CTE k<to> (keys, accuracy, auc, f1_score, g_mean) of fits (keys, s, w1..wk, b) on their problems' test rows."""
     score = " + ".join(f"w{i} * x{i}" for i in range(1, k + 1)) + " + b"
-    return f"""t AS (SELECT {', '.join(f'{fits}.{x}' for x in keys.split(', '))}, y, n, sign(round({score}, 7))::INT AS pred FROM {fits} JOIN a ON {fits}.g = a.g AND {fits}.s = a.s WHERE test),
-n AS (SELECT {keys}, sum(n) AS n, coalesce(sum(n) FILTER (y = pred), 0) AS hits, coalesce(sum(n) FILTER (y = 1), 0) AS pos, coalesce(sum(n) FILTER (y = -1), 0) AS neg, coalesce(sum(n) FILTER (y = 1 AND pred = 1), 0) AS tp, coalesce(sum(n) FILTER (y = -1 AND pred = -1), 0) AS tn, coalesce(sum(n) FILTER (y = -1 AND pred = 1), 0) AS fp FROM t GROUP BY {keys}),
-k AS (SELECT {keys}, hits / n AS accuracy, CASE WHEN pos > 0 AND neg > 0 THEN (tp / pos + tn / neg) / 2 ELSE 0 END AS auc, CASE WHEN tp + fp + (pos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (pos - tp)) ELSE 0 END AS f1_score, CASE WHEN pos > 0 AND neg > 0 THEN sqrt(tp / pos * tn / neg) ELSE 0 END AS g_mean FROM n)"""
+    return f"""t{to} AS (SELECT {', '.join(f'{fits}.{x}' for x in keys.split(', '))}, y, n, sign(round({score}, 7))::INT AS pred FROM {fits} JOIN a ON {fits}.g = a.g AND {fits}.s = a.s WHERE test),
+n{to} AS (SELECT {keys}, sum(n) AS n, coalesce(sum(n) FILTER (y = pred), 0) AS hits, coalesce(sum(n) FILTER (y = 1), 0) AS pos, coalesce(sum(n) FILTER (y = -1), 0) AS neg, coalesce(sum(n) FILTER (y = 1 AND pred = 1), 0) AS tp, coalesce(sum(n) FILTER (y = -1 AND pred = -1), 0) AS tn, coalesce(sum(n) FILTER (y = -1 AND pred = 1), 0) AS fp FROM t{to} GROUP BY {keys}),
+k{to} AS (SELECT {keys}, hits / n AS accuracy, CASE WHEN pos > 0 AND neg > 0 THEN (tp / pos + tn / neg) / 2 ELSE 0 END AS auc, CASE WHEN tp + fp + (pos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (pos - tp)) ELSE 0 END AS f1_score, CASE WHEN pos > 0 AND neg > 0 THEN sqrt(tp / pos * tn / neg) ELSE 0 END AS g_mean FROM n{to})"""
 
 
 #: fs (j, score): Fisher scores of three features of the one problem's classes.

@@ -133,22 +133,22 @@ def run(data: DataFrame, folds: DataFrame, grids: dict[str, list[dict]], criteri
     return metrics, out.drop("often")
 
 
-def tune(data: DataFrame, folds: DataFrame, model: str, values: dict[str, tuple], fixed: dict | None = None, criterion: str = "auc", auc_from: str = "label") -> tuple[DataFrame, dict]:
+def tune(data: DataFrame, folds: DataFrame, model: str, values: dict[str, tuple], fixed: dict | None = None, criterion: str = "auc", auc_from: str = "label", domain: str = "nonneg", method: str | None = None) -> tuple[DataFrame, dict]:
     """(curve of means and deviations per point, first best point)."""
     points = search.grid(values, fixed)
-    metrics = held(search.cross_validate(data, folds, {model: points}, auc_from=auc_from))
+    metrics = held(search.cross_validate(data, folds, {model: points}, domain=domain, auc_from=auc_from, method=method))
     curve = search.summary(metrics)
     top = search.best(curve, criterion).select("combo_id").first()
     names = F.from_json("params", ", ".join(f"{k} double" for k in values)).alias("p")
     return curve.select("*", names).select("*", "p.*").drop("p"), points[top.combo_id] if top else {}
 
 
-def chained(data: DataFrame, folds: DataFrame, budget: int = 5) -> dict:
+def chained(data: DataFrame, folds: DataFrame, budget: int = 5, domain: str = "nonneg", method: str | None = None) -> dict:
     """Tune C, then tau at the best C, then both together, for the budgeted pinball model."""
-    _, first = tune(data, folds, "PinFSSVM", {"C": TUNE_C}, {"B": budget, "tau": 0.5})
-    _, second = tune(data, folds, "PinFSSVM", {"tau": TUNE_TAU}, {"B": budget, "C": first.get("C", 1.0)})
-    _, both = tune(data, folds, "PinFSSVM", {"C": TUNE_C, "tau": TUNE_TAU}, {"B": budget})
-    return {"C": first, "tau": second, "both": both}
+    step = lambda values, fixed: tune(data, folds, "PinFSSVM", values, {"B": budget} | fixed, domain=domain, method=method)[1]
+    first = step({"C": TUNE_C}, {"tau": 0.5})
+    second = step({"tau": TUNE_TAU}, {"C": first.get("C", 1.0)})
+    return {"C": first, "tau": second, "both": step({"C": TUNE_C, "tau": TUNE_TAU}, {})}
 
 
 def sweep(data: DataFrame, folds: DataFrame, name: str, values: tuple, fixed: dict, model: str = "PinFSSVM", domain: str = "nonneg", method: str | None = None) -> DataFrame:
