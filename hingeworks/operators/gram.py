@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,3 +120,27 @@ def correlations(data: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(values, mask=np.isnan(values))], ["a", "b", "corr"])
 
     return cells(data, n, block).mapInArrow(run, "a int, b int, corr double")
+
+
+def by_label(data: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, sums) for features and label (1, -1): the features' means, and for both labels the count, sum and sum of squares of what differs from them.
+
+    Values that are null or not finite are left out by feature. Two passes; vectors of n numbers are all that is gathered.
+    """
+    mean = centre(data, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 3, n))
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("features")))
+            if not batch.num_rows:
+                continue
+            x, y = _rows(batch, n) - mean, batch.column("label").to_numpy(zero_copy_only=False)
+            for k, cls in enumerate((1, -1)):
+                own = x[y == cls]
+                total[k] += [np.isfinite(own).sum(axis=0), np.nansum(own, axis=0), np.nansum(own * own, axis=0)]
+        yield _cell(0, 0, total)
+
+    few = max(1, int(data.sparkSession.sparkContext.defaultParallelism**0.5))
+    parts = data.select("features", "label").mapInArrow(run, CELL).withColumn("i", F.pmod(F.monotonically_increasing_id(), F.lit(few)).cast("int"))
+    return mean, sum((np.array(r.v).reshape(2, 3, n) for r in _added(parts, few).collect()), np.zeros((2, 3, n)))

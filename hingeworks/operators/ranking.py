@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from hingeworks.operators import gram
 
 #: Stands for the variance of a class of one row.
 LEAST_VARIANCE = 1e-10
+#: Columns up to which scores are one expression a column and correlations one a pair; beyond, they come from sums of vectors and blocks.
+PAIRWISE = 40
 
 
 def fisher_expr(x: Column, y: Column, guards: bool = True) -> Column:
@@ -25,8 +28,27 @@ def fisher_expr(x: Column, y: Column, guards: bool = True) -> Column:
     return F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)) if guards else score
 
 
+def _fisher_of(mean: np.ndarray, sums: np.ndarray, guards: bool) -> np.ndarray:
+    """The same scores from counts, sums and sums of squares by label, around any centre; NaN where undefined."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        count, total, square = sums.transpose(1, 0, 2)
+        whole = total.sum(axis=0) / count.sum(axis=0)
+        var = (square - total * total / count) / (count - 1)
+        var = np.where(var < 1e-12 * square / np.maximum(count, 1), 0.0, var)
+        if guards:
+            var = np.where(count < 2, LEAST_VARIANCE, var)
+        far, below = ((total / count - whole) ** 2).sum(axis=0), var.sum(axis=0)
+        score = np.where(below == 0, np.nan, far / below)
+    return np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0) if guards else score
+
+
 def fisher_scores(df: DataFrame, columns: list[str], label: str = "label", guards: bool = True) -> DataFrame:
-    """(j, feature, score), j from 1: one aggregation for all features."""
+    """(j, feature, score), j from 1: one aggregation for all features, beyond PAIRWISE columns of vectors."""
+    if len(columns) > PAIRWISE:
+        data = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("features"), F.col(label).cast("int").alias("label"))
+        scores = _fisher_of(*gram.by_label(data, len(columns)), guards)
+        rows = [(j, c, None if np.isnan(x) else float(x)) for j, (c, x) in enumerate(zip(columns, scores), 1)]  # a row a feature
+        return df.sparkSession.createDataFrame(rows, "j int, feature string, score double")
     one = df.agg(*[fisher_expr(F.col(c), F.col(label), guards).alias(f"s{j}") for j, c in enumerate(columns, 1)])
     rows = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(c).alias("feature"), F.col(f"s{j}").alias("score")) for j, c in enumerate(columns, 1)])
     return one.select(F.inline(rows))
@@ -58,8 +80,6 @@ def masks(scores: DataFrame, limits: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(limits)).select("percentile", "j", "feature", (F.col("score") >= F.col("threshold")).alias("selected"))
 
 
-#: Columns up to which a correlation matrix is one expression a pair; beyond, it comes from blocks of sums of products.
-PAIRWISE = 40
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -234,37 +234,36 @@ def spread(spark: SparkSession, items: list, work) -> list:
 def budgeted(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: LinearModel, want: int = 48) -> Fitted:
     """A budgeted model's fit, proven optimal, searched in rounds of Spark tasks.
 
-    The driver solves the root only. In a round tasks take the open nodes, dealt by turns from the least bound on, search
-    each of theirs for a bounded number of nodes, and return what is left and the best fit; the next round's tasks all know
-    the best of all. Rounds grow with the number of tasks, so that the last subtrees are shared out, too.
+    The first round's task solves the root and finds a first fit by rounding and swaps. In each further round tasks take
+    the open nodes, dealt by turns, search each of theirs for a bounded number of nodes, and return what is left and the
+    best fit; the next round's tasks all know the best of all, and the nodes are dealt anew.
     """
     began = time.monotonic()
-    if model.budget is None:
-        return model.fit(x, y).fitted
-    whole = Search(x, y, model.spec, model.budget, model.costs)
-    nodes, explored = whole.begin(model.start), 0
-    shared = spark.sparkContext.broadcast((x, y, model.spec, model.budget, model.costs))
+    shared = spark.sparkContext.broadcast((x, y, model.spec, model.budget, model.costs, model.start))
+
+    def search(mine: list | None, best: tuple | None, limit: int) -> tuple:
+        xs, ys, spec, budget, costs, start = shared.value
+        part = Search(xs, ys, spec, budget, costs)
+        part.best = best
+        if mine is None:
+            mine = part.begin(start)
+        else:
+            part.rounds = ROUNDED  # later nodes need no rounding of their own
+        return part.best, part.some(mine, limit), part.explored
+
+    ((best, nodes, explored),) = spread(spark, [None], lambda _: search(None, None, FIRST_STEPS))
     steps = FIRST_STEPS
     while nodes:
-        best, limit = whole.best, steps
-
-        def work(mine, best=best, limit=limit):
-            xs, ys, spec, budget, costs = shared.value
-            part = Search(xs, ys, spec, budget, costs)
-            part.best, part.rounds = best, 0 if len(mine) == 1 and limit == FIRST_STEPS else ROUNDED
-            left = part.some(mine, limit)
-            return part.best, left, part.explored
-
         tasks = [nodes[i::want] for i in range(min(want, len(nodes)))]
         nodes = []
-        for found, left, count in spread(spark, tasks, work):
+        for found, left, count in spread(spark, tasks, lambda mine, best=best, limit=steps: search(mine, best, limit)):
             explored += count
             nodes += left
-            if found[2] < whole.best[2] - 1e-12:
-                whole.best = found
+            if found[2] < best[2] - 1e-12:
+                best = found
         steps = min(2 * steps, MOST_STEPS)
     shared.unpersist()
-    w, b, value = whole.best
+    w, b, value = best
     gap = GAP * max(1.0, abs(value))
     return Fitted(w, b, (w != 0).astype(int), [int(j) + 1 for j in np.flatnonzero(w)], value, "optimal", time.monotonic() - began, gap, explored)
 

@@ -348,12 +348,16 @@ def test_files_are_numbered_in_order_at_any_width(spark, tmp_path):
 
 def test_budgets_searched_in_tasks_match_one_task(spark, tiny):
     from hingeworks.operators.models import MILP1, PinFSSVM
+    from hingeworks.operators.solvers.bnb import Search
 
     _, _, x, y = tiny
     r = np.random.default_rng(3)
     x = np.hstack([x, r.normal(size=(60, 8))])
     for m in (MILP1(B=3), PinFSSVM(B=2, C=1.0, tau=0.5, domain="free"), PinFSSVM(B=40)):
         got, want = search.budgeted(spark, x, y.astype(float), m, 8), type(m).fit(m, x, y.astype(float)).fitted
+        serial = Search(x, y.astype(float), m.spec, m.budget, m.costs)
+        serial.run(serial.begin())
+        assert got.passes <= max(1.2 * serial.explored, serial.explored + 8)
         assert got.status == want.status == "optimal" and abs(got.objective - want.objective) < 1e-5 * (1 + want.objective)
 
 
@@ -383,6 +387,23 @@ def test_wide_correlations(spark):
     assert len(got) == 45 * 45 and all(abs(got[f"c{i}", f"c{j}"] - want[i, j]) < 1e-9 for i in range(45) for j in range(45))
 
 
+@pytest.mark.parametrize("guards", [True, False])
+def test_wide_fisher_scores_equal_the_narrow_ones(spark, monkeypatch, guards):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(90, 6)) * [1, 2, 3, 4, 5, 0] + [0, 1e5, -3, 4, 5, 7]
+    gone = r.random(x.shape) < 0.15
+    rows = [tuple(None if g else float(v) for v, g in zip(a, b)) + (1 if i % 3 else -1,) for i, (a, b) in enumerate(zip(x, gone))]
+    rows += [(None,) * 6 + (1,)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(6)) + ", label int").repartition(3)
+    names = [f"c{j}" for j in range(6)]
+    want = {c.j: c.score for c in ranking.fisher_scores(df, names, guards=guards).collect()}
+    monkeypatch.setattr(ranking, "PAIRWISE", 2)
+    got = {c.j: c.score for c in ranking.fisher_scores(df, names, guards=guards).collect()}
+    assert got.keys() == want.keys()
+    for j in got:
+        assert got[j] == want[j] if want[j] is None else abs(got[j] - want[j]) < 1e-7 * (1 + want[j])
+
+
 def test_correlations_in_blocks_leave_out_nulls_by_pair(spark, monkeypatch):
     from hingeworks.operators import gram
 
