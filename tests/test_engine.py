@@ -258,10 +258,10 @@ def test_the_path_in_c_equals_fits_on_the_way(spark):
     x = r.normal(size=(120, 3))
     y = np.where(x @ r.normal(size=3) + r.normal(size=120) + 0.3 > 0, 1, -1)
     df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(120)], "features array<double>, label int").coalesce(1)
-    spec, z = Spec("hinge", "l1", 1.0, domain="nonneg"), search.scaled(x, x)[0]
-    rows = shared.path(df, spec, 0.01, 0.5, 1e-6).orderBy("c_from").collect()
-    assert rows[0].c_from == 0.01 and rows[-1].c_to == 0.5 and all(a.c_to == b.c_from for a, b in zip(rows, rows[1:])) and len(rows) > 3
-    for c in np.geomspace(0.011, 0.49, 25):
+    spec, z = Spec("hinge", "l1", 1.0, domain="free"), search.scaled(x, x)[0]
+    rows = shared.path(df, spec, 0.01, 0.05, 1e-6).orderBy("c_from").collect()
+    assert rows[0].c_from == 0.01 and rows[-1].c_to == 0.05 and all(a.c_to == b.c_from for a, b in zip(rows, rows[1:])) and len(rows) > 3
+    for c in np.geomspace(0.011, 0.049, 25):
         own = replace(spec, c=c)
         (row,) = [q for q in rows if q.c_from <= c < q.c_to]
         best = objective(z, y.astype(float), *fit(z, y.astype(float), own)[:2], own)
